@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, quality_classifier, quality_rules, secret_scan
+from . import language_id, near_dup, quality_classifier, quality_rules, secret_scan
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,11 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(_table(spark, sf_dir, "documents"))
 
 
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of near copies among all documents: shingles of four words, similarity of 0.8 or more."""
+    return near_dup.near_duplicates(_table(spark, sf_dir, "documents"), width=4, percent=80)
+
+
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document, learned from the labels that are not held out."""
     return quality_classifier.classify_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
@@ -35,6 +40,7 @@ QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op4_language_id": op4_language_id,
     "op6_quality_rules": op6_quality_rules,
+    "op7_near_duplicates": op7_near_duplicates,
     "op9_quality_classifier": op9_quality_classifier,
 }
 
