@@ -194,7 +194,7 @@ ORACLE_SQL = r"""
 WITH base AS (
   SELECT doc_id, coalesce(text, '') AS t,
          regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws,
-         list_filter(string_split(coalesce(text, ''), chr(10)), l -> regexp_matches(l, '[^\x20\x09-\x0D]')) AS ls
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS ls
   FROM documents
 ), places AS (
   SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM base
@@ -205,7 +205,7 @@ WITH base AS (
   FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM windows WHERE n >= 2) GROUP BY doc_id
 ), measured AS (
   SELECT b.doc_id, t, ls, ws, len(ws)::BIGINT AS n_words,
-         coalesce(list_sum(list_transform(ws, x -> length(x))), 0)::BIGINT AS word_chars,
+         coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars,
          len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols,
          (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines,
          coalesce(a.n_repeat_words, 0)::BIGINT AS n_repeat_words
@@ -222,6 +222,6 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
        AND NOT (word_chars < 2 * n_words OR word_chars > 15 * n_words)
        AND NOT 2 * n_dup_lines > len(ls)
        AND NOT 20 * len(list_distinct(ws)) < n_words
-       AND NOT 2 * len(list_filter(ls, l -> ends_with(l, '...'))) > len(ls) AS kept
+       AND NOT 2 * len(list_filter(ls, lambda l: ends_with(l, '...'))) > len(ls) AS kept
 FROM failed
 """

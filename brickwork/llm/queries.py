@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, near_dup, packing, piece_bpe, quality_classifier, quality_rules, secret_scan
+from . import language_id, near_dup, packing, piece_bpe, quality_classifier, quality_rules, secret_scan, topk_search, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,11 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify_languages(_table(spark, sf_dir, "documents"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written to WARC archives, indexed, looked up and read back."""
+    return warc.archive_and_read(_table(spark, sf_dir, "pages"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base measures and the cascade's verdict for every document."""
     return quality_rules.quality_rules(_table(spark, sf_dir, "documents"))
@@ -42,6 +47,11 @@ def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(_table(spark, sf_dir, "documents"), width=4, percent=80)
 
 
+def op8_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best other vectors for every vector whose id is divisible by 20."""
+    return topk_search.top_k(_table(spark, sf_dir, "embeddings"))
+
+
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document, learned from the labels that are not held out."""
     return quality_classifier.classify_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
@@ -52,11 +62,15 @@ QUERIES = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_sentencepiece": op3_sentencepiece,
     "op4_language_id": op4_language_id,
+    "op5_warc": op5_warc,
     "op6_quality_rules": op6_quality_rules,
     "op7_near_duplicates": op7_near_duplicates,
+    "op8_topk_search": op8_topk_search,
     "op9_quality_classifier": op9_quality_classifier,
 }
 
 ORACLE_SQL = {
+    "op5_warc": warc.ORACLE_SQL,
     "op6_quality_rules": quality_rules.ORACLE_SQL,
+    "op8_topk_search": topk_search.ORACLE_SQL,
 }
