@@ -1,7 +1,30 @@
-"""All registered queries of the engine, by name."""
+"""All registered queries of the engine, by name, and SQL with the same rows."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
-FLAGSHIP = ""
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+FLAGSHIP = "btr_eligible"
+
+
+def query(name: str, sql: str | None = None):
+    """Register a function of (spark, sf_dir) as a query, with SQL where SQL can express it."""
+
+    def register(function):
+        QUERIES[name] = function
+        if sql:
+            ORACLE_SQL[name] = sql
+        return function
+
+    return register
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+from brickwork.plans import aggregates, domain, filters, joins, mutation, ordering, text  # noqa: E402, F401
