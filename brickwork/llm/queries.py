@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, near_dup, packing, piece_bpe, quality_classifier, quality_rules, secret_scan, topk_search, warc
+from . import language_id, near_dup, packing, piece_bpe, quality_classifier, quality_rules, secret_scan, token_codec, topk_search, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +57,11 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.classify_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' ids written to token files and read back."""
+    return token_codec.write_and_read(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -67,6 +72,7 @@ QUERIES = {
     "op7_near_duplicates": op7_near_duplicates,
     "op8_topk_search": op8_topk_search,
     "op9_quality_classifier": op9_quality_classifier,
+    "op10_token_files": op10_token_files,
 }
 
 ORACLE_SQL = {
