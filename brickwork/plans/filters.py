@@ -39,7 +39,8 @@ def applications(spark, d):
 
 
 def with_applications(select: str) -> str:
-    return "WITH apps AS (" + APPLICATIONS.replace("date_add(DATE '1997-01-01', CAST(p_partkey % 400 AS INT))", "DATE '1997-01-01' + CAST(p_partkey % 400 AS INT)").replace("date_add(DATE '1997-06-01', CAST(p_partkey % 300 AS INT))", "DATE '1997-06-01' + CAST(p_partkey % 300 AS INT)") + ") " + select
+    joined = "" if select.startswith(",") else " "
+    return "WITH apps AS (" + APPLICATIONS.replace("date_add(DATE '1997-01-01', CAST(p_partkey % 400 AS INT))", "DATE '1997-01-01' + CAST(p_partkey % 400 AS INT)").replace("date_add(DATE '1997-06-01', CAST(p_partkey % 300 AS INT))", "DATE '1997-06-01' + CAST(p_partkey % 300 AS INT)") + ")" + joined + select
 
 
 @query("filter_optional", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F' AND o_totalprice >= 100000")

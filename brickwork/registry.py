@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
-FLAGSHIP = "btr_eligible"
+FLAGSHIP = "score_scheme"
 
 
 def query(name: str, sql: str | None = None):
