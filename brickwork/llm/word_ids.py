@@ -1,22 +1,35 @@
-"""Token ids of whole texts by a tokenizer file, a word at a time where that is exact.
+"""Token ids of whole texts by a tokenizer file, a piece of text at a time where that is exact.
 
-The byte-level pattern of these vocabularies never joins characters across a
-space that follows a non-space, and a piece of text between two spaces is cut
-the same way alone as in its text. So ids are looked up per piece, and only
-pieces not seen before go through the tokenizer. Files of another kind encode
-each text as a whole.
+The byte-level pattern of these vocabularies begins a new word at every space
+between two characters that are no white space, and cuts what lies between two
+such spaces alike alone and in its text. So ids are looked up per piece, and
+only pieces not seen before go through the tokenizer. Files of another kind
+encode each text as a whole.
 """
 
 from __future__ import annotations
 
 import json
 import os
+import re
 
 import numpy as np
 
 
+#: A space where no word begins for certain, as white space is next to it.
+LOOSE = re.compile(r"\s | \s")
+LOOSE_ASCII = ("  ", "\n ", " \n", "\t ", " \t", "\r ", " \r", "\x0b ", " \x0b", "\x0c ", " \x0c", "\x1c ", "\x1d ", "\x1e ", "\x1f ")
+CUT = re.compile(r"(?<=\S) (?=\S)")
+
+
+def pieces(text: str) -> list[str]:
+    """The text cut at its spaces between characters that are no white space."""
+    loose = any(map(text.__contains__, LOOSE_ASCII)) if text.isascii() else LOOSE.search(text)
+    return CUT.split(text) if loose or text[:1] == " " or text[-1:] == " " else text.split(" ")
+
+
 class WordIds:
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 900_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -24,6 +37,13 @@ class WordIds:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.mode = self._mode(spec)
+        self.widths = None
+        if self.mode == "bytes":  # a character of a byte-level token stands for a byte
+            tokens = self.tokenizer.get_vocab(with_added_tokens=True)
+            added = {t["content"] for t in spec.get("added_tokens", [])}
+            self.widths = np.zeros(max(tokens.values()) + 1, np.int64)
+            for t, i in tokens.items():
+                self.widths[i] = len(t.encode()) if t in added else len(t)
         self.most = most
         self.first: dict[str, bytes] = {}
         self.after: dict[str, bytes] = {}
@@ -53,7 +73,7 @@ class WordIds:
         if len(self.first) + len(self.after) > self.most:
             self.first, self.after = {}, {}
         if self.mode == "bytes":
-            rows = [t.split(" ") for t in texts]
+            rows = [pieces(t) for t in texts]
             self._learn(self.first, {r[0] for r in rows}, "")
             rest = set()
             for r in rows:
@@ -72,4 +92,15 @@ class WordIds:
     def _learn(self, known: dict[str, bytes], words: set[str], before: str) -> None:
         new = [w for w in words if w not in known]
         if new:
-            known.update(zip(new, self._encode([before + w for w in new])))
+            known.update(zip(new, self._encode_joined([before + w for w in new]) if before else self._encode(new)))
+
+    def _encode_joined(self, parts: list[str]) -> list[bytes]:
+        """Pieces that begin with their space, encoded as one text and cut again by their bytes."""
+        ids = np.array(self.tokenizer.encode_batch_fast(["".join(parts)], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.cumsum(np.array([len(p.encode()) for p in parts], np.int64))
+        reached = np.cumsum(self.widths[ids])
+        at = np.searchsorted(reached, ends)
+        if len(reached) and at[-1] < len(reached) and (reached[at] == ends).all():
+            data, stops = ids.tobytes(), (4 * (at + 1)).tolist()
+            return [data[a:b] for a, b in zip([0, *stops], stops)]
+        return self._encode(parts)
