@@ -150,7 +150,7 @@ def top_k(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k:
         blocks = -(-queries // block_queries)
         of_length = written(asked.where(F.size("v") == length).withColumn("block", F.pmod(F.monotonically_increasing_id(), F.lit(blocks))), "queries")
         for block in range(blocks):
-            table = pa.Table.from_batches([b for b in of_length.where(F.col("block") == block).select("id", "v").toArrow().combine_chunks().to_batches()])
+            table = of_length.where(F.col("block") == block).select("id", "v").toArrow()
             got = [r[length] for b in table.to_batches() if length in (r := _rows(b, scale))]
             if not got:
                 continue
