@@ -41,78 +41,89 @@ TOTAL = 1 << BITS
 #: Coders keep 48 bits and move 16 at a time, so a symbol seldom moves any.
 WORD, TOP, MASK = np.uint64(16), np.uint64(1 << 32), np.uint64((1 << 48) - 1)
 FLOOR = 8  # the least frequency of a nibble
-SIZE_2, SIZE_1, SIZE_0 = 4096, 2048, 512
+SIZE_2, SIZE_1, SIZE_0 = 2048, 1024, 256
 NODES = 273 + SIZE_0  # nibble contexts: one, 16 and 256 in full, those behind hashed
-STEPS = np.where(np.arange(16)[None, :] >= np.arange(16)[:, None], 32767, 0).astype(np.int16)
+SPREAD = TOTAL - 16 * FLOOR  # what the nibbles share beyond their least frequency
+STEPS = np.where(np.arange(16)[None, :] >= np.arange(16)[:, None], SPREAD, 0).astype(np.int16).view("V32").ravel()
 
 
-def _narrow(low: np.ndarray, rng: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Ranges cut where they are too short, and the lanes whose upper 16 bits are settled."""
-    settled = (low ^ (low + rng)) < TOP
-    go = settled | (rng < TOP)
-    at = np.flatnonzero(go)
-    if len(at):
-        short = at[~settled[at]]
-        rng[short] = (~low[short] + np.uint64(1)) & (TOP - np.uint64(1))
-    return rng, at
+class Lanes:
+    """Coder state of some lanes: views of the first n, or copies of any, to be put back."""
 
+    def __init__(self, coder: "Coder", lanes: np.ndarray, prefix: bool):
+        self.coder, self.lanes, self.prefix = coder, lanes, prefix
+        n = len(lanes)
+        self.low, self.range, self.at = ((x[:n] if prefix else x[lanes]) for x in (coder.low, coder.range, coder.at))
+        self.value = None if coder.value is None else coder.value[:n] if prefix else coder.value[lanes]
+
+    def code(self, start: np.ndarray, freq: np.ndarray) -> None:
+        """One symbol in every lane; words that are settled leave (or enter)."""
+        step = self.range >> np.uint64(BITS)
+        self.low += step * start
+        np.multiply(step, freq, out=self.range)
+        while True:
+            settled = (self.low ^ (self.low + self.range)) < TOP
+            go = np.flatnonzero(settled | (self.range < TOP))
+            if not len(go):
+                return
+            low, rng = self.low[go], self.range[go]
+            rng = np.where(settled[go], rng, (~low + np.uint64(1)) & (TOP - np.uint64(1)))  # a range that is too short is cut
+            at = self.at[go]
+            self.coder.move(self, go, low, at)
+            self.at[go] = at + 1
+            self.low[go] = (low << WORD) & MASK
+            self.range[go] = (rng << WORD) & MASK
+
+    def put(self) -> None:
+        if not self.prefix:
+            self.coder.low[self.lanes], self.coder.range[self.lanes], self.coder.at[self.lanes] = self.low, self.range, self.at
+            if self.value is not None:
+                self.coder.value[self.lanes] = self.value
+
+
+class Coder:
+    """Range coders of many lanes."""
+
+    def __init__(self, lanes: int):
+        self.low, self.range, self.at = np.zeros(lanes, np.uint64), np.full(lanes, MASK), np.zeros(lanes, np.int64)
+        self.value = None
+
+    def some(self, lanes: np.ndarray, prefix: bool) -> Lanes:
+        return Lanes(self, lanes, prefix)
 
-class Encoder:
-    """Range coders of many lanes; each call codes one symbol in some lanes."""
 
+class Encoder(Coder):
     def __init__(self, lanes: int, tokens: int):
-        self.low, self.range = np.zeros(lanes, np.uint64), np.full(lanes, MASK)
-        self.out, self.at = np.zeros((lanes, tokens + tokens // 2 + 32), np.uint16), np.zeros(lanes, np.int64)
+        super().__init__(lanes)
+        self.out = np.zeros((lanes, tokens + tokens // 2 + 32), np.uint16)
 
-    def code(self, lanes: np.ndarray, start: np.ndarray, freq: np.ndarray) -> None:
-        step = self.range[lanes] >> np.uint64(BITS)
-        low, rng = self.low[lanes] + step * start, step * freq
-        while True:
-            rng, go = _narrow(low, rng)
-            if not len(go):
-                break
-            where = lanes[go]
-            at = self.at[where]
-            if at.max() + 8 >= self.out.shape[1]:
-                self.out = np.concatenate([self.out, np.zeros_like(self.out)], axis=1)
-            self.out[where, at] = low[go] >> np.uint64(32)
-            self.at[where] = at + 1
-            low[go] = (low[go] << WORD) & MASK
-            rng[go] = (rng[go] << WORD) & MASK
-        self.low[lanes], self.range[lanes] = low, rng
+    def move(self, some: Lanes, go: np.ndarray, low: np.ndarray, at: np.ndarray) -> None:
+        if at.max() + 8 >= self.out.shape[1]:
+            self.out = np.concatenate([self.out, np.zeros_like(self.out)], axis=1)
+        self.out.ravel()[some.lanes[go] * self.out.shape[1] + at] = low >> np.uint64(32)
 
     def finish(self) -> list[bytes]:
         tail = np.stack([self.low >> np.uint64(s) & np.uint64(0xFFFF) for s in (32, 16, 0)], axis=1).astype("<u2")
         return [row[:n].astype("<u2").tobytes() + t.tobytes() for row, n, t in zip(self.out, self.at.tolist(), tail)]
 
 
-class Decoder:
-    """The inverse: ``target`` gives the place within TOTAL that the next symbol covers."""
-
+class Decoder(Coder):
     def __init__(self, blocks: list[bytes]):
+        super().__init__(len(blocks))
         width = max(map(len, blocks)) + 16
         self.data = np.frombuffer(b"".join(b.ljust(width + width % 2, b"\0") for b in blocks), "<u2").reshape(len(blocks), -1).astype(np.uint64)
-        self.low, self.range = np.zeros(len(blocks), np.uint64), np.full(len(blocks), MASK)
         self.value = self.data[:, 0] << np.uint64(32) | self.data[:, 1] << np.uint64(16) | self.data[:, 2]
-        self.at = np.full(len(blocks), 3, np.int64)
+        self.at[:] = 3
 
-    def target(self, lanes: np.ndarray) -> np.ndarray:
-        self.step = self.range[lanes] >> np.uint64(BITS)
-        return np.minimum(((self.value[lanes] - self.low[lanes]) & MASK) // self.step, np.uint64(TOTAL - 1)).astype(np.int32)
+    def move(self, some: Lanes, go: np.ndarray, low: np.ndarray, at: np.ndarray) -> None:
+        width = self.data.shape[1]
+        word = self.data.ravel()[some.lanes[go] * width + np.minimum(at, width - 1)]
+        some.value[go] = ((some.value[go] << WORD) & MASK) | word
 
-    def code(self, lanes: np.ndarray, start: np.ndarray, freq: np.ndarray) -> None:
-        low, rng, value = self.low[lanes] + self.step * start, self.step * freq, self.value[lanes]
-        while True:
-            rng, go = _narrow(low, rng)
-            if not len(go):
-                break
-            where = lanes[go]
-            at = self.at[where]
-            value[go] = ((value[go] << WORD) & MASK) | self.data[where, np.minimum(at, self.data.shape[1] - 1)]
-            self.at[where] = at + 1
-            low[go] = (low[go] << WORD) & MASK
-            rng[go] = (rng[go] << WORD) & MASK
-        self.low[lanes], self.range[lanes], self.value[lanes] = low, rng, value
+    @staticmethod
+    def target(some: Lanes) -> np.ndarray:
+        """The place within TOTAL that the next symbol covers."""
+        return np.minimum(((some.value - some.low) & MASK) // (some.range >> np.uint64(BITS)), np.uint64(TOTAL - 1)).astype(np.int32)
 
 
 class Model:
@@ -126,7 +137,7 @@ class Model:
         self.kinds = [np.tile(even, (lanes * n, 1)) for n in (8, 8, 3)]
         self.weights = [np.full(lanes, 1 / 3, np.float32) for _ in range(3)]
         self.last_kind = np.full(lanes, 2, np.int64)
-        self.rows = np.tile((np.arange(1, 17) * 2048 - 1).astype(np.int16), (lanes * NODES, 1))
+        self.rows = np.tile((np.arange(1, 17) * (SPREAD // 16)).astype(np.int16), (lanes * NODES, 1)).view("V32").ravel()  # a row moves as one item
         self.last, self.before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
         self.base_2, self.base_1, self.base_0 = (np.arange(lanes) * n for n in (SIZE_2, SIZE_1, NODES))
         self.base_k = [np.arange(lanes) * n for n in (8, 8, 3)]
@@ -172,7 +183,7 @@ class Model:
         return self.base_0[lanes] + (273 + ((prefix * 0x9E3779B1 >> 11) & (SIZE_0 - 1)))
 
     def learn_nibble(self, at: np.ndarray, row: np.ndarray, nibble: np.ndarray) -> None:
-        self.rows[at] = row + ((STEPS[nibble] - row) >> 4)
+        self.rows[at] = (row + ((STEPS[nibble].view(np.int16).reshape(-1, 16) - row) >> 4)).view("V32").ravel()
 
     def learn_id(self, ids: np.ndarray) -> None:
         n = len(ids)
@@ -186,11 +197,6 @@ class Model:
         self.last[:n] = ids
 
 
-def _edge(c: np.ndarray, nibble: np.ndarray) -> np.ndarray:
-    """The upper edge of a nibble's range from its row value; each nibble keeps FLOOR at least."""
-    return np.where(nibble == 15, TOTAL, (c.astype(np.int32) * (TOTAL - 16 * FLOOR) >> BITS) + FLOOR * (nibble + 1))
-
-
 def encode_blocks(blocks: list[np.ndarray], nibbles: int) -> list[bytes]:
     """Code blocks of ids (below 16 ** nibbles), all in lockstep."""
     order = sorted(range(len(blocks)), key=lambda i: -len(blocks[i]))
@@ -208,21 +214,21 @@ def encode_blocks(blocks: list[np.ndarray], nibbles: int) -> list[bytes]:
         now = ids[t, :n]
         model.predict(n)
         kind = np.where(now == model.guess_2, 0, np.where(now == model.guess_1, 1, 2))
-        coder.code(everyone[:n], *model.kind_range(kind))
+        coder.some(everyone[:n], True).code(*model.kind_range(kind))
         model.learn_kind(kind)
         lanes = np.flatnonzero(kind == 2)
         if len(lanes):
-            rest = now[lanes].astype(np.int64)
+            some, rest = coder.some(lanes, False), now[lanes].astype(np.int64)
             for k in range(nibbles):
                 shift = 4 * (nibbles - 1 - k)
                 nibble = (rest >> shift) & 15
                 at = model.node(lanes, k, rest >> (shift + 4))
-                row = model.rows[at]
+                row = model.rows[at].view(np.int16).reshape(-1, 16)
                 flat, first = row.ravel(), np.arange(0, 16 * len(lanes), 16) + nibble
-                end = _edge(flat[first], nibble)
-                start = np.where(nibble == 0, 0, _edge(flat[first - (nibble > 0)], nibble - 1))
-                coder.code(lanes, start.astype(np.uint64), (end - start).astype(np.uint64))
+                start = (flat[first - 1] + FLOOR * nibble) * (nibble > 0)
+                some.code(start.astype(np.uint64), (flat[first] + FLOOR * (nibble + 1) - start).astype(np.uint64))
                 model.learn_nibble(at, row, nibble)
+            some.put()
         model.learn_id(now)
     out = [b""] * len(blocks)
     for i, data in zip(order, coder.finish()):
@@ -241,31 +247,30 @@ def decode_blocks(data: list[bytes], counts: list[int], nibbles: int) -> list[np
     ids = np.zeros((longest, len(order)), np.int32)
     model, coder = Model(len(order), nibbles), Decoder([data[i] for i in order])
     everyone = np.arange(len(order))
-    scaled = FLOOR * np.arange(1, 17, dtype=np.int32)
+    floor = FLOOR * np.arange(1, 17, dtype=np.int32)
     for t in range(longest):
         n = int(np.searchsorted(-lengths, -t, side="left"))
         model.predict(n)
-        target = coder.target(everyone[:n])
+        some = coder.some(everyone[:n], True)
+        target = coder.target(some)
         kind = (target >= model.cuts[0]).astype(np.int64) + (target >= model.cuts[1])
-        coder.code(everyone[:n], *model.kind_range(kind))
+        some.code(*model.kind_range(kind))
         model.learn_kind(kind)
         now = np.where(kind == 0, model.guess_2, model.guess_1)
         lanes = np.flatnonzero(kind == 2)
         if len(lanes):
-            prefix = np.zeros(len(lanes), np.int64)
+            some, prefix = coder.some(lanes, False), np.zeros(len(lanes), np.int64)
             for k in range(nibbles):
                 at = model.node(lanes, k, prefix)
-                row = model.rows[at]
-                edges = (row.astype(np.int32) * (TOTAL - 16 * FLOOR) >> BITS) + scaled
-                edges[:, 15] = TOTAL
-                target = coder.target(lanes)
-                nibble = (edges <= target[:, None]).sum(axis=1)
+                row = model.rows[at].view(np.int16).reshape(-1, 16)
+                edges = row + floor
+                nibble = (edges <= coder.target(some)[:, None]).sum(axis=1)
                 flat, first = edges.ravel(), np.arange(0, 16 * len(lanes), 16) + nibble
-                end = flat[first]
-                start = np.where(nibble == 0, 0, flat[first - (nibble > 0)])
-                coder.code(lanes, start.astype(np.uint64), (end - start).astype(np.uint64))
+                start = flat[first - 1] * (nibble > 0)
+                some.code(start.astype(np.uint64), (flat[first] - start).astype(np.uint64))
                 model.learn_nibble(at, row, nibble)
                 prefix = (prefix << 4) | nibble
+            some.put()
             now[lanes] = prefix
         ids[t, :n] = now
         model.learn_id(now)
@@ -315,7 +320,7 @@ def unpack_file(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     return doc_ids, np.array(counts, np.int64), np.concatenate(ids) if ids else np.empty(0, np.int32)
 
 
-def write_tokens(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, block_tokens: int = 4096, file_tokens: int = 4096 * 2048, files: int | None = None) -> tuple[DataFrame, str]:
+def write_tokens(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, block_tokens: int = 2048, file_tokens: int = 2048 * 4096, files: int | None = None) -> tuple[DataFrame, str]:
     """Encode all texts and write files in ascending id order (null first); one row per file: range part, number, path, tokens, documents."""
     spark = df.sparkSession
     folder = new_path(spark, "tokens")
