@@ -57,7 +57,7 @@ def urgency_score(months: Column) -> Column:
 
 def gap(legacy: Column, default: float) -> Column:
     """What is missing to 100 in an older 0 to 100 field, or a default."""
-    return F.coalesce(F.greatest(F.lit(0.0), 100.0 - legacy), F.lit(default))
+    return F.when(legacy.isNotNull(), F.greatest(F.lit(0.0), 100.0 - legacy)).otherwise(default)
 
 
 def rating_score(rating: Column, legacy: Column) -> Column:

@@ -43,9 +43,9 @@ def score_application(spark, d):
     "WITH c AS (SELECT l_orderkey, max(l_shipdate) AS ends FROM lineitem WHERE l_linestatus = 'O' GROUP BY 1), x AS (SELECT o_orderkey, coalesce(ends, CASE WHEN o_orderkey % 3 <> 0 THEN o_orderdate END) AS e, CASE WHEN o_orderkey % 5 <> 0 THEN (o_orderkey % 51) / 10.0 END AS rating, CASE WHEN o_orderkey % 4 = 0 THEN (o_orderkey % 120) * 1.0 END AS legacy, "
     "CASE WHEN o_orderkey % 7 <> 0 THEN (o_orderkey % 103) / 100.0 END AS occ, CASE WHEN o_orderkey % 6 <> 0 THEN (o_orderkey % 130) * 1.0 END AS arrears FROM orders LEFT JOIN c ON l_orderkey = o_orderkey), "
     "m AS (SELECT *, (year(e) - 1998) * 12 + month(e) - 1 AS months FROM x), p AS (SELECT o_orderkey, (CASE WHEN months IS NULL THEN 35.0 WHEN months <= 6 THEN 100.0 WHEN months <= 12 THEN 85.0 WHEN months <= 24 THEN 55.0 ELSE 20.0 END)::DOUBLE AS contract_urgency, "
-    "(CASE WHEN rating > 0 THEN CASE WHEN rating < 3.5 THEN 100.0 WHEN rating < 4.0 THEN 70.0 WHEN rating < 4.5 THEN 35.0 ELSE 10.0 END ELSE coalesce(greatest(0, 100 - legacy), 40.0) END)::DOUBLE AS csat_gap, "
-    "(CASE WHEN occ BETWEEN 0 AND 1 THEN CASE WHEN occ::DOUBLE * 100 < 80 THEN 100.0 WHEN occ::DOUBLE * 100 < 92 THEN 60.0 WHEN occ::DOUBLE * 100 < 98 THEN 25.0 ELSE 10.0 END ELSE coalesce(greatest(0, 100 - legacy), 45.0) END)::DOUBLE AS occupancy_gap, "
-    "(CASE WHEN arrears BETWEEN 0 AND 100 THEN arrears ELSE coalesce(greatest(0, 100 - legacy), 40.0) END)::DOUBLE AS financial_distress FROM m) "
+    "(CASE WHEN rating > 0 THEN CASE WHEN rating < 3.5 THEN 100.0 WHEN rating < 4.0 THEN 70.0 WHEN rating < 4.5 THEN 35.0 ELSE 10.0 END ELSE CASE WHEN legacy IS NOT NULL THEN greatest(0, 100 - legacy) ELSE 40.0 END END)::DOUBLE AS csat_gap, "
+    "(CASE WHEN occ BETWEEN 0 AND 1 THEN CASE WHEN occ::DOUBLE * 100 < 80 THEN 100.0 WHEN occ::DOUBLE * 100 < 92 THEN 60.0 WHEN occ::DOUBLE * 100 < 98 THEN 25.0 ELSE 10.0 END ELSE CASE WHEN legacy IS NOT NULL THEN greatest(0, 100 - legacy) ELSE 45.0 END END)::DOUBLE AS occupancy_gap, "
+    "(CASE WHEN arrears BETWEEN 0 AND 100 THEN arrears ELSE CASE WHEN legacy IS NOT NULL THEN greatest(0, 100 - legacy) ELSE 40.0 END END)::DOUBLE AS financial_distress FROM m) "
     "SELECT *, round_even(least(greatest(0.35::DOUBLE * contract_urgency + 0.25::DOUBLE * csat_gap + 0.20::DOUBLE * occupancy_gap + 0.20::DOUBLE * financial_distress, 0), 100), 1) AS composite FROM p",
 )
 def score_scheme(spark, d):
