@@ -360,7 +360,7 @@ def write_tokens(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     n = files or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     dealt = docs.repartitionByRange(n, "id").sortWithinPartitions("id", "text")
-    return written(dealt.mapInArrow(write, "part int, number int, path string, tokens long, documents long"), "token-files"), folder
+    return written(dealt.mapInArrow(write, "part long, number long, path string, tokens long, documents long"), "token-files"), folder
 
 
 def read_tokens(files: DataFrame, folder: str, with_ids: bool = False) -> DataFrame:
