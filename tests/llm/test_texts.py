@@ -109,7 +109,8 @@ def test_quality_rules_edges(spark):
 
 def test_cascade_order_follows_rejection_per_cost():
     ticks = iter(range(1000))
-    texts = [" ".join(f"w{i}" for i in range(60)) + " !" * 90] * 3 + [" ".join(f"w{i}" for i in range(60))] * 3
+    clean = " ".join(chr(97 + i % 26) + chr(97 + i // 26) + "ing" for i in range(60))
+    texts = [clean + " !?" * 45 + "!" * 90] * 3 + [clean] * 3
     order = quality_rules.order_rules(texts, clock=lambda: next(ticks))
     assert order[0][0].name == "exclamations" and order[0][2] == 0.5
     assert [o[0] for o in order] != [] and {o[0].name for o in order} == {r.name for r in quality_rules.RULES}
