@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -57,6 +59,22 @@ def text_slices(batch: pa.RecordBatch, index: int, max_bytes: int = 8 << 20) ->
         yield batch.slice(start, step)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Send texts to Python in batches of few rows, unless the session has its own setting: a batch is held by both sides."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":  # Spark's default
+        spark.conf.set(name, str(rows))
+
+
+def release_memory() -> None:
+    """Give freed memory back: Spark keeps Python workers for later tasks, whose memory counts beside the next ones'."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def with_text_columns(df: DataFrame, text_col: str, fields: list[T.StructField], make: Callable[[], Callable]) -> DataFrame:
     """``df`` and new columns from its text, Arrow batch by batch.
 
@@ -64,6 +82,7 @@ def with_text_columns(df: DataFrame, text_col: str, fields: list[T.StructField],
     (None for null) to one list or array per field. All other columns pass
     through untouched. Names must not clash; see :func:`free_name`.
     """
+    small_batches(df.sparkSession)
     schema = T.StructType(df.schema.fields + fields)
     index = df.columns.index(text_col)
     types = list(to_arrow_schema(T.StructType(fields)).types)
@@ -75,6 +94,9 @@ def with_text_columns(df: DataFrame, text_col: str, fields: list[T.StructField],
                 found = work(part.column(index).to_pylist())
                 arrays = [a if isinstance(a, pa.Array) else pa.array(a, type=t) for a, t in zip(found, types)]
                 yield pa.RecordBatch.from_arrays(part.columns + arrays, names=schema.names)
+                del found, arrays
+        del work
+        release_memory()
 
     return df.mapInArrow(run, schema)
 

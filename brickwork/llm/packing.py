@@ -20,11 +20,13 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import written
+from .common import release_memory, small_batches, written
 from .word_ids import WordIds
 
 
@@ -62,34 +64,35 @@ PIECE = [T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongT
 PLACE = [T.StructField("bin", T.LongType()), T.StructField("offset", T.LongType()), T.StructField("fill", T.LongType())]
 
 
-def _pack_local(tokenizer: str, room: int, end_id: int, with_ids: bool, pack_rows: int):
+def _pack_local(tokenizer: str, room: int, end_id: int, schema: T.StructType, pack_rows: int):
     """Tokenize, cut and pack one partition; bins of a partition are numbered from its own range."""
-    end = np.array([end_id], "<u4").tobytes()
+    end, types, with_ids = np.array([end_id], "<u4").tobytes(), list(to_arrow_schema(schema).types), "ids" in schema.names
 
     def run(batches):
         from pyspark import TaskContext
 
         words = WordIds(tokenizer)
         next_bin = TaskContext.get().partitionId() << 36
-        rows, whole = [], []
+        rows = []
 
         def packed():
             nonlocal next_bin, rows
-            pdf = pd.DataFrame(rows, columns=["id", "piece", "start", "length", "ids_crc32", "ids"])
+            *columns, length, crc, ids = map(list, zip(*rows))
             rows = []
-            full = (pdf["length"] == room).to_numpy()
-            where, offset, fill = best_fit(pdf["length"].to_numpy(np.int64)[~full], room)
-            bins, offsets, fills = (np.zeros(len(pdf), np.int64) for _ in range(3))
+            sizes = np.array(length, np.int64)
+            full = sizes == room
+            where, offset, fill = best_fit(sizes[~full], room)
+            bins, offsets, fills = (np.zeros(len(sizes), np.int64) for _ in range(3))
             bins[~full], offsets[~full], fills[~full] = where, offset, np.array(fill, np.int64)[where] if len(fill) else 0
             bins[full], fills[full] = len(fill) + np.arange(full.sum()), room
-            pdf["bin"], pdf["offset"], pdf["fill"] = bins + next_bin, offsets, fills
+            columns += [length, crc, *([ids] if with_ids else []), bins + next_bin, offsets, fills]
             next_bin += len(fill) + int(full.sum())
-            return pdf if with_ids else pdf.drop(columns="ids")
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=schema.names)
 
-        for pdf in batches:
-            for at in range(0, len(pdf), 1000):
-                part = pdf.iloc[at : at + 1000]
-                for key, ids in zip(part["id"], words.encode([t or "" for t in part["text"]])):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                for key, ids in zip(part.column(0).to_pylist(), words.encode([t or "" for t in part.column(1).to_pylist()])):
                     ids += end
                     n = len(ids) // 4
                     cuts = [0, *range(n % room or room, n + 1, room)] if n > room else [0, n]
@@ -100,6 +103,8 @@ def _pack_local(tokenizer: str, room: int, end_id: int, with_ids: bool, pack_row
                 yield packed()
         if rows:
             yield packed()
+        words = None
+        release_memory()
 
     return run
 
@@ -119,11 +124,12 @@ def _merge_groups(room: int):
 
 def pack_documents(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", room: int = 1024, end_id: int = 2, slack: int = 0, fan_in: int = 8, group_bins: int = 100_000, with_ids: bool = False, pack_rows: int = 400_000) -> DataFrame:
     """One row per piece: id, piece, start, length, ids_crc32, sequence_id, offset (and the ids as bytes)."""
+    small_batches(df.sparkSession)
     id_type = df.schema[id_col].dataType
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     ids = [T.StructField("ids", T.BinaryType())] if with_ids else []
     schema = T.StructType([T.StructField("id", id_type), *PIECE, *ids, *PLACE])
-    pieces = written(docs.mapInPandas(_pack_local(tokenizer, room, end_id, with_ids, pack_rows), schema), "pieces")
+    pieces = written(docs.mapInArrow(_pack_local(tokenizer, room, end_id, schema, pack_rows), schema), "pieces")
 
     # bins that still have room, with the group that they come from
     bins = pieces.where(F.col("fill") < room - slack).groupBy("bin").agg(F.first("fill").alias("fill"))

@@ -47,6 +47,10 @@ SPREAD = TOTAL - 16 * FLOOR  # what the nibbles share beyond their least frequen
 STEPS = np.where(np.arange(16)[None, :] >= np.arange(16)[:, None], SPREAD, 0).astype(np.int16).view("V32").ravel()
 
 
+#: Where the two cuts of the first symbol move after each of its values.
+GOALS = np.array([[TOTAL, TOTAL], [0, TOTAL], [0, 0]], np.int32).view(np.int64).ravel()
+
+
 class Lanes:
     """Coder state of some lanes: views of the first n, or copies of any, to be put back."""
 
@@ -123,7 +127,7 @@ class Decoder(Coder):
     @staticmethod
     def target(some: Lanes) -> np.ndarray:
         """The place within TOTAL that the next symbol covers."""
-        return np.minimum(((some.value - some.low) & MASK) // (some.range >> np.uint64(BITS)), np.uint64(TOTAL - 1)).astype(np.int32)
+        return np.minimum(((some.value - some.low) & MASK) // (some.range >> np.uint64(BITS)), np.uint64(TOTAL - 1)).astype(np.int16)
 
 
 class Model:
@@ -131,10 +135,9 @@ class Model:
 
     def __init__(self, lanes: int, nibbles: int):
         self.nibbles = nibbles
-        self.id_2, self.sure_2 = np.full(lanes * SIZE_2, -1, np.int32), np.zeros(lanes * SIZE_2, np.int8)
-        self.id_1, self.sure_1 = np.full(lanes * SIZE_1, -1, np.int32), np.zeros(lanes * SIZE_1, np.int8)
+        self.seen_2, self.seen_1 = np.full(lanes * SIZE_2, -8, np.int32), np.full(lanes * SIZE_1, -8, np.int32)  # 8 * id + trust
         even = np.array([TOTAL // 3, 2 * TOTAL // 3], np.int32)
-        self.kinds = [np.tile(even, (lanes * n, 1)) for n in (8, 8, 3)]
+        self.kinds = [np.tile(even, (lanes * n, 1)).view(np.int64).ravel() for n in (8, 8, 3)]  # two cuts move as one item
         self.weights = [np.full(lanes, 1 / 3, np.float32) for _ in range(3)]
         self.last_kind = np.full(lanes, 2, np.int64)
         self.rows = np.tile((np.arange(1, 17) * (SPREAD // 16)).astype(np.int16), (lanes * NODES, 1)).view("V32").ravel()  # a row moves as one item
@@ -146,10 +149,11 @@ class Model:
         """For the first n lanes: predicted ids, and the mixed distribution of the first symbol."""
         self.slot_2 = self.base_2[:n] + (((self.before[:n] * 0x9E3779B1 + self.last[:n]) * 0x85EBCA77 >> 15) & (SIZE_2 - 1))
         self.slot_1 = self.base_1[:n] + ((self.last[:n] * 0x9E3779B1 >> 13) & (SIZE_1 - 1))
-        self.guess_2, self.guess_1 = self.id_2[self.slot_2], self.id_1[self.slot_1]
-        at = (self.sure_2[self.slot_2], self.sure_1[self.slot_1], self.last_kind[:n])
+        seen_2, seen_1 = self.seen_2[self.slot_2], self.seen_1[self.slot_1]
+        self.guess_2, self.guess_1, self.sure_2, self.sure_1 = seen_2 >> 3, seen_1 >> 3, seen_2 & 7, seen_1 & 7
+        at = (self.sure_2, self.sure_1, self.last_kind[:n])
         self.kind_at = [b[:n] + a for b, a in zip(self.base_k, at)]
-        self.kind_rows = [k[i] for k, i in zip(self.kinds, self.kind_at)]
+        self.kind_rows = [k[i].view(np.int32).reshape(-1, 2) for k, i in zip(self.kinds, self.kind_at)]
         w = [x[:n, None] for x in self.weights]
         a, b, c = self.kind_rows
         mixed = ((a * w[0] + b * w[1]) + c * w[2]).astype(np.int32)
@@ -164,13 +168,13 @@ class Model:
 
     def learn_kind(self, kind: np.ndarray) -> None:
         n = len(kind)
-        goal = np.stack([(kind == 0) * TOTAL, (kind <= 1) * TOTAL], axis=1).astype(np.int32)
+        goal = GOALS[kind].view(np.int32).reshape(-1, 2)
         odds = []
         for table, at, row, w in zip(self.kinds, self.kind_at, self.kind_rows, self.weights):
             a, b = row[:, 0], row[:, 1]
             p = np.where(kind == 0, a, np.where(kind == 1, b - a, TOTAL - b))
             odds.append(w[:n] * (np.maximum(p, 32).astype(np.float32) * np.float32(1 / TOTAL)) + np.float32(0.003))
-            table[at] = row + ((goal - row) >> 5)
+            table[at] = (row + ((goal - row) >> 5)).view(np.int64).ravel()
         total = (odds[0] + odds[1]) + odds[2]
         for w, o in zip(self.weights, odds):
             w[:n] = o / total
@@ -187,12 +191,10 @@ class Model:
 
     def learn_id(self, ids: np.ndarray) -> None:
         n = len(ids)
-        for table, sure, slot, guess in ((self.id_2, self.sure_2, self.slot_2, self.guess_2), (self.id_1, self.sure_1, self.slot_1, self.guess_1)):
-            trust = sure[slot]
+        for table, slot, guess, trust in ((self.seen_2, self.slot_2, self.guess_2, self.sure_2), (self.seen_1, self.slot_1, self.guess_1, self.sure_1)):
             right = guess == ids
-            weak = ~right & (trust <= 1)
-            table[slot] = np.where(weak, ids, guess)
-            sure[slot] = np.where(right, np.minimum(trust + 1, 7), np.where(weak, 1, trust >> 1))
+            kept = (guess << 3) + np.where(right, np.minimum(trust + 1, 7), trust >> 1)
+            table[slot] = np.where(right | (trust > 1), kept, (ids << 3) + 1)
         self.before[:n] = self.last[:n]
         self.last[:n] = ids
 
@@ -247,7 +249,8 @@ def decode_blocks(data: list[bytes], counts: list[int], nibbles: int) -> list[np
     ids = np.zeros((longest, len(order)), np.int32)
     model, coder = Model(len(order), nibbles), Decoder([data[i] for i in order])
     everyone = np.arange(len(order))
-    floor = FLOOR * np.arange(1, 17, dtype=np.int32)
+    floor = (FLOOR * np.arange(1, 17)).astype(np.int16)
+    floor[15] -= 1  # the last edge, TOTAL, is one too large for 16 bits
     for t in range(longest):
         n = int(np.searchsorted(-lengths, -t, side="left"))
         model.predict(n)
@@ -263,11 +266,11 @@ def decode_blocks(data: list[bytes], counts: list[int], nibbles: int) -> list[np
             for k in range(nibbles):
                 at = model.node(lanes, k, prefix)
                 row = model.rows[at].view(np.int16).reshape(-1, 16)
-                edges = row + floor
-                nibble = (edges <= coder.target(some)[:, None]).sum(axis=1)
-                flat, first = edges.ravel(), np.arange(0, 16 * len(lanes), 16) + nibble
-                start = flat[first - 1] * (nibble > 0)
-                some.code(start.astype(np.uint64), (flat[first] - start).astype(np.uint64))
+                over = ((row + floor) <= coder.target(some)[:, None]).view(np.uint64)  # 16 flags of one byte each
+                nibble = np.minimum(np.bitwise_count(over[:, 0]) + np.bitwise_count(over[:, 1]), 15).astype(np.int64)
+                flat, first = row.ravel(), np.arange(0, 16 * len(lanes), 16) + nibble
+                start = (flat[first - 1] + FLOOR * nibble) * (nibble > 0)
+                some.code(start.astype(np.uint64), (flat[first] + FLOOR * (nibble + 1) - start).astype(np.uint64))
                 model.learn_nibble(at, row, nibble)
                 prefix = (prefix << 4) | nibble
             some.put()

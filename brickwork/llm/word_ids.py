@@ -20,6 +20,8 @@ import numpy as np
 LOOSE = re.compile(r"\s | \s")
 LOOSE_ASCII = ("  ", "\n ", " \n", "\t ", " \t", "\r ", " \r", "\x0b ", " \x0b", "\x0c ", " \x0c", "\x1c ", "\x1d ", "\x1e ", "\x1f ")
 CUT = re.compile(r"(?<=\S) (?=\S)")
+#: Pieces that the word pattern cuts into letters and perhaps a run of marks, with or without normalisation.
+PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+([.,;:!?]*)")
 
 
 def pieces(text: str) -> list[str]:
@@ -29,7 +31,7 @@ def pieces(text: str) -> list[str]:
 
 
 class WordIds:
-    def __init__(self, path: str, most: int = 900_000):
+    def __init__(self, path: str, most: int = 400_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -44,6 +46,13 @@ class WordIds:
             self.widths = np.zeros(max(tokens.values()) + 1, np.int64)
             for t, i in tokens.items():
                 self.widths[i] = len(t.encode()) if t in added else len(t)
+        self.last_of_word = None
+        if self.mode == "words":
+            tokens = self.tokenizer.get_vocab(with_added_tokens=True)
+            self.last_of_word = np.zeros(max(tokens.values()) + 1, bool)
+            suffix = spec["model"].get("end_of_word_suffix") or ""
+            for t, i in tokens.items():
+                self.last_of_word[i] = bool(suffix) and t.endswith(suffix)
         self.most = most
         self.first: dict[str, bytes] = {}
         self.after: dict[str, bytes] = {}
@@ -85,10 +94,23 @@ class WordIds:
         words = set()
         for r in rows:
             words.update(r)
-        self._learn(self.first, words, "")
+        self._learn_words(self.first, words)
         get = self.first.__getitem__
         return [b"".join(map(get, r)) for r in rows]
 
+    def _learn_words(self, known: dict[str, bytes], words: set[str]) -> None:
+        """As ``_learn``; plain new pieces go through as one text, cut again where their last words end."""
+        new = [w for w in words if w not in known]
+        found = [PLAIN.fullmatch(w) for w in new]
+        plain = [w for w, m in zip(new, found) if m]
+        count = np.array([1 + bool(m[1]) for m in found if m], np.int64)
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(plain)], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.flatnonzero(self.last_of_word[ids]) + 1
+        if plain and len(ends) == count.sum() and ends[-1] == len(ids):
+            data, stops = ids.tobytes(), (4 * ends[np.cumsum(count) - 1]).tolist()
+            known.update(zip(plain, [data[a:b] for a, b in zip([0, *stops], stops)]))
+        self._learn(known, words, "")
+
     def _learn(self, known: dict[str, bytes], words: set[str], before: str) -> None:
         new = [w for w in words if w not in known]
         if new:
