@@ -31,12 +31,14 @@ ASSIGN = re.compile(
 )
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
-#: A credential context: a name that ends in such a word, a sign, a value.
-CONTEXT = re.compile(
-    r"(?:password|passwd|passphrase|pwd|pass|secret|token|api_?key|access_?key|private_?key|credentials?|auth)"
-    r"(?:[\"']?\x20*[:=]\x20*|\x20+is\x20+)[\"']?([^\s\"'<>,;]{6,})",
-    re.I | re.A,
-)
+NAME = r"(?:password|passwd|passphrase|pwd|pass|secret|token|api_?key|access_?key|private_?key|credentials?|auth)"
+#: Words that say how the value behind them is to be read (HTTP authentication schemes).
+SCHEME = r"(?:bearer|basic|digest|negotiate|ntlm|oauth|dpop|gnap|hoba|hawk|jwt|mutual|vapid|token|api-?key|privatetoken|concealed|scram-sha-1|scram-sha-256|aws4-hmac-sha256|ssws)"
+#: A credential context: a name that ends in such a word, a sign, schemes; a value follows.
+CONTEXT = re.compile(rf"{NAME}(?:[\"']?\x20*[:=]\x20*|\x20+is\x20+)[\"']?((?:{SCHEME}\x20+)*+)", re.I | re.A)
+VALUE = re.compile(r"[^\s\"'<>,;]*")
+#: A value that is no value: a scheme without one, or the name of a nested context (whose value is looked at in its turn).
+NO_VALUE = re.compile(rf"(?:{SCHEME}|[\w.-]*{NAME}[:=])\Z|{NAME}[:=]", re.I | re.A)
 #: In RE2's syntax, matching wherever one of the above can match.
 MAYBE = r"(?i)(password|passwd|passphrase|pwd|pass|secret|token|api_?key|access_?key|private_?key|credentials?|auth)[\"']?( *[:=]| +is )"
 MAYBE_CODE = r"AKIA|[0-9a-f]{32}"
@@ -146,17 +148,27 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def guess_spans(text: str, base: list, costs: GuessCost, least: float) -> tuple[list, float]:
-    """Values in credential contexts that are hard to guess and not in a base span, and the highest cost of any."""
+    """Values in credential contexts that are hard to guess and not whole in a base or guess span, and the highest cost of any.
+
+    Contexts may lie in the values of others: each is looked at, from its sign on.
+    """
     out, most = [], 0.0
-    for m in CONTEXT.finditer(text):
-        value = m[1].rstrip(".!?)")
-        if len(value) < 6:
-            continue
-        cost, _ = costs.cut(value)
-        most = max(most, cost)
-        start, end = m.start(1), m.start(1) + len(value)
-        if cost >= least and not any(s < end and start < e for s, _, e in base):
-            out.append((start, 3, end))
+    m, stop, covered = CONTEXT.search(text), 0, 0
+    while m:
+        start = m.end()
+        if start >= stop:  # else the value ends with that of the context around it
+            stop = VALUE.match(text, start).end()
+        value = text[start:stop] if stop - start >= 6 and stop > covered else ""
+        value = value.rstrip(".!?)")
+        if len(value) >= 6 and not NO_VALUE.match(value):
+            cost, _ = costs.cut(value)
+            most = max(most, cost)
+            end = start + len(value)
+            if cost >= least:
+                covered = stop
+                if not any(s <= start and end <= e for s, _, e in base):
+                    out.append((start, 3, end))
+        m = CONTEXT.search(text, m.start(1))
     return out, most
 
 

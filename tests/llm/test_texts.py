@@ -87,6 +87,31 @@ def test_guess_cost_orders_values():
     assert cost("abcabcabcabc") < cost("abqxzvtgwkdm")
 
 
+@pytest.mark.parametrize(
+    "text, clear",
+    [
+        ("x password=Tr0ub4dor&3xQz9!kL y", "x [SECRET] y"),
+        ("credentials: password: K9$mQ2!vR7 y", "credentials: password: [SECRET] y"),
+        ("credentials: db_password: K9$mQ2!vR7 y", "credentials: db_password: [SECRET] y"),
+        ("token: Bearer eyJhbGciOiJIUzI1NiJ9.x7Q y", "token: Bearer [SECRET] y"),
+        ("auth: Basic dXNlcjpwYXNzd29yZA== y", "auth: Basic [SECRET] y"),
+        ("token: Bearer", "token: Bearer"),
+        ("auth: token is K9$mQ2!vR7 y", "auth: token is [SECRET] y"),
+        ("secret=qL7#vT2!token=K9$mQ2!vR7 y", "secret=[SECRET] y"),
+        ("token=qL7#vT2!x/password: K9$mQ2!vR7 y", "token=[SECRET] [SECRET] y"),
+    ],
+)
+def test_redaction_leaves_no_part_of_a_secret(text, clear):
+    base = secret_scan.base_spans(text)
+    more, _ = secret_scan.guess_spans(text, base, secret_scan.GuessCost(), 10.0)
+    assert secret_scan.redact(text, secret_scan.spans_text(sorted(base + more))) == clear
+
+
+def test_many_nested_contexts_take_linear_time():
+    text = "token=xK9$" * 20_000
+    assert secret_scan.guess_spans(text, [], secret_scan.GuessCost(), 10.0)[0] == [(6, 3, len(text))]
+
+
 def test_redaction_takes_effect(spark):
     df = spark.createDataFrame(EDGE, DOCS).withColumnRenamed("score", "redacted")
     out = secret_scan.redact_secrets(df)
