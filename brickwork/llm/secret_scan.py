@@ -2,8 +2,8 @@
 
 ``scan_secrets`` finds three kinds of base spans in the whole text (assign,
 access, hex) and a fourth one, guess, by the method: every value in a
-credential context is cut into words, dates, repeats, keyboard walks and
-brute-force spans at the least total guess cost, by dynamic programming; a
+credential context is cut into words, dates, repeats, keyboard walks, joins
+and brute-force spans at the least total guess cost, by dynamic programming; a
 value that would take at least ``min_log10_guesses`` guesses is a secret.
 
 Defined results. Null text: no spans, like the empty text. Texts of any length
@@ -14,10 +14,14 @@ and pass through ``with_secret_spans``.
 
 from __future__ import annotations
 
+import base64
+import functools
 import hashlib
+import json
 import math
 import re
 
+import public_tokenizers
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -31,7 +35,9 @@ ASSIGN = re.compile(
 )
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
-NAME = r"(?:password|passwd|passphrase|pwd|pass|secret|token|api_?key|access_?key|private_?key|credentials?|auth)"
+#: Words end in "pass" (compass, bypass): in running text it must start a word, in names before a sign it must not end such a word.
+PASS = r"(?:(?:(?<![^\W\d_])|(?-i:(?<=[a-z])(?=P)))pass|(?<!com)(?<!kom)(?<!by)(?<!tres)(?<!sur)(?<!over)(?<!under)(?<!eng)(?<!reise)pass(?=[\"']?\x20*[:=]))"
+NAME = rf"(?:password|passwd|passphrase|pwd|{PASS}|secret|token|api_?key|access_?key|private_?key|credentials?|auth)"
 #: Words that say how the value behind them is to be read (HTTP authentication schemes).
 SCHEME = r"(?:bearer|basic|digest|negotiate|ntlm|oauth|dpop|gnap|hoba|hawk|jwt|mutual|vapid|token|api-?key|privatetoken|concealed|scram-sha-1|scram-sha-256|aws4-hmac-sha256|ssws)"
 #: A credential context: a name that ends in such a word, a sign, schemes; a value follows.
@@ -44,7 +50,7 @@ MAYBE = r"(?i)(password|passwd|passphrase|pwd|pass|secret|token|api_?key|access_
 MAYBE_CODE = r"AKIA|[0-9a-f]{32}"
 KINDS = ("assign", "access", "hex", "guess")
 
-#: Common words and passwords, most common first.
+#: The commonest words and passwords, most common first; ``common_words`` has the others.
 WORDS = (
     "password the 123456 and qwerty you that admin for welcome login letmein this with have dragon monkey master shadow "
     "sunshine princess football baseball superman michael secret love hello freedom whatever trustno1 test user root "
@@ -56,11 +62,37 @@ WORDS = (
 ).split()
 #: The rows of a keyboard, and the letters and digits in order.
 ROWS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm", "qazwsxedcrfvtgbyhnujm", "abcdefghijklmnopqrstuvwxyz")
+#: Signs that join words (case-sensitive, and/or).
+JOINS = "-_/."
 LEET = str.maketrans("@4301$5!7", "aaeoissit")
 DATE = re.compile(r"(?:19|20)\d\d(?:[-/.]?(?:0[1-9]|1[0-2])(?:[-/.]?(?:0[1-9]|[12]\d|3[01]))?)?|(?:0[1-9]|[12]\d|3[01])[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:19|20)\d\d")
 NEXT_KEY = {(a, b) for row in ROWS for a, b in [*zip(row, row[1:]), *zip(row[1:], row)]}
 
 
+@functools.lru_cache(1)
+def common_words() -> dict[str, int]:
+    """Ranks of WORDS, and after them of the whole words of three public vocabularies.
+
+    The vocabularies list pieces of large text collections, commonest first: pieces
+    after a space of two byte vocabularies, and pieces that end a word of a third.
+    A word has its best rank in any of the three.
+    """
+    lists: list[list[str]] = []
+    for name in ("byte_bpe_50k.tiktoken", "byte_bpe_multi_50k.tiktoken"):
+        with open(public_tokenizers.path(name), "rb") as f:
+            pieces = [base64.b64decode(line.split()[0]) for line in f if line.strip()]
+        lists.append([p[1:].decode(errors="replace").lower() for p in pieces if p[:1] == b" "])
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        vocabulary = json.load(f)["model"]["vocab"]
+    lists.append([p[:-4] for p in sorted(vocabulary, key=vocabulary.get) if p.endswith("</w>") and p.isascii()])
+    best: dict[str, int] = {}
+    for words in lists:
+        for rank, w in enumerate(dict.fromkeys(w for w in words if len(w) >= 3 and w.isalpha()), 1):
+            best[w] = min(rank, best.get(w, rank))
+    ordered = dict.fromkeys([*WORDS, *sorted(best, key=lambda w: (best[w], w))])
+    return {w: i for i, w in enumerate(ordered, 1)}
+
+
 class GuessCost:
     """The least log10 of guesses over all ways to cut a value into known parts.
 
@@ -68,8 +100,8 @@ class GuessCost:
     value's length times the longest word, run or period looked at there.
     """
 
-    def __init__(self, words=WORDS, max_period: int = 8):
-        self.ranks = {w: i for i, w in reversed(list(enumerate(words, 1)))}
+    def __init__(self, words=None, max_period: int = 8):
+        self.ranks = common_words() if words is None else {w: i for i, w in reversed(list(enumerate(words, 1)))}
         self.longest = max(map(len, self.ranks), default=0)
         self.max_period = max_period
 
@@ -86,6 +118,8 @@ class GuessCost:
                 if rank:
                     mixed = value[start:end] not in (lower[start:end], value[start:end].capitalize())
                     out.append((start, end, "word", math.log10(rank * 2 ** (changed + 2 * mixed + (value[start] != lower[start])))))
+            if value[start] in JOINS and 0 < start < n - 1 and value[start - 1].isalpha() and value[start + 1].isalpha():
+                out.append((start, start + 1, "join", math.log10(len(JOINS))))
             if lower[start].isdigit() and (m := DATE.match(value, start)):
                 out.append((start, m.end(), "date", math.log10(365 * 120 if m.end() - start > 4 else 120)))
         start = 0
@@ -204,7 +238,7 @@ def _scanner(min_log10_guesses: float, words):
     return make
 
 
-def with_secret_spans(df: DataFrame, text_col: str = "text", min_log10_guesses: float = 10.0, words=WORDS, prefix: str = "") -> DataFrame:
+def with_secret_spans(df: DataFrame, text_col: str = "text", min_log10_guesses: float = 10.0, words=None, prefix: str = "") -> DataFrame:
     """``df`` with counts, digest and list of the secret spans of its text."""
     fields = [T.StructField(prefix + f.name, f.dataType) for f in SPAN_FIELDS]
     return with_text_columns(df, text_col, fields, _scanner(min_log10_guesses, words))
@@ -239,7 +273,7 @@ def redact_secrets(df: DataFrame, text_col: str = "text", min_log10_guesses: flo
     field = free_name(df, "redacted")
 
     def make():
-        scan = _scanner(min_log10_guesses, WORDS)()
+        scan = _scanner(min_log10_guesses, None)()
 
         def work(texts):
             return [[redact(t, s, mark) for t, s in zip(texts, scan(texts)[4])]]

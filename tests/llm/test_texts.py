@@ -107,6 +107,28 @@ def test_redaction_leaves_no_part_of_a_secret(text, clear):
     assert secret_scan.redact(text, secret_scan.spans_text(sorted(base + more))) == clear
 
 
+@pytest.mark.parametrize(
+    "text",
+    [
+        "The password is required, and the secret is understanding what the user wants.",
+        "The compass is pointing north; a bypass is possible where the road is closed. Compass: northern.",
+        "The token is automatically renewed. Credentials: mandatory. Passphrase is case-sensitive.",
+        "Your secret is forgotten by everybody. Auth: unavailable; the pass is scheduled for wednesday.",
+        "Access_key is deprecated and private_key is encrypted. The token is misconfigured?",
+    ],
+)
+def test_plain_sentences_are_no_secrets(spark, text):
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert secret_scan.redact_secrets(df).collect()[0].text == text
+    assert secret_scan.scan_secrets(df).collect()[0].spans == ""
+
+
+@pytest.mark.parametrize("text", ["dbpass=K9$mQ2!vR7", "userPass is K9$mQ2!vR7", "DB_PASS: K9$mQ2!vR7", "mypassword is K9$mQ2!vR7", "the pass is xkqzjwvbnh"])
+def test_names_that_end_in_a_credential_word(text):
+    start = re.search(r"[=:] ?|is ", text).end()
+    assert secret_scan.guess_spans(text, [], secret_scan.GuessCost(), 10.0)[0] == [(start, 3, len(text))]
+
+
 def test_many_nested_contexts_take_linear_time():
     text = "token=xK9$" * 20_000
     assert secret_scan.guess_spans(text, [], secret_scan.GuessCost(), 10.0)[0] == [(6, 3, len(text))]
