@@ -92,8 +92,4 @@ def stream_alerts(spark, d):
 
 @query("stream_streaks", "SELECT user_id, count(*) FILTER (WHERE good = 0) AS streak FROM (SELECT user_id, sum(CASE WHEN event_type <> 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC ROWS UNBOUNDED PRECEDING) AS good FROM events) x GROUP BY 1")
 def stream_streaks(spark, d):
-    path = new_path(spark, "streaks")
-    stream = metrics.error_streaks(metrics.event_stream(spark, d))
-    metrics.run_available(stream, "update", lambda df, batch: df.withColumn("batch", F.lit(batch)).write.mode("append").parquet(path), new_path(spark, "streaks-checkpoint"))
-    rows = spark.read.schema("user_id long, streak long, batch long").parquet(path)
-    return written(rows.groupBy("user_id").agg(F.max_by("streak", "batch").alias("streak")), "streaks-latest")
+    return written(metrics.latest_streaks(spark, metrics.event_stream(spark, d), new_path(spark, "streaks"), new_path(spark, "streaks-checkpoint")), "streaks-latest")

@@ -61,5 +61,33 @@ def _streak(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> I
 
 
 def error_streaks(stream: DataFrame) -> DataFrame:
-    """Per user the current run of errors, kept as state between batches."""
+    """Per user the current run of errors, kept as state between batches.
+
+    For small batches that arrive in order of time: a user's events of a batch
+    meet in one task. ``latest_streaks`` needs neither.
+    """
     return stream.groupBy("user_id").applyInPandasWithState(_streak, "user_id long, streak long", "streak long", "update", GroupStateTimeout.NoTimeout)
+
+
+def latest_streaks(spark: SparkSession, stream: DataFrame, path: str, checkpoint: str, salts: int = 16) -> DataFrame:
+    """Per user the errors later than the newest other event, by (ts, event_id), in whatever order events arrive.
+
+    Each batch leaves the greatest place of other events of each user, and the
+    places of errors (events without a type count as errors); a batch done again
+    replaces what it left. Both are merged by partial aggregations, and errors of
+    a user meet the maximum in ``salts`` parts. A later run goes on from the same path.
+    """
+    at, other = F.struct("ts", "event_id").alias("at"), F.coalesce(F.col("event_type") != "error", F.lit(False))
+
+    def each_batch(df: DataFrame, batch: int) -> None:
+        df.where(other).groupBy("user_id").agg(F.max(at).alias("at")).write.mode("overwrite").parquet(f"{path}/others/batch={batch}")
+        df.where(~other).select("user_id", at).write.mode("overwrite").parquet(f"{path}/errors/batch={batch}")
+
+    run_available(stream, "append", each_batch, checkpoint)
+    schema = "user_id long, at struct<ts: timestamp, event_id: long>, batch int"
+    last = spark.read.schema(schema).parquet(f"{path}/others").groupBy(F.col("user_id").alias("last_user")).agg(F.max("at").alias("last"))
+    copies = last.withColumn("last_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    errors = spark.read.schema(schema).parquet(f"{path}/errors").withColumn("salt", F.pmod(F.xxhash64("at"), F.lit(salts)).cast("int"))
+    met = errors.join(copies, F.col("user_id").eqNullSafe(F.col("last_user")) & (F.col("salt") == F.col("last_salt")), "left")
+    later = met.where(F.col("last").isNull() | (F.col("at") > F.col("last"))).select("user_id", F.lit(1).alias("n"))
+    return later.unionAll(last.select("last_user", F.lit(0))).groupBy("user_id").agg(F.sum("n").alias("streak"))

@@ -140,6 +140,21 @@ def test_stream_resumes_and_keeps_state(spark):
     assert run() == [1, 3]
 
 
+def test_streaks_do_not_depend_on_the_order_of_files(spark):
+    folder, path, checkpoint = new_path(spark, "test-events"), new_path(spark, "test-streaks"), new_path(spark, "test-checkpoint")
+    day = dt.datetime(2024, 1, 1)
+
+    def run(*events):
+        rows = [(i, day + dt.timedelta(hours=i), u, k, 0.0, "") for i, u, k in events]
+        spark.createDataFrame(rows, metrics.EVENTS).coalesce(1).write.mode("append").parquet(folder)
+        out = metrics.latest_streaks(spark, metrics.event_stream(spark, folder, "*.parquet"), path, checkpoint)
+        return {r.user_id: r.streak for r in out.collect()}
+
+    assert run((5, 1, "error"), (6, 1, "error"), (7, 2, "view"), (8, None, "error"), (9, 3, None)) == {1: 2, 2: 0, None: 1, 3: 1}
+    assert run((1, 1, "click"), (2, 1, "error"), (3, 2, "error")) == {1: 3, 2: 0, None: 1, 3: 1}
+    assert run((4, 1, "click"), (10, None, "view")) == {1: 2, 2: 0, None: 0, 3: 1}
+
+
 def test_titles_stop_at_the_first_empty_slot(spark):
     df = spark.createDataFrame([("T1", "", "a", "", "c", ""), ("T2", "", "", "b", "", ""), ("", "", "a", "b", "", "")], ["Title Number", "Postcode", *[f"Proprietor Name ({k})" for k in range(1, 5)]])
     assert [(r.title_number, len(r.proprietors)) for r in files.titles(df).collect()] == [("T1", 1)]
