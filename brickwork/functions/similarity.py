@@ -19,12 +19,15 @@ def indel_ratio(a: str, b: str) -> int:
     """100 * 2 * longest common subsequence / both lengths, rounded."""
     if not a and not b:
         return 0
-    row = [0] * (len(b) + 1)
-    for x in a:
-        left = 0
-        for j, y in enumerate(b, 1):
-            left, row[j] = row[j], left + 1 if x == y else max(row[j], row[j - 1])
-    return round(200 * row[-1] / (len(a) + len(b)))
+    places: dict[str, int] = {}
+    for i, x in enumerate(a):
+        places[x] = places.get(x, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    rest = full  # zeros are the places where the longest common subsequence grows
+    for y in b:
+        met = rest & places.get(y, 0)
+        rest = (rest + met | rest - met) & full
+    return round(200 * (len(a) - rest.bit_count()) / (len(a) + len(b)))
 
 
 def _paired(ratio):

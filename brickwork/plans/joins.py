@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from brickwork.functions.similarity import token_sort_ratio
-from brickwork.operators.joining import best_per_key, first_tier, repoint, semi_on_any
+from brickwork.operators.joining import best_per_key, first_tier, repoint, semi_on_any, similar_names
 from brickwork.registry import query, table
 
 
@@ -161,20 +160,20 @@ def cascade_lookup(spark, d):
 
 @query("fuzzy_match")
 def fuzzy_match(spark, d):
-    """Customers and suppliers of one nation whose names are alike at 70 or more of 100; the best supplier of each customer."""
-    c = table(spark, d, "customer").select("c_custkey", "c_name", F.col("c_nationkey").alias("nation"))
-    s = table(spark, d, "supplier").select("s_suppkey", "s_name", F.col("s_nationkey").alias("nation"))
-    pairs = c.join(s, "nation").withColumn("score", token_sort_ratio("c_name", "s_name")).where("score >= 70")
-    return best_per_key(pairs, ["c_custkey"], F.desc("score"), F.col("s_suppkey")).select("c_custkey", "s_suppkey", "score")
+    """The supplier of each customer whose name or alias ("Customer" and the next number) is most alike, at 70 or more of 100, in any nation."""
+    c = table(spark, d, "customer").select("c_custkey", F.col("c_name").alias("name"))
+    s = table(spark, d, "supplier").select("s_suppkey", F.explode(F.array("s_name", F.concat(F.lit("Customer "), F.col("s_suppkey") + 1))).alias("name"))
+    pairs = similar_names(c, s, 70)
+    met = c.join(pairs, "name").drop("name").join(s.withColumnRenamed("name", "other_name"), "other_name")
+    return best_per_key(met, ["c_custkey"], F.desc("score"), F.col("s_suppkey")).select("c_custkey", "s_suppkey", "score")
 
 
 @query("dedupe_pairs")
 def dedupe_pairs(spark, d):
-    """Pairs of customers in one block of nation and segment whose names are alike at 94 or more of 100."""
-    c = table(spark, d, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
-    other = c.select(F.col("c_custkey").alias("other"), F.col("c_name").alias("other_name"), "c_nationkey", "c_mktsegment")
-    pairs = c.join(other, ["c_nationkey", "c_mktsegment"]).where("c_custkey < other").withColumn("score", token_sort_ratio("c_name", "other_name"))
-    return pairs.where("score >= 94").select("c_custkey", "other", "score")
+    """Pairs of customers, in any nation and segment, whose names are alike at 94 or more of 100."""
+    c = table(spark, d, "customer").select("c_custkey", F.col("c_name").alias("name"))
+    other = c.select(F.col("c_custkey").alias("other"), F.col("name").alias("other_name"))
+    return c.join(similar_names(c, c, 94), "name").join(other, "other_name").where("c_custkey < other").select("c_custkey", "other", "score")
 
 
 @query(

@@ -114,6 +114,30 @@ def test_similarity(spark):
     assert df.select(similarity.sequence_ratio("a", "b").alias("s")).collect()[1].s == difflib.SequenceMatcher(None, "abc", "abd").ratio()
 
 
+@pytest.mark.parametrize("least", [70, 80, 94])
+def test_similar_names_are_all_pairs(spark, least):
+    words = "unite students group homes limited greystar living property north star housing trust ab a".split()
+    names = [" ".join(words[(i * k + k) % len(words)] for k in range(1, 2 + i % 4)) for i in range(60)] + ["Unite Studnets", "students, UNITE", "a", "b", "ab", "ba", "", "Greystarr Living", "greystar livin"]
+    names = sorted(set(names))
+    df = spark.createDataFrame([(n,) for n in [*names, names[3], None]], "name string")
+    got = {(r.name, r.other_name): r.score for r in joining.similar_names(df, df, least).collect()}
+    scores = {(a, b): similarity.indel_ratio(similarity.sorted_tokens(a), similarity.sorted_tokens(b)) for a in names for b in names}
+    assert got == {p: s for p, s in scores.items() if s >= least}
+
+
+def test_fuzzy_queries_cross_blocks(spark):
+    from brickwork.plans import joins
+
+    sf = "/root/testdata/sf0.001"
+    names = {r.c_custkey: r.c_name for r in spark.read.parquet(f"{sf}/customer.parquet").collect()}
+    ratio = lambda a, b: similarity.indel_ratio(similarity.sorted_tokens(a), similarity.sorted_tokens(b))
+    expected = {(a, b, s) for a in names for b in names if a < b and (s := ratio(names[a], names[b])) >= 94}
+    assert {tuple(r) for r in joins.dedupe_pairs(spark, sf).collect()} == expected
+    others = [(r.s_suppkey, n) for r in spark.read.parquet(f"{sf}/supplier.parquet").collect() for n in (r.s_name, f"Customer {r.s_suppkey + 1}")]
+    best = {a: min((-ratio(n, m), b) for b, m in others) for a, n in names.items()}
+    assert {tuple(r) for r in joins.fuzzy_match(spark, sf).collect()} == {(a, b, -s) for a, (s, b) in best.items() if -s >= 70}
+
+
 def test_append_new_is_idempotent(spark):
     path = new_path(spark, "test-append")
     for rows in ([(1,), (1,), (2,)], [(2,), (3,)]):
