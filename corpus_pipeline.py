@@ -37,7 +37,10 @@ def keep_good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the least id of each group of near copies (five words, 0.8)."""
+    """Keep the document with the least id of each group of near copies (five words, 0.8).
+
+    All rows of a kept id stay, repeated ones too, and so do all rows without an id.
+    """
     groups = near_dup.near_duplicates(docs, width=5, percent=80)
     gone = written(groups.where(~F.col("kept")).select("doc_id").distinct(), "near-copies")
     few = gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
