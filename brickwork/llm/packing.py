@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import release_memory, small_batches, written
+from .common import release_memory, small_batches, text_slices, written
 from .word_ids import WordIds
 
 
@@ -90,15 +90,16 @@ def _pack_local(tokenizer: str, room: int, end_id: int, schema: T.StructType, pa
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=schema.names)
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                for key, ids in zip(part.column(0).to_pylist(), words.encode([t or "" for t in part.column(1).to_pylist()])):
-                    ids += end
+            for part in text_slices(batch, 1):
+                flat, ends = words.encode_column(part.column(1))
+                stops = ends.tolist()
+                for key, start, stop in zip(part.column(0).to_pylist(), [0, *stops], stops):
+                    ids = flat[start:stop].astype("<u4").tobytes() + end
                     n = len(ids) // 4
                     cuts = [0, *range(n % room or room, n + 1, room)] if n > room else [0, n]
-                    for k, (start, stop) in enumerate(zip(cuts, cuts[1:])):
-                        data = ids[4 * start : 4 * stop]
-                        rows.append((key, k, start, stop - start, zlib.crc32(data), data if with_ids else None))
+                    for k, (low, high) in enumerate(zip(cuts, cuts[1:])):
+                        data = ids[4 * low : 4 * high]
+                        rows.append((key, k, low, high - low, zlib.crc32(data), data if with_ids else None))
             if len(rows) >= pack_rows:
                 yield packed()
         if rows:

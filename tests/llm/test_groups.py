@@ -153,7 +153,9 @@ def test_best_fit_keeps_sizes():
 
 def test_word_ids_equal_the_tokenizer():
     rng = random.Random(5)
-    texts = ["".join(rng.choice("abcdeE  \n\t.,'12é漢　 \x1c\x0b😀Σσ-") for _ in range(rng.randrange(50))) for _ in range(3000)] + ODD
+    texts = ["".join(rng.choice("abcdeE  \n\t.,'12é漢　 \x1c\x0b😀Σσ-×ñ\u0338=<|>_\u0301’") for _ in range(rng.randrange(50))) for _ in range(3000)] + ODD
+    words = ["foo", "it's", "x.", "<|endoftext|>", "<|startoftext|>", "Ñandú,", "\n", "\n\n", "  ", "'s", "é's", "K9$", ".\n", "’", "\u00a0", "\u0085", "\u2009", "ß!", "×.", "Ω.", "12,3", "ÀÉÞ"]
+    texts += ["".join(rng.choice(words) + rng.choice(["", " ", "\n"]) for _ in range(rng.randrange(30))) for _ in range(3000)]
     for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
         path = public_tokenizers.path(name)
         got = [np.frombuffer(b, "<u4").tolist() for b in word_ids.WordIds(path, most=500).encode(texts)]
