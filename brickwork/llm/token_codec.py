@@ -1,20 +1,29 @@
 """An adaptive context-mixing range coder for token ids, and its files.
 
 Ids are coded in blocks, each with a model of its own that starts anew, and a
-checksum. A block's order-2 and order-1 tables predict the next id after the
-last two ids and the last one; the first symbol of a token says which of them
-is right, if any. Its probability mixes three adaptive distributions, in the
-contexts of the order-2 confidence, the order-1 confidence and the last such
-symbol, with weights that follow how well each has predicted. Other ids are
-coded by nibbles under the adaptive order-0 distribution. Many blocks are coded
-in lockstep, one numpy lane each; a block's bytes don't depend on the others.
-
-Only whole-number arithmetic and single additions, products and divisions of
-32-bit floats are used, in a fixed order, so that any machine decodes alike.
-
-File: ``BWT1``, then pieces, each a 4-byte length and as many bytes: the header
+checksum. A block is cut into lanes of consecutive ids that are coded in
+lockstep, one numpy lane each; all of them use and teach the block's one model.
+
+An id's probability mixes three predictions: order 0 gives every id seen in the
+block its share so far; order 1 and order 2 give theirs to the id that they
+expect after the last one and the last two. The three are added with weights
+that follow how often each was right at this confidence of both, and the sum
+drives one step of the range coder. Ids not seen before share a fourth weight
+evenly. Expectations change with every id, shares and weights every few steps.
+
+Only whole numbers and correctly rounded divisions whose result is cut to a
+whole number are used, so that any machine decodes alike.
+
+File: ``BWT2``, then pieces, each a 4-byte length and as many bytes: the header
 as JSON with the sizes and checksums of the blocks, the document table (ids and
-numbers of tokens, compressed, with checksum), the blocks.
+numbers of tokens, compressed, with checksum), the blocks. A block: the number
+of 16-bit words of each lane, then the lanes' words.
+
+Defined results of ``write_and_read``. Null or empty text: only the end id. A
+null id comes first and stays null; rows with one id follow each other in the
+order of their texts, repeated rows too. Very long texts may reach over several
+blocks and make a file larger, never cut. An empty table gives an empty table.
+Other columns are not read, so their names can't clash.
 """
 
 from __future__ import annotations
@@ -32,68 +41,143 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import new_path, written
+from .common import new_path, small_batches, text_slices, written
 from .word_ids import WordIds
 
-MAGIC = b"BWT1"
-BITS = 15
-TOTAL = 1 << BITS
-#: Coders keep 48 bits and move 16 at a time, so a symbol seldom moves any.
-WORD, TOP, MASK = np.uint64(16), np.uint64(1 << 32), np.uint64((1 << 48) - 1)
-FLOOR = 8  # the least frequency of a nibble
-SIZE_2, SIZE_1, SIZE_0 = 2048, 1024, 256
-NODES = 273 + SIZE_0  # nibble contexts: one, 16 and 256 in full, those behind hashed
-SPREAD = TOTAL - 16 * FLOOR  # what the nibbles share beyond their least frequency
-STEPS = np.where(np.arange(16)[None, :] >= np.arange(16)[:, None], SPREAD, 0).astype(np.int16).view("V32").ravel()
-
-
-#: Where the two cuts of the first symbol move after each of its values.
-GOALS = np.array([[TOTAL, TOTAL], [0, TOTAL], [0, 0]], np.int32).view(np.int64).ravel()
-
-
-class Lanes:
-    """Coder state of some lanes: views of the first n, or copies of any, to be put back."""
-
-    def __init__(self, coder: "Coder", lanes: np.ndarray, prefix: bool):
-        self.coder, self.lanes, self.prefix = coder, lanes, prefix
-        n = len(lanes)
-        self.low, self.range, self.at = ((x[:n] if prefix else x[lanes]) for x in (coder.low, coder.range, coder.at))
-        self.value = None if coder.value is None else coder.value[:n] if prefix else coder.value[lanes]
-
-    def code(self, start: np.ndarray, freq: np.ndarray) -> None:
-        """One symbol in every lane; words that are settled leave (or enter)."""
-        step = self.range >> np.uint64(BITS)
-        self.low += step * start
-        np.multiply(step, freq, out=self.range)
-        while True:
-            settled = (self.low ^ (self.low + self.range)) < TOP
-            go = np.flatnonzero(settled | (self.range < TOP))
-            if not len(go):
-                return
-            low, rng = self.low[go], self.range[go]
-            rng = np.where(settled[go], rng, (~low + np.uint64(1)) & (TOP - np.uint64(1)))  # a range that is too short is cut
-            at = self.at[go]
-            self.coder.move(self, go, low, at)
-            self.at[go] = at + 1
-            self.low[go] = (low << WORD) & MASK
-            self.range[go] = (rng << WORD) & MASK
-
-    def put(self) -> None:
-        if not self.prefix:
-            self.coder.low[self.lanes], self.coder.range[self.lanes], self.coder.at[self.lanes] = self.low, self.range, self.at
-            if self.value is not None:
-                self.coder.value[self.lanes] = self.value
+MAGIC = b"BWT2"
+#: Coders keep 48 bits and move 16 at a time.
+TOP, MASK = 1 << 32, (1 << 48) - 1
+LANES, LANE_TOKENS = 4096, 256
+WEIGHTS = 256  # parts that the four weights share
+SLOTS_2 = 1 << 18  # places of the order-2 table
+TEACH_STEPS = 32  # steps at most between changes of shares and weights
+MOST_IDS = 1 << 20
+#: What a trust of 0 (nothing expected) to 7 loses by a wrong expectation; from 1 down the expected id changes.
+LOSS = np.array([0, 0, 1, 2, 2, 3, 3, 4], np.int32)
+
+
+class Model:
+    """One block's predictions for ids below ``alphabet``, used by so many lanes."""
+
+    def __init__(self, lanes: int, alphabet: int):
+        self.alphabet = alphabet
+        self.slots = 1 << max(17, (4 * alphabet - 1).bit_length())
+        self.bits = self.slots.bit_length() - 1 + WEIGHTS.bit_length() - 1
+        self.seen = np.zeros(alphabet, np.int64)
+        self.edges = np.zeros(alphabet + 1, np.int32)  # order 0: id i has the slots from edges[i] to edges[i + 1]
+        self.of_slot = np.zeros(self.slots, np.int32)
+        self.expect_1, self.expect_2 = np.zeros(alphabet, np.int32), np.zeros(SLOTS_2, np.int32)  # 8 * id + trust
+        self.right = np.zeros(128 * 4, np.int64) + np.tile(np.array([4, 2, 4, 1]), 128)
+        self.last, self.before = np.zeros(lanes, np.int32), np.zeros(lanes, np.int32)
+        self.cases: list[np.ndarray] = []
+        self.weigh()
+        self.new[:], self.weight_0[:] = WEIGHTS - 1, 1  # nothing is seen yet
+
+    def weigh(self) -> None:
+        """Weights by both trusts and whether both expect the same, from how often each order was right."""
+        which = np.arange(128)
+        n = self.right.reshape(128, 4).copy()
+        n[(which & 56) == 0, 0] = 0  # order 2 expects nothing
+        n[((which & 7) == 0) | (which >= 64), 1] = 0  # nor does order 1, or the same
+        parts = 1 + n * (WEIGHTS - 4) // n.sum(axis=1, keepdims=True)
+        parts[n == 0] = 0
+        parts[:, 3] = np.maximum(parts[:, 3], 1)
+        parts[:, 2] = WEIGHTS - parts[:, 0] - parts[:, 1] - parts[:, 3]
+        self.weight_2, self.weight_1 = ((parts[:, k] * self.slots).astype(np.int32) for k in (0, 1))
+        self.weight_0 = parts[:, 2].astype(np.int32)
+        self.new = parts[:, 3].astype(np.int32)
+
+    def predict(self, n: int) -> None:
+        """Expected ids and weights of the first n lanes."""
+        last, before = self.last[:n], self.before[:n]
+        self.slot_2 = ((before * np.int32(-1640531535) + last) * np.int32(-2048144777) >> np.int32(9)) & np.int32(SLOTS_2 - 1)
+        self.packed_2, self.packed_1 = self.expect_2.take(self.slot_2), self.expect_1.take(last)
+        self.id_2, self.id_1 = self.packed_2 >> 3, self.packed_1 >> 3
+        self.trust_2, self.trust_1 = self.packed_2 & 7, self.packed_1 & 7
+        self.case = (self.trust_2 << 3) + self.trust_1 + ((self.id_2 == self.id_1) << 6)
+        self.w2, self.w1, self.w0 = self.weight_2.take(self.case), self.weight_1.take(self.case), self.weight_0.take(self.case)
+        new = self.new.take(self.case)
+        self.main = new * np.int32(self.slots)  # unseen ids lie before all others
+        self.each_new = self.main // np.int32(self.alphabet)
+
+    def interval(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and width of these ids, one a lane; also notes what was right."""
+        low = self.edges.take(ids)
+        share = self.edges.take(ids + 1) - low
+        is_2, is_1 = self.id_2 == ids, self.id_1 == ids
+        width = share * self.w0 + self.w2 * is_2 + self.w1 * is_1
+        start = self.main + low * self.w0 + self.w2 * (self.id_2 < ids) + self.w1 * (self.id_1 < ids)
+        fresh = np.flatnonzero(width == 0)
+        if len(fresh):
+            width[fresh] = self.each_new[fresh]
+            start[fresh] = ids[fresh] * self.each_new[fresh]
+        kind = np.where(is_2 & (self.w2 > 0), 0, np.where(is_1 & (self.w1 > 0), 1, 2 + (share == 0)))
+        self.cases.append((self.case << 2) + kind)
+        self.is_2, self.is_1 = is_2, is_1
+        return start, width
+
+    def find(self, target: np.ndarray) -> np.ndarray:
+        """The ids whose intervals hold these places, one a lane."""
+        at = target - self.main
+        lower = self.id_1 < self.id_2
+        from_2 = at - (self.edges.take(self.id_2 + 1) * self.w0 + self.w1 * lower)
+        from_1 = at - (self.edges.take(self.id_1 + 1) * self.w0 + self.w2 * ~lower)
+        beyond_2, beyond_1 = from_2 >= self.w2, from_1 >= self.w1
+        slot = (at - self.w2 * beyond_2 - self.w1 * beyond_1) / self.w0
+        ids = self.of_slot.take(slot.astype(np.int64), mode="clip")
+        ids = np.where((from_1 >= 0) & ~beyond_1, self.id_1, ids)
+        ids = np.where((from_2 >= 0) & ~beyond_2, self.id_2, ids)
+        fresh = np.flatnonzero(at < 0)
+        if len(fresh):
+            ids[fresh] = np.minimum(target[fresh] // self.each_new[fresh], self.alphabet - 1)
+        return ids
+
+    def learn(self, ids: np.ndarray) -> None:
+        """What follows the last ids is known; of lanes that meet in one place the last one counts."""
+        n, anew = len(ids), (ids << 3) + 1
+        for table, slot, packed, trust, right in ((self.expect_2, self.slot_2, self.packed_2, self.trust_2, self.is_2), (self.expect_1, self.last[:n], self.packed_1, self.trust_1, self.is_1)):
+            wrong = np.where(trust > 1, packed - LOSS.take(trust), anew)
+            table[slot] = np.where(right & (trust > 0), np.minimum(packed + 1, packed | 7), wrong)
+        self.before[:n] = self.last[:n]
+        self.last[:n] = ids
+
+    def teach(self, ids: np.ndarray) -> None:
+        """New shares and weights after these ids."""
+        self.seen += np.bincount(ids, minlength=self.alphabet)
+        self.right += np.bincount(np.concatenate(self.cases), minlength=512)
+        self.cases = []
+        share = (self.seen * (self.slots - np.count_nonzero(self.seen)) // self.seen.sum() + (self.seen > 0)).astype(np.int32)
+        share[self.seen.argmax()] += self.slots - share.sum()
+        np.cumsum(share, out=self.edges[1:])
+        self.of_slot = np.repeat(np.arange(self.alphabet, dtype=np.int32), share)
+        self.weigh()
 
 
 class Coder:
-    """Range coders of many lanes."""
+    """Range coders of the lanes; they move 16-bit words out of ``low`` or into ``value``."""
 
     def __init__(self, lanes: int):
-        self.low, self.range, self.at = np.zeros(lanes, np.uint64), np.full(lanes, MASK), np.zeros(lanes, np.int64)
-        self.value = None
-
-    def some(self, lanes: np.ndarray, prefix: bool) -> Lanes:
-        return Lanes(self, lanes, prefix)
+        self.low, self.range, self.at = np.zeros(lanes, np.int64), np.full(lanes, MASK, np.int64), np.zeros(lanes, np.int64)
+
+    def code(self, start: np.ndarray, width: np.ndarray, bits: int) -> None:
+        n = len(start)
+        low, rng = self.low[:n], self.range[:n]
+        step = rng >> bits
+        low += step * start
+        np.multiply(step, width, out=rng)
+        settled = (low ^ (low + rng)) < TOP
+        go = np.flatnonzero(settled | (rng < TOP))
+        settled = settled[go]
+        while len(go):
+            a, r = low[go], rng[go]
+            r = np.where(settled, r, -a & (TOP - 1))  # a range that is too short is cut
+            self.move(go, a)
+            self.at[go] += 1
+            a, r = (a << 16) & MASK, (r << 16) & MASK
+            low[go], rng[go] = a, r
+            settled = (a ^ (a + r)) < TOP
+            more = settled | (r < TOP)
+            go, settled = go[more], settled[more]
 
 
 class Encoder(Coder):
@@ -101,186 +185,107 @@ class Encoder(Coder):
         super().__init__(lanes)
         self.out = np.zeros((lanes, tokens + tokens // 2 + 32), np.uint16)
 
-    def move(self, some: Lanes, go: np.ndarray, low: np.ndarray, at: np.ndarray) -> None:
+    def move(self, lanes: np.ndarray, low: np.ndarray) -> None:
+        at = self.at[lanes]
         if at.max() + 8 >= self.out.shape[1]:
             self.out = np.concatenate([self.out, np.zeros_like(self.out)], axis=1)
-        self.out.ravel()[some.lanes[go] * self.out.shape[1] + at] = low >> np.uint64(32)
+        self.out[lanes, at] = low >> 32
 
-    def finish(self) -> list[bytes]:
-        tail = np.stack([self.low >> np.uint64(s) & np.uint64(0xFFFF) for s in (32, 16, 0)], axis=1).astype("<u2")
-        return [row[:n].astype("<u2").tobytes() + t.tobytes() for row, n, t in zip(self.out, self.at.tolist(), tail)]
+    def finish(self) -> bytes:
+        """One more word a lane lies within its range, as zeros follow it."""
+        self.out[np.arange(len(self.at)), self.at] = -(-self.low >> 32)
+        self.at += 1
+        words = self.out[np.arange(self.out.shape[1]) < self.at[:, None]]
+        return self.at.astype("<u2").tobytes() + words.astype("<u2").tobytes()
 
 
 class Decoder(Coder):
-    def __init__(self, blocks: list[bytes]):
-        super().__init__(len(blocks))
-        width = max(map(len, blocks)) + 16
-        self.data = np.frombuffer(b"".join(b.ljust(width + width % 2, b"\0") for b in blocks), "<u2").reshape(len(blocks), -1).astype(np.uint64)
-        self.value = self.data[:, 0] << np.uint64(32) | self.data[:, 1] << np.uint64(16) | self.data[:, 2]
-        self.at[:] = 3
-
-    def move(self, some: Lanes, go: np.ndarray, low: np.ndarray, at: np.ndarray) -> None:
-        width = self.data.shape[1]
-        word = self.data.ravel()[some.lanes[go] * width + np.minimum(at, width - 1)]
-        some.value[go] = ((some.value[go] << WORD) & MASK) | word
-
-    @staticmethod
-    def target(some: Lanes) -> np.ndarray:
-        """The place within TOTAL that the next symbol covers."""
-        return np.minimum(((some.value - some.low) & MASK) // (some.range >> np.uint64(BITS)), np.uint64(TOTAL - 1)).astype(np.int16)
-
-
-class Model:
-    """The predictions of many lanes, each of its own block."""
-
-    def __init__(self, lanes: int, nibbles: int):
-        self.nibbles = nibbles
-        self.seen_2, self.seen_1 = np.full(lanes * SIZE_2, -8, np.int32), np.full(lanes * SIZE_1, -8, np.int32)  # 8 * id + trust
-        even = np.array([TOTAL // 3, 2 * TOTAL // 3], np.int32)
-        self.kinds = [np.tile(even, (lanes * n, 1)).view(np.int64).ravel() for n in (8, 8, 3)]  # two cuts move as one item
-        self.weights = [np.full(lanes, 1 / 3, np.float32) for _ in range(3)]
-        self.last_kind = np.full(lanes, 2, np.int64)
-        self.rows = np.tile((np.arange(1, 17) * (SPREAD // 16)).astype(np.int16), (lanes * NODES, 1)).view("V32").ravel()  # a row moves as one item
-        self.last, self.before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-        self.base_2, self.base_1, self.base_0 = (np.arange(lanes) * n for n in (SIZE_2, SIZE_1, NODES))
-        self.base_k = [np.arange(lanes) * n for n in (8, 8, 3)]
-
-    def predict(self, n: int) -> None:
-        """For the first n lanes: predicted ids, and the mixed distribution of the first symbol."""
-        self.slot_2 = self.base_2[:n] + (((self.before[:n] * 0x9E3779B1 + self.last[:n]) * 0x85EBCA77 >> 15) & (SIZE_2 - 1))
-        self.slot_1 = self.base_1[:n] + ((self.last[:n] * 0x9E3779B1 >> 13) & (SIZE_1 - 1))
-        seen_2, seen_1 = self.seen_2[self.slot_2], self.seen_1[self.slot_1]
-        self.guess_2, self.guess_1, self.sure_2, self.sure_1 = seen_2 >> 3, seen_1 >> 3, seen_2 & 7, seen_1 & 7
-        at = (self.sure_2, self.sure_1, self.last_kind[:n])
-        self.kind_at = [b[:n] + a for b, a in zip(self.base_k, at)]
-        self.kind_rows = [k[i].view(np.int32).reshape(-1, 2) for k, i in zip(self.kinds, self.kind_at)]
-        w = [x[:n, None] for x in self.weights]
-        a, b, c = self.kind_rows
-        mixed = ((a * w[0] + b * w[1]) + c * w[2]).astype(np.int32)
-        first = np.clip(mixed[:, 0], 16, TOTAL - 64)
-        self.cuts = first, np.clip(mixed[:, 1], first + 16, TOTAL - 32)
-
-    def kind_range(self, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        first, second = self.cuts
-        start = np.where(kind == 0, 0, np.where(kind == 1, first, second))
-        end = np.where(kind == 0, first, np.where(kind == 1, second, TOTAL))
-        return start.astype(np.uint64), (end - start).astype(np.uint64)
-
-    def learn_kind(self, kind: np.ndarray) -> None:
-        n = len(kind)
-        goal = GOALS[kind].view(np.int32).reshape(-1, 2)
-        odds = []
-        for table, at, row, w in zip(self.kinds, self.kind_at, self.kind_rows, self.weights):
-            a, b = row[:, 0], row[:, 1]
-            p = np.where(kind == 0, a, np.where(kind == 1, b - a, TOTAL - b))
-            odds.append(w[:n] * (np.maximum(p, 32).astype(np.float32) * np.float32(1 / TOTAL)) + np.float32(0.003))
-            table[at] = (row + ((goal - row) >> 5)).view(np.int64).ravel()
-        total = (odds[0] + odds[1]) + odds[2]
-        for w, o in zip(self.weights, odds):
-            w[:n] = o / total
-        self.last_kind[:n] = kind
-
-    def node(self, lanes: np.ndarray, k: int, prefix: np.ndarray) -> np.ndarray:
-        """The row of the k-th nibble's order-0 context."""
-        if k < 3:
-            return self.base_0[lanes] + ((0, 1, 17)[k] + prefix)
-        return self.base_0[lanes] + (273 + ((prefix * 0x9E3779B1 >> 11) & (SIZE_0 - 1)))
-
-    def learn_nibble(self, at: np.ndarray, row: np.ndarray, nibble: np.ndarray) -> None:
-        self.rows[at] = (row + ((STEPS[nibble].view(np.int16).reshape(-1, 16) - row) >> 4)).view("V32").ravel()
-
-    def learn_id(self, ids: np.ndarray) -> None:
-        n = len(ids)
-        for table, slot, guess, trust in ((self.seen_2, self.slot_2, self.guess_2, self.sure_2), (self.seen_1, self.slot_1, self.guess_1, self.sure_1)):
-            right = guess == ids
-            kept = (guess << 3) + np.where(right, np.minimum(trust + 1, 7), trust >> 1)
-            table[slot] = np.where(right | (trust > 1), kept, (ids << 3) + 1)
-        self.before[:n] = self.last[:n]
-        self.last[:n] = ids
-
-
-def encode_blocks(blocks: list[np.ndarray], nibbles: int) -> list[bytes]:
-    """Code blocks of ids (below 16 ** nibbles), all in lockstep."""
-    order = sorted(range(len(blocks)), key=lambda i: -len(blocks[i]))
-    lengths = np.array([len(blocks[i]) for i in order])
-    longest = int(lengths[0]) if len(order) else 0
-    if not longest:
-        return [b""] * len(blocks)
-    ids = np.zeros((longest, len(order)), np.int32)
-    for lane, i in enumerate(order):
-        ids[: len(blocks[i]), lane] = blocks[i]
-    model, coder = Model(len(order), nibbles), Encoder(len(order), longest)
-    everyone = np.arange(len(order))
-    for t in range(longest):
-        n = int(np.searchsorted(-lengths, -t, side="left"))  # lanes with more than t tokens
-        now = ids[t, :n]
-        model.predict(n)
-        kind = np.where(now == model.guess_2, 0, np.where(now == model.guess_1, 1, 2))
-        coder.some(everyone[:n], True).code(*model.kind_range(kind))
-        model.learn_kind(kind)
-        lanes = np.flatnonzero(kind == 2)
-        if len(lanes):
-            some, rest = coder.some(lanes, False), now[lanes].astype(np.int64)
-            for k in range(nibbles):
-                shift = 4 * (nibbles - 1 - k)
-                nibble = (rest >> shift) & 15
-                at = model.node(lanes, k, rest >> (shift + 4))
-                row = model.rows[at].view(np.int16).reshape(-1, 16)
-                flat, first = row.ravel(), np.arange(0, 16 * len(lanes), 16) + nibble
-                start = (flat[first - 1] + FLOOR * nibble) * (nibble > 0)
-                some.code(start.astype(np.uint64), (flat[first] + FLOOR * (nibble + 1) - start).astype(np.uint64))
-                model.learn_nibble(at, row, nibble)
-            some.put()
-        model.learn_id(now)
-    out = [b""] * len(blocks)
-    for i, data in zip(order, coder.finish()):
-        if len(blocks[i]):
-            out[i] = data
-    return out
-
-
-def decode_blocks(data: list[bytes], counts: list[int], nibbles: int) -> list[np.ndarray]:
-    """The ids of blocks that hold so many tokens each."""
-    order = sorted(range(len(data)), key=lambda i: -counts[i])
-    lengths = np.array([counts[i] for i in order])
-    longest = int(lengths[0]) if len(order) else 0
-    if not longest:
-        return [np.empty(0, np.int32) for _ in data]
-    ids = np.zeros((longest, len(order)), np.int32)
-    model, coder = Model(len(order), nibbles), Decoder([data[i] for i in order])
-    everyone = np.arange(len(order))
-    floor = (FLOOR * np.arange(1, 17)).astype(np.int16)
-    floor[15] -= 1  # the last edge, TOTAL, is one too large for 16 bits
-    for t in range(longest):
-        n = int(np.searchsorted(-lengths, -t, side="left"))
-        model.predict(n)
-        some = coder.some(everyone[:n], True)
-        target = coder.target(some)
-        kind = (target >= model.cuts[0]).astype(np.int64) + (target >= model.cuts[1])
-        some.code(*model.kind_range(kind))
-        model.learn_kind(kind)
-        now = np.where(kind == 0, model.guess_2, model.guess_1)
-        lanes = np.flatnonzero(kind == 2)
-        if len(lanes):
-            some, prefix = coder.some(lanes, False), np.zeros(len(lanes), np.int64)
-            for k in range(nibbles):
-                at = model.node(lanes, k, prefix)
-                row = model.rows[at].view(np.int16).reshape(-1, 16)
-                over = ((row + floor) <= coder.target(some)[:, None]).view(np.uint64)  # 16 flags of one byte each
-                nibble = np.minimum(np.bitwise_count(over[:, 0]) + np.bitwise_count(over[:, 1]), 15).astype(np.int64)
-                flat, first = row.ravel(), np.arange(0, 16 * len(lanes), 16) + nibble
-                start = (flat[first - 1] + FLOOR * nibble) * (nibble > 0)
-                some.code(start.astype(np.uint64), (flat[first] + FLOOR * (nibble + 1) - start).astype(np.uint64))
-                model.learn_nibble(at, row, nibble)
-                prefix = (prefix << 4) | nibble
-            some.put()
-            now[lanes] = prefix
-        ids[t, :n] = now
-        model.learn_id(now)
-    out: list = [None] * len(data)
-    for lane, i in enumerate(order):
-        out[i] = ids[: counts[i], lane].copy()
-    return out
+    def __init__(self, data: bytes, lanes: int):
+        super().__init__(lanes)
+        size = np.frombuffer(data, "<u2", lanes).astype(np.int64)
+        self.words = np.frombuffer(data, "<u2", offset=2 * lanes).astype(np.int64)
+        self.end = np.cumsum(size)
+        if self.end[-1] != len(self.words):
+            raise ValueError("a block's lanes are not as long as its bytes")
+        self.at = self.end - size
+        every = np.arange(lanes)
+        self.value = np.zeros(lanes, np.int64)
+        for _ in range(3):
+            self.value = self.value << 16 | self.word(every)
+            self.at += 1
+
+    def word(self, lanes: np.ndarray) -> np.ndarray:
+        at = self.at[lanes]
+        return np.where(at < self.end[lanes], self.words.take(at, mode="clip"), 0)
+
+    def move(self, lanes: np.ndarray, low: np.ndarray) -> None:
+        self.value[lanes] = ((self.value[lanes] << 16) & MASK) | self.word(lanes)
+
+    def target(self, n: int, bits: int) -> np.ndarray:
+        """The places that the next ids cover; the quotient of two numbers of at most 48 and 31 bits is cut exactly."""
+        return np.minimum((((self.value[:n] - self.low[:n]) & MASK) / (self.range[:n] >> bits)).astype(np.int64), (1 << bits) - 1).astype(np.int32)
+
+
+def _lanes(n: int) -> tuple[int, int]:
+    """How many lanes so many ids make, and of how many ids each but the last."""
+    length = -(-n // min(LANES, max(1, n // LANE_TOKENS)))
+    return -(-n // length), length
+
+
+def _steps(n: int) -> Iterator[tuple[int, int, int]]:
+    """Step, active lanes, and the first step not yet taught where that is due after this one (else -1)."""
+    lanes, length = _lanes(n)
+    taught, due = 0, 1
+    for t in range(length):
+        teach = t + 1 == due
+        yield t, lanes - (n - (lanes - 1) * length <= t), taught if teach else -1
+        if teach:
+            taught, due = due, min(2 * due, due + TEACH_STEPS)
+
+
+def encode_block(ids: np.ndarray, alphabet: int) -> bytes:
+    """A block's bytes; ids below ``alphabet``."""
+    n = len(ids)
+    if not n:
+        return b""
+    lanes, length = _lanes(n)
+    table = np.zeros(lanes * length, np.int32)
+    table[:n] = ids
+    table = np.ascontiguousarray(table.reshape(lanes, length).T)  # a row is a step
+    model, coder = Model(lanes, alphabet), Encoder(lanes, length)
+    for t, active, since in _steps(n):
+        now = table[t, :active]
+        model.predict(active)
+        coder.code(*model.interval(now), model.bits)
+        model.learn(now)
+        if since >= 0:
+            model.teach(_between(table, since, t, n))
+    return coder.finish()
+
+
+def decode_block(data: bytes, n: int, alphabet: int) -> np.ndarray:
+    """The n ids of a block."""
+    if not n:
+        return np.empty(0, np.int32)
+    lanes, length = _lanes(n)
+    table = np.zeros((length, lanes), np.int32)
+    model, coder = Model(lanes, alphabet), Decoder(data, lanes)
+    for t, active, since in _steps(n):
+        model.predict(active)
+        now = model.find(coder.target(active, model.bits))
+        coder.code(*model.interval(now), model.bits)
+        model.learn(now)
+        table[t, :active] = now
+        if since >= 0:
+            model.teach(_between(table, since, t, n))
+    return np.ascontiguousarray(table.T).ravel()[:n]
+
+
+def _between(table: np.ndarray, since: int, last: int, n: int) -> np.ndarray:
+    """The ids of these steps; the last lane may end before."""
+    length, lanes = table.shape
+    used = n - (lanes - 1) * length
+    return table[since : last + 1].ravel() if last < used else np.concatenate([table[since : last + 1, :-1].ravel(), table[since : min(used, last + 1), -1]])
 
 
 def _piece(data: bytes) -> bytes:
@@ -289,11 +294,15 @@ def _piece(data: bytes) -> bytes:
 
 def pack_file(doc_ids: list[int | None], counts: np.ndarray, ids: np.ndarray, block_tokens: int) -> bytes:
     """A file's bytes: documents in the given order, their ids one after another."""
-    nibbles = max(1, -(-int(ids.max()).bit_length() // 4)) if len(ids) else 1
+    if not 0 < block_tokens <= 1 << 26:
+        raise ValueError("a block has 1 to 2 ** 26 ids")
+    alphabet = int(ids.max()) + 1 if len(ids) else 1
+    if alphabet > MOST_IDS:
+        raise ValueError(f"ids must be below {MOST_IDS}")
     blocks = [ids[at : at + block_tokens] for at in range(0, len(ids), block_tokens)]
-    coded = encode_blocks(blocks, nibbles)
+    coded = [encode_block(b, alphabet) for b in blocks]
     table = zlib.compress(json.dumps([doc_ids, counts.tolist()]).encode(), 6)
-    header = {"nibbles": nibbles, "blocks": [[len(b), len(c), zlib.crc32(b.astype("<u4").tobytes())] for b, c in zip(blocks, coded)], "table_crc32": zlib.crc32(table)}
+    header = {"alphabet": alphabet, "blocks": [[len(b), len(c), zlib.crc32(c), zlib.crc32(b.astype("<u4").tobytes())] for b, c in zip(blocks, coded)], "table_crc32": zlib.crc32(table)}
     return MAGIC + _piece(json.dumps(header).encode()) + _piece(table) + b"".join(coded)
 
 
@@ -312,22 +321,24 @@ def unpack_file(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     if zlib.crc32(table) != header["table_crc32"]:
         raise ValueError("the document table does not match its checksum")
     doc_ids, counts = json.loads(zlib.decompress(table))
-    coded = []
-    for _, size, _ in header["blocks"]:
-        coded.append(data[at : at + size])
-        at += size
-    ids = decode_blocks(coded, [n for n, _, _ in header["blocks"]], header["nibbles"])
-    for k, (block, (_, _, crc)) in enumerate(zip(ids, header["blocks"])):
-        if zlib.crc32(block.astype("<u4").tobytes()) != crc:
+    ids = []
+    for k, (n, size, of_bytes, of_ids) in enumerate(header["blocks"]):
+        coded = data[at : at + size]
+        if len(coded) != size or zlib.crc32(coded) != of_bytes:
             raise ValueError(f"block {k} does not match its checksum")
+        block = decode_block(coded, n, header["alphabet"])
+        if zlib.crc32(block.astype("<u4").tobytes()) != of_ids:
+            raise ValueError(f"the ids of block {k} do not match their checksum")
+        ids.append(block)
+        at += size
     return doc_ids, np.array(counts, np.int64), np.concatenate(ids) if ids else np.empty(0, np.int32)
 
 
-def write_tokens(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, block_tokens: int = 2048, file_tokens: int = 2048 * 4096, files: int | None = None) -> tuple[DataFrame, str]:
+def write_tokens(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, block_tokens: int = 1 << 21, file_tokens: int = 1 << 23, files: int | None = None) -> tuple[DataFrame, str]:
     """Encode all texts and write files in ascending id order (null first); one row per file: range part, number, path, tokens, documents."""
     spark = df.sparkSession
+    small_batches(spark)
     folder = new_path(spark, "tokens")
-    end = np.array([end_id], "<u4").tobytes()
 
     def write(batches):
         from pyspark import TaskContext
@@ -335,28 +346,26 @@ def write_tokens(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col
         system, base = fs.FileSystem.from_uri(folder)
         system.create_dir(base, recursive=True)
         words, part, number = WordIds(tokenizer), TaskContext.get().partitionId(), 0
-        keys, pieces, size = [], [], 0
+        keys, counts, ids, size = [], [], [], 0
 
         def flush():
-            nonlocal keys, pieces, size, number
-            counts = np.array([len(p) // 4 for p in pieces], np.int64)
-            ids = np.frombuffer(b"".join(pieces), "<u4").astype(np.int32)
+            nonlocal keys, counts, ids, size, number
             path = f"{base}/{part:06d}-{number:06d}-{uuid.uuid4().hex}.tok"
             with system.open_output_stream(path, compression=None) as f:
-                f.write(pack_file(keys, counts, ids, block_tokens))
-            row = (part, number, path, int(counts.sum()), len(keys))
-            keys, pieces, size, number = [], [], 0, number + 1
+                f.write(pack_file(keys, np.concatenate(counts), np.concatenate(ids), block_tokens))
+            row = (part, number, path, size, len(keys))
+            keys, counts, ids, size, number = [], [], [], 0, number + 1
             return pa.RecordBatch.from_pylist([dict(zip(("part", "number", "path", "tokens", "documents"), row))])
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                piece = batch.slice(at, 500)
-                for key, ids in zip(piece.column(0).to_pylist(), words.encode([t or "" for t in piece.column(1).to_pylist()])):
-                    keys.append(key)
-                    pieces.append(ids + end)
-                    size += len(ids) // 4 + 1
-                    if size >= file_tokens:
-                        yield flush()
+            for piece in text_slices(batch, 1):
+                found, ends = words.encode_column(piece.column(1))
+                keys += piece.column(0).to_pylist()
+                counts.append(np.diff(ends, prepend=0) + 1)
+                ids.append(np.insert(found.astype(np.int32), ends, end_id))
+                size += len(ids[-1])
+                if size >= file_tokens:
+                    yield flush()
         if keys:
             yield flush()
 
@@ -390,11 +399,6 @@ def read_tokens(files: DataFrame, folder: str, with_ids: bool = False) -> DataFr
 
 
 def write_and_read(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, **options) -> DataFrame:
-    """Write all documents' ids and read them back: id, start, n_tokens, ids_crc32.
-
-    Null text counts as empty, only the end id. A null id comes first and stays
-    null; rows with one id follow each other in the order of their texts. An
-    empty table gives an empty table.
-    """
+    """Write all documents' ids and read them back: id, start, n_tokens, ids_crc32. For odd rows see the module's text."""
     files, folder = write_tokens(df, tokenizer, id_col, text_col, end_id, **options)
     return read_tokens(files, folder).withColumnRenamed("id", id_col)

@@ -189,15 +189,33 @@ def test_merging_one_place_a_round_gives_the_same():
         assert (a == b).all()
 
 
-@pytest.mark.parametrize("lengths", [[0], [1], [5, 0, 300, 7], [64] * 9])
-def test_codec_round_trip(lengths):
-    rng = np.random.default_rng(4)
-    blocks = [np.minimum(rng.zipf(1.4, n), 49407).astype(np.int32) for n in lengths]
-    coded = token_codec.encode_blocks(blocks, 4)
-    back = token_codec.decode_blocks(coded, lengths, 4)
-    assert all((a == b).all() for a, b in zip(blocks, back))
-    for block, data in zip(blocks, coded):  # a block does not depend on its neighbours
-        assert token_codec.encode_blocks([block], 4)[0] == data
+@pytest.mark.parametrize("n", [0, 1, 2, 255, 513, 70_001])
+def test_codec_round_trip(n):
+    rng = np.random.default_rng(n)
+    for ids, alphabet in ((np.minimum(rng.zipf(1.4, n), 49407).astype(np.int32), 49408), (rng.integers(0, 5, n).astype(np.int32), 5), (rng.integers(0, 200_000, n).astype(np.int32), 200_000), (np.zeros(n, np.int32), 1)):
+        data = token_codec.encode_block(ids, alphabet)
+        assert (token_codec.decode_block(data, n, alphabet) == ids).all() and token_codec.encode_block(ids, alphabet) == data
+
+
+def test_codec_bits_a_token():
+    """Each order has to help: a skewed draw comes near its entropy, chains of order 1 and 2 well below that of their ids alone."""
+    rng = np.random.default_rng(0)
+    n, size = 200_000, 64
+
+    def bits(ids):
+        return 8 * len(token_codec.encode_block(ids.astype(np.int32), size)) / n
+
+    p = 1 / np.arange(1, size + 1)
+    p /= p.sum()
+    draw, noise = rng.choice(size, n, p=p), rng.random(n) < 0.1
+    one, two = draw.copy(), draw.copy()
+    for i in range(2, n):
+        if not noise[i]:
+            one[i] = (one[i - 1] * 5 + 3) % size
+            two[i] = (two[i - 1] * 7 + two[i - 2] * 3 + 1) % size
+    entropy = -(p * np.log2(p)).sum()
+    assert entropy < bits(draw) < entropy + 0.5
+    assert bits(one) < 2.2 and bits(two) < 2.2
 
 
 def test_codec_compresses_and_checks():
@@ -206,10 +224,15 @@ def test_codec_compresses_and_checks():
     assert len(data) < len(ids)
     keys, counts, back = token_codec.unpack_file(data)
     assert keys == [1, None] and counts.tolist() == [1000, 3000] and (back == ids).all()
-    broken = bytearray(data)
-    broken[-200] ^= 1
+    blocks = [token_codec.encode_block(ids[at : at + 1024], 50) for at in range(0, 4000, 1024)]
+    assert data.endswith(b"".join(blocks))  # a block does not depend on its neighbours
+    for at in (-200, -1, -sum(map(len, blocks)) + 1):
+        broken = bytearray(data)
+        broken[at] ^= 1
+        with pytest.raises(ValueError):
+            token_codec.unpack_file(bytes(broken))
     with pytest.raises(ValueError):
-        token_codec.unpack_file(bytes(broken))
+        token_codec.unpack_file(data[:-300])
 
 
 def test_token_files(spark):
