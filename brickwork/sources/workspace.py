@@ -1,7 +1,8 @@
-"""Places for written tables: the folder that all executors share, or a temporary one on a single machine."""
+"""Places for written tables: the folder that driver and executors share, ``spark.checkpoint.dir``."""
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -10,17 +11,30 @@ from pyspark.sql import DataFrame, SparkSession
 _OWN: list[str] = []
 
 
-def new_path(spark: SparkSession, name: str) -> str:
+def shared_dir(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``.
+
+    On one machine (a ``local`` master) without that setting, an own temporary
+    folder; on a cluster its absence is an error, as executors don't share one.
+    Tables stay until the folder's owner clears it, as a lost executor may need them.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.match(r"local(\[|$)", spark.conf.get("spark.master", "")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if not _OWN:
             _OWN.append("file://" + tempfile.mkdtemp(prefix="brickwork-"))
         base = _OWN[0]
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return base.rstrip("/")
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the shared folder, read again."""
+    """``df`` as a table in the shared folder, read again: later steps neither
+    compute it anew nor lose it with an executor."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
