@@ -95,22 +95,32 @@ def brute_top_k(rows, k, every):
     out = []
     for q, a in vectors:
         if q % every == 0:
-            scored = sorted((-sum(x * y for x, y in zip(a, b)), i) for i, b in vectors if i != q and len(b) == len(a))
+            scored = sorted((-max(1 - 2**63, min(2**63 - 1, sum(x * y for x, y in zip(a, b)))), i) for i, b in vectors if i != q and len(b) == len(a))
             out += [(q, r, i, -s) for r, (s, i) in enumerate(scored[:k], 1)]
     return sorted(out)
 
 
-@pytest.mark.parametrize("bins,block", [(4, 2), (1024, 4096)])
-def test_top_k_equals_brute_force(spark, bins, block):
+@pytest.mark.parametrize("bins,block,tile", [(4, 100, 3), (1024, 32 << 20, 4)])
+def test_top_k_equals_brute_force(spark, bins, block, tile):
     rng = np.random.default_rng(2)
     rows = [(i, [float(x) for x in rng.normal(size=4).round(1)]) for i in range(90)]
     rows += [(200 + i, [1.0, 0.0, 0.5, 0.0]) for i in range(60)]  # ties
     rows += [(300, None), (301, []), (302, [1.0, None, 0.0, 0.0]), (303, [float("nan"), 0.0, 0.0, 1.0]), (304, [float("inf"), 0.0, 0.0, 0.0]), (None, [1.0, 1.0, 1.0, 1.0]), (320, [1.0, 2.0])]
     df = spark.createDataFrame([(i, v, 1, "x") for i, v in rows], "vec_id long, embedding array<float>, label int, score string")
-    got = sorted(map(tuple, topk_search.top_k(df, k=7, bins=bins, block_queries=block, step=32).select("query_id", "rank", "vec_id", "score").collect()))
+    got = sorted(map(tuple, topk_search.top_k(df, k=7, bins=bins, block_bytes=block, tile=tile, step=32).select("query_id", "rank", "vec_id", "score").collect()))
     assert got == brute_top_k(rows, 7, 20)
 
 
+@pytest.mark.parametrize("size", [1e5, 3e6, 2e7, 4e9, 1e25, 3e38])
+def test_top_k_of_large_components(spark, size):
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(np.float32(x)) for x in rng.normal(size=8)]) for i in range(30)]
+    rows += [(40 + i, [float(np.float32(size * x)) for x in rng.normal(size=8)]) for i in range(12)] + [(60, [0.0] * 7 + [float(np.float32(size))]), (61, [0.0] * 8), (80, [float(np.float32(-size))] * 8)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = sorted(map(tuple, topk_search.top_k(df, k=6, step=16).select("query_id", "rank", "vec_id", "score").collect()))
+    assert got == brute_top_k(rows, 6, 20)
+
+
 def test_top_k_edges(spark):
     schema = "vec_id long, embedding array<float>"
     assert topk_search.top_k(spark.createDataFrame([], schema)).count() == 0
