@@ -1,44 +1,18 @@
-"""What the corpus operators share: the shared folder, written tables, Arrow maps."""
+"""What the corpus operators share: written tables, Arrow maps over texts."""
 
 from __future__ import annotations
 
 import ctypes
 import gc
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-_OWN_FOLDER: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where the session has none (tests, one machine) an own folder is made.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not _OWN_FOLDER:
-            _OWN_FOLDER.append("file://" + tempfile.mkdtemp(prefix="brickwork-"))
-        base = _OWN_FOLDER[0]
-    return base.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the shared folder, read again: later steps neither
-    compute it anew nor lose it with an executor."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from ..sources.workspace import new_path, written  # noqa: F401
 
 
 def free_name(df: DataFrame, base: str) -> str:
@@ -59,11 +33,23 @@ def text_slices(batch: pa.RecordBatch, index: int, max_bytes: int = 8 << 20) ->
         yield batch.slice(start, step)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Send texts to Python in batches of few rows, unless the session has its own setting: a batch is held by both sides."""
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """Within it, texts go to Python in batches of few rows, unless the session has its own setting: a batch is held by both sides."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(name) == "10000":  # Spark's default
+    before = spark.conf.get(name)
+    if before == "10000":  # Spark's default
         spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def written_texts(df: DataFrame, name: str) -> DataFrame:
+    """As ``written``, for a table that Python makes from whole texts."""
+    with small_batches(df.sparkSession):
+        return written(df, name)
 
 
 def release_memory() -> None:
@@ -82,7 +68,6 @@ def with_text_columns(df: DataFrame, text_col: str, fields: list[T.StructField],
     (None for null) to one list or array per field. All other columns pass
     through untouched. Names must not clash; see :func:`free_name`.
     """
-    small_batches(df.sparkSession)
     schema = T.StructType(df.schema.fields + fields)
     index = df.columns.index(text_col)
     types = list(to_arrow_schema(T.StructType(fields)).types)

@@ -6,10 +6,11 @@ several widths, a rectifier, max pooling and a softmax layer. A document's
 prediction is the class with the largest mean log-probability over its windows,
 weighted by their bytes; its score is the softmax of those means.
 
-Training takes a sample of labelled rows, bounded by ``rows_per_language`` and
-``max_languages``, and a few windows of each.
+Training takes a sample of labelled rows, bounded by ``rows_per_language``, and
+a few windows of each.
 
-Defined results. Text that is null or without a letter: ``und``, score 0.
+Defined results. Text that is null or without a letter (category L, so neither
+``²`` nor ``①``): ``und``, score 0.
 Training rows with null text, null language or no letters are left out; with no
 training row at all every text is ``und``. Ties go to the language first in
 alphabetical order. Repeated rows count as often as they occur. An empty table
@@ -18,17 +19,18 @@ gives an empty table.
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import double, string, with_text_columns
 
-LETTER = re.compile(r"[^\W\d_]")
+#: A character of Unicode's category L, as in Spark's regular expressions.
+LETTER = regex.compile(r"\p{L}")
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
@@ -152,16 +154,19 @@ class ByteCNN:
         return lang, score
 
 
-def learn(df: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", rows_per_language: int = 600, windows_per_row: int = 4, max_languages: int = 200, shape: Shape = Shape(), steps: int = 500) -> ByteCNN:
+def learn(df: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", rows_per_language: int = 600, windows_per_row: int = 4, max_languages: int = 10_000, shape: Shape = Shape(), steps: int = 500) -> ByteCNN:
     """Train on a bounded sample of the labelled rows of ``df``.
 
     Rows are taken by a hash of ``id_col`` at a rate per language that gives
     about ``rows_per_language`` each; only ``windows_per_row`` windows of a row,
-    spread over its whole text, reach the driver. Languages beyond
-    ``max_languages``, the rarest, are not learned.
+    spread over its whole text, reach the driver. Every language is learned;
+    more than ``max_languages`` distinct values are an error, as such a column
+    hardly holds languages.
     """
     slim = df.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("l")).where("t IS NOT NULL AND l IS NOT NULL AND t RLIKE '\\\\p{L}'")
-    counts = {r.l: r.n for r in slim.groupBy("l").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(max_languages).collect()}
+    counts = {r.l: r.n for r in slim.groupBy("l").agg(F.count("*").alias("n")).limit(max_languages + 1).collect()}
+    if len(counts) > max_languages:
+        raise ValueError(f"{lang_col} has more than {max_languages} values")
     classes = sorted(counts)
     if not classes:
         return ByteCNN([], shape)

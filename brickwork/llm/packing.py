@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import release_memory, small_batches, text_slices, written
+from .common import release_memory, text_slices, written, written_texts
 from .word_ids import WordIds
 
 
@@ -125,12 +125,11 @@ def _merge_groups(room: int):
 
 def pack_documents(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", room: int = 1024, end_id: int = 2, slack: int = 0, fan_in: int = 8, group_bins: int = 100_000, with_ids: bool = False, pack_rows: int = 400_000) -> DataFrame:
     """One row per piece: id, piece, start, length, ids_crc32, sequence_id, offset (and the ids as bytes)."""
-    small_batches(df.sparkSession)
     id_type = df.schema[id_col].dataType
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     ids = [T.StructField("ids", T.BinaryType())] if with_ids else []
     schema = T.StructType([T.StructField("id", id_type), *PIECE, *ids, *PLACE])
-    pieces = written(docs.mapInArrow(_pack_local(tokenizer, room, end_id, schema, pack_rows), schema), "pieces")
+    pieces = written_texts(docs.mapInArrow(_pack_local(tokenizer, room, end_id, schema, pack_rows), schema), "pieces")
 
     # bins that still have room, with the group that they come from
     bins = pieces.where(F.col("fill") < room - slack).groupBy("bin").agg(F.first("fill").alias("fill"))

@@ -194,7 +194,7 @@ def held_out(id_col: str | Column, folds: int = 5, held_fold: int = 0) -> Column
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = 6000, folds: int = 5, held_fold: int = 0) -> RuleEnsemble:
     """Fit on a sample of about ``max_rows`` labels outside the held-out fold, drawn by a hash of the id."""
-    usable = labels.select(F.col(id_col).alias("i"), F.col(label_col).cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("i").isNotNull()).where(~held_out("i", folds, held_fold))
+    usable = labels.select(F.col(id_col).alias("i"), F.col(label_col).cast("double").alias("y")).where(F.col("y").isin(0.0, 1.0) & F.col("i").isNotNull()).where(~held_out("i", folds, held_fold))
     n = usable.count()
     drawn = usable.where(F.pmod(F.xxhash64("i", F.lit(29)), F.lit(1_000_000)) < min(1.0, max_rows / max(1, n)) * 1_000_000).limit(2 * max_rows)
     texts = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).join(F.broadcast(drawn), "i")  # at most 2 * max_rows small rows

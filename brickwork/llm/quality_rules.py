@@ -171,10 +171,10 @@ def _measure(names: list[str]):
     return make
 
 
-def sample_texts(df: DataFrame, text_col: str, rows: int, chars: int = 20_000) -> list[str | None]:
-    """A bounded sample for the cost estimate only: ``rows`` rows, at most ``chars`` of each; verdicts never use it."""
-    got = df.select(F.substring(F.col(text_col), 1, chars).alias("t")).limit(rows).collect()
-    return [r.t for r in got]
+def sample_texts(df: DataFrame, text_col: str, rows: int, seed: int = 7) -> list[str | None]:
+    """About ``rows`` whole texts from all over the table, for the estimate of costs only; verdicts never use them."""
+    share = min(1.0, 1.2 * rows / max(1, df.count()))
+    return [r.t for r in df.select(F.col(text_col).alias("t")).sample(share, seed).limit(rows).collect()]
 
 
 def with_quality_verdict(df: DataFrame, text_col: str = "text", sample_rows: int = 300, prefix: str = "") -> DataFrame:

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import new_path, small_batches, text_slices, written
+from .common import new_path, text_slices, written, written_texts
 from .word_ids import WordIds
 
 MAGIC = b"BWT2"
@@ -337,7 +337,6 @@ def unpack_file(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
 def write_tokens(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, block_tokens: int = 1 << 21, file_tokens: int = 1 << 23, files: int | None = None) -> tuple[DataFrame, str]:
     """Encode all texts and write files in ascending id order (null first); one row per file: range part, number, path, tokens, documents."""
     spark = df.sparkSession
-    small_batches(spark)
     folder = new_path(spark, "tokens")
 
     def write(batches):
@@ -372,7 +371,7 @@ def write_tokens(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     n = files or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     dealt = docs.repartitionByRange(n, "id").sortWithinPartitions("id", "text")
-    return written(dealt.mapInArrow(write, "part long, number long, path string, tokens long, documents long"), "token-files"), folder
+    return written_texts(dealt.mapInArrow(write, "part long, number long, path string, tokens long, documents long"), "token-files"), folder
 
 
 def read_tokens(files: DataFrame, folder: str, with_ids: bool = False) -> DataFrame:
