@@ -13,11 +13,13 @@ permutation.
    candidates. In every band bucket each member is compared with two hubs, the
    least id and the least salted hash, on full sets. Confirmed links give
    components. That is linear in the bucket's size.
-3. Where a bucket still holds several components, its members are compared in
-   blocks by a bitmap bound: the parities of a set's hashes in 4096 bits; the
-   bits in which two sets differ are a lower bound of their symmetric
-   difference, so no true link is lost. Pairs that pass are confirmed on full
-   sets. Pairs within a component are never listed.
+3. Where a bucket still holds several components, its members are compared by
+   a bitmap bound: the parities of a set's hashes in 4096 bits; the bits in
+   which two sets differ are a lower bound of their symmetric difference, so no
+   true link is lost. Members of buckets above ``block`` are compared only
+   where they share one of their rarest shingles, of which linked documents
+   share one for certain. Pairs that pass are confirmed on full sets. Pairs
+   within a component are never listed.
 
 Only the choice of candidates is probabilistic: with 42 bands of 6 coordinates
 a pair at a similarity of 0.8 shares none with probability 3e-6.
@@ -36,9 +38,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
-from .common import long, with_text_columns, written
-from .components import components
+from .common import long, with_text_columns, written, written_texts
+from .components import components, hot_above, join_grouped
 
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 PLACES = 1 << 20
@@ -154,13 +157,40 @@ def _of_ids(docs: DataFrame, ids: DataFrame, broadcast_rows: int) -> DataFrame:
     return docs.join(F.broadcast(ids) if small else ids, "id", "left_semi")
 
 
+def _with_set(pairs: DataFrame, sets: DataFrame, key: str, other: str, hot: DataFrame) -> DataFrame:
+    """Pairs joined with the sets of the ids in ``key``; the pairs of hot ids are spread over copies of their set."""
+    copies = F.coalesce("copies", F.lit(1))
+    side = sets.select(F.col("id").alias(key), F.col("n").alias(f"n_{key}"), F.col("shingles").alias(f"s_{key}")).join(F.broadcast(hot), key, "left")
+    side = side.withColumn("salt", F.explode(F.sequence(F.lit(0), copies - 1))).drop("copies")
+    dealt = pairs.join(F.broadcast(hot), key, "left").withColumn("salt", F.pmod(F.xxhash64(other, F.lit(5)), copies).cast("int")).drop("copies")
+    return dealt.join(side, [key, "salt"]).drop("salt")
+
+
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that are linked by their full sets."""
-    side = lambda s: sets.select(F.col("id").alias(s), F.col("n").alias(f"n_{s}"), F.col("shingles").alias(f"s_{s}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("both", F.size(F.array_intersect("s_a", "s_b")))
+    """The pairs (a, b) of a written table that are linked by their full sets."""
+    above = hot_above(pairs, pairs.count())
+    hot = lambda key: pairs.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > above).select(key, F.ceil(F.col("n") / above).cast("int").alias("copies"))
+    both = _with_set(_with_set(pairs, sets, "a", "b", hot("a")), sets, "b", "a", hot("b"))
+    both = both.withColumn("both", F.size(F.array_intersect("s_a", "s_b")))
     return both.where(linked(F.col("both"), F.col("n_a"), F.col("n_b"), percent)).select("a", "b")
 
 
+def _rare_shingles(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(key, id, component): the rarest shingles of documents (id, component), so many that linked documents share one.
+
+    Two sets of a similarity of p % share at least p % of either, so not all of
+    what they share can lie outside the rarest 100 - p % and one more of both.
+    Rarity is counted over these documents, ties go by the hash.
+    """
+    texts = sets.join(members, "id").withColumn("text", F.xxhash64("shingles")).dropDuplicates(["id", "text"])  # an id may come with several
+    tokens = written(texts.select("id", "text", "component", "n", F.explode("shingles").alias("key")), "shingles")
+    found = tokens.groupBy("key").agg(F.count("*").alias("df"), F.count("*").alias("docs"))
+    ranked = join_grouped(tokens, found, "key", "docs", tokens.count())
+    place = F.row_number().over(Window.partitionBy("id", "text").orderBy("df", "key"))  # one document's shingles
+    first = F.col("n") - F.floor((F.lit(percent) * F.col("n") + 99) / 100) + 1
+    return ranked.withColumn("place", place).where((F.col("place") <= first) & (F.col("df") > 1)).select("key", "id", "component")
+
+
 def _close_pairs(percent: int):
     """Blocks of a bucket, sorted by key -> pairs of different components that the bitmap bound allows."""
     popcount = np.array([bin(i).count("1") for i in range(256)], np.uint8)
@@ -202,28 +232,39 @@ def _close_pairs(percent: int):
     return run
 
 
+def _mixed(placed: DataFrame, rows: int, block: int) -> DataFrame:
+    """Of ``rows`` rows (key, id, component), those of keys with several components, and in how many blocks a key's are compared."""
+    groups = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where("lo <> hi")
+    return join_grouped(placed, groups.select("key", F.ceil(F.col("size") / block).cast("int").alias("blocks"), "size"), "key", "size", rows)
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, block: int = 1024, broadcast_rows: int = 500_000) -> DataFrame:
     """One row per row of ``df``: id, n_shingles, component_id, kept."""
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sketches = written(_sketches(docs, width), "sketches")
+    sketches = written_texts(_sketches(docs, width), "sketches")
     reps = written(sketches.where("digest IS NOT NULL AND id IS NOT NULL").groupBy("digest").agg(F.min("id").alias("rid"), F.min_by("bands", "id").alias("bands")), "representatives")
 
     members = reps.select(F.col("rid").alias("id"), F.explode("bands").alias("key"))
     salted = F.xxhash64("id", F.lit(7))
-    buckets = members.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last"), F.min(F.struct(salted.alias("h"), "id")).alias("second")).where("hub < last").select("key", "hub", F.col("second.id").alias("hub2"))
-    shared = written(members.join(buckets, "key"), "buckets")
+    buckets = members.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last"), F.min(F.struct(salted.alias("h"), "id")).alias("second"), F.count("*").alias("size")).where("hub < last").select("key", "hub", F.col("second.id").alias("hub2"), "size")
+    shared = written(join_grouped(members, buckets, "key", "size", BANDS * reps.count()), "buckets")
 
     stars = shared.select("id", F.explode(F.array("hub", "hub2")).alias("h")).where("id <> h")
     stars = written(stars.select(F.least("id", "h").alias("a"), F.greatest("id", "h").alias("b")).distinct(), "stars")
     ids = written(shared.select("id").distinct(), "candidates")
-    sets = written(_sets(_of_ids(docs, ids, broadcast_rows), width), "sets")
+    sets = written_texts(_sets(_of_ids(docs, ids, broadcast_rows), width), "sets")
     links = written(_confirm(stars, sets, percent), "confirmed")
     first = components(links, "a", "b")
 
     placed = shared.select("key", "id").join(first.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     placed = written(placed, "placed")
-    mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where("lo <> hi").select("key", F.ceil(F.col("size") / block).cast("int").alias("blocks"))
-    rest = placed.join(mixed, "key").join(sets.select("id", "n", "bits"), "id")
+    rest = _mixed(placed, placed.count(), block)
+    large = written(rest.where("blocks > 1").select("id", "component").distinct(), "look-alikes")
+    rest = rest.where("blocks = 1")
+    if not large.isEmpty():  # buckets too large for a comparison of their members: only those that share a rare shingle
+        rare = written(_rare_shingles(large, sets, percent), "rare")
+        rest = rest.unionByName(_mixed(rare, rare.count(), block))
+    rest = rest.join(sets.select("id", "n", "bits"), "id")
     rest = rest.withColumn("block", F.pmod(F.xxhash64("id", F.lit(3)), F.col("blocks")).cast("int"))
     rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rest = rest.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "component", "n", "bits")

@@ -61,6 +61,41 @@ def test_near_duplicates_equal_brute_force(spark):
     assert got == brute_groups(rows, 4, 80)
 
 
+def test_near_duplicates_among_look_alikes(spark):
+    """More than 3,000 documents that share bands but are mostly not linked, against all pairs."""
+    rng = random.Random(8)
+    base = [f"w{k}" for k in range(90)]
+    texts = []
+    for i in range(3100):
+        w = list(base)
+        for at in rng.sample(range(90), 4):
+            w[at] = f"x{rng.randrange(10**7)}"
+        texts.append(" ".join(w))
+    for i in range(60):  # these have links
+        w = texts[i].split()
+        w[rng.randrange(90)] = "y"
+        texts.append(" ".join(w))
+    sets = [near_dup.shingle_set(t, 4, near_dup._WordHashes()) for t in texts]
+    common, count = np.unique(np.concatenate(sets), return_counts=True)
+    common = common[count > 1]
+    has = np.stack([np.isin(common, s) for s in sets]).astype(np.float32)
+    both, n = has @ has.T, np.array([len(s) for s in sets])
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in np.argwhere(100 * both >= 80 * (n[:, None] + n[None] - both)).tolist():
+        if a < b:
+            x, y = find(a), find(b)
+            root[max(x, y)] = min(x, y)
+    df = spark.createDataFrame([(i, t, 0, "x", 1) for i, t in enumerate(texts)], DOCS)
+    got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(df, width=4, percent=80, block=256).collect()}
+    assert got == {i: find(i) for i in range(len(texts))} and 2000 < len(set(got.values())) < len(texts)
+
+
 def test_near_duplicates_by_shuffled_join(spark):
     rows = [(i, t) for i, t in enumerate(family(random.Random(5), 12, 60, 4))]
     df = spark.createDataFrame([(i, t, 0, "x", 1) for i, t in rows], DOCS)
