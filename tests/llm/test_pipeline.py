@@ -3,6 +3,7 @@
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -51,7 +52,7 @@ def test_near_copies_leave_one(spark, docs):
     out = STAGE["MinHash near-dedup"](spark, docs, SF)
     assert out.schema == docs.schema
     groups = brute_groups([(r[0], r[1]) for r in rows(docs) if r[0] is not None], 5, 80)
-    assert rows(out) == [r for r in rows(docs) if r[0] is None or groups[r[0]][2]]
+    assert rows(out) == [r for r in rows(docs.distinct()) if r[0] is None or groups[r[0]][2]]
 
 
 def test_secrets_are_replaced(spark, docs):
@@ -80,3 +81,25 @@ def test_run_packs_all_that_is_kept(spark):
     packed = corpus_pipeline.run(spark, SF).toPandas()
     assert packed.groupby("doc_id")["length"].sum().to_dict() == tokens
     assert packed.groupby("sequence_id")["length"].sum().max() <= 1024
+
+
+@pytest.mark.parametrize("name", list(STAGE))
+def test_stages_of_an_empty_table(spark, docs, name):
+    out = STAGE[name](spark, docs.limit(0), SF)
+    assert out.count() == 0 and (name == "best-fit packing" or out.schema == docs.schema)
+
+
+@pytest.mark.parametrize("name", list(STAGE)[:-1])
+def test_other_columns_pass_whatever_their_names(spark, docs, name):
+    more = {"lang_pred": F.lit("x"), "lang_score": F.lit(1.5), "quality_score": F.lit(None).cast("int"), "redacted": F.col("doc_id"), "s_n_words": F.lit(3), "component_id": F.lit("c"), "id": F.lit(9), "kept": F.lit(False)}
+    few = docs.where("doc_id IS NULL OR doc_id % 3 = 0")
+    wide = STAGE[name](spark, written(few.withColumns(more), "wide"), SF)
+    assert wide.columns == docs.columns + list(more)
+    assert rows(wide.select(docs.columns)) == rows(STAGE[name](spark, few, SF))
+
+
+def test_margin_for_any_number_of_languages(spark, docs):
+    two = docs.where("lang IN ('en', 'de') AND length(text) > 40")
+    short = spark.createDataFrame([(70001, "the thing that was with the other", "en", "s", 30), (70002, "½ ² ①", "en", "s", 5)], docs.schema)
+    kept = {r.doc_id for r in STAGE["language ID"](spark, two.unionByName(short), SF).select("doc_id").collect()}
+    assert 70001 in kept and 70002 not in kept and len(kept) > 0.98 * two.select("doc_id").distinct().count()

@@ -210,3 +210,74 @@ def test_classifier_held_out(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     got = quality_classifier.classify_quality(docs, labels).join(labels, "doc_id").where("held_out").toPandas()
     assert (got.predicted == got.quality).mean() > 0.95
+
+
+def test_forward_pass_and_gradients_by_loops():
+    """The network against plain loops, and its gradients against differences."""
+    net = language_id.ByteCNN(["a", "b", "c"], language_id.Shape(window=12, widths=(2, 3), filters=2, embedding=3), seed=1)
+    net.params = {k: v.astype(np.float64) for k, v in net.params.items()}
+    net.params["shift"] += 0.3
+    codes = np.frombuffer(b"hello wor\0\0\0the third on", np.uint8).reshape(2, 12)
+
+    def forward(p):
+        out = []
+        for row in codes:
+            vectors = [p["embed"][c] for c in row] + [np.zeros(3)] * 2
+            top = []
+            for f in range(4):
+                width = (2, 3)[f // 2]
+                top.append(max(0.0, p["shift"][f] + max(sum(float(vectors[i + k][d] * p["filter"][k * 3 + d, f]) for k in range(width) for d in range(3)) for i in range(12))))
+            z = [p["bias"][c] + sum(top[f] * p["out"][f, c] for f in range(4)) for c in range(3)]
+            out.append([v - np.log(sum(np.exp(z))) for v in z])
+        return np.array(out)
+
+    assert np.allclose(net.log_probabilities(codes), forward(net.params), atol=1e-5)
+    labels = np.array([2, 0])
+    loss = lambda p: -np.mean(forward(p)[np.arange(2), labels])
+    for name, grad in net.gradients(codes, labels).items():
+        flat = net.params[name].reshape(-1)
+        for at in np.unique(np.r_[np.abs(grad).reshape(-1).argsort()[-6:], 0]):
+            if name == "embed" and at < 3 or name == "filter" and not net.mask.reshape(-1)[at]:
+                continue  # padding and what a filter doesn't see stay 0
+            was = flat[at]
+            flat[at] = was + 1e-5
+            high = loss(net.params)
+            flat[at] = was - 1e-5
+            low = loss(net.params)
+            flat[at] = was
+            assert grad.reshape(-1)[at] == pytest.approx((high - low) / 2e-5, abs=2e-4)
+
+
+@pytest.mark.parametrize("text", ["²", "½ ①", "\u0301", "12_3", "", None])
+def test_no_letter_is_undetermined(text):
+    net = language_id.ByteCNN(["a", "b"])
+    assert net.predict([text]) == (["und"], [0.0])
+
+
+def test_quality_rules_fit_by_brute_force():
+    """The first split of a tree against all splits, and the lasso against its optimality conditions."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(80, len(quality_classifier.STATISTICS))).round(1)
+    y = ((x[:, 2] > 0.3) & (x[:, 5] < 0.6)).astype(float)
+    limits = [np.unique(c)[:-1] for c in x.T]
+    rules = []
+    quality_classifier._grow(x, y - y.mean(), limits, 1, 8, (), rules)
+    spread = {}
+    for k in range(x.shape[1]):
+        for limit in limits[k]:
+            low = x[:, k] <= limit
+            if min(low.sum(), (~low).sum()) >= 8:
+                spread[k, limit] = y[low].var() * low.sum() + y[~low].var() * (~low).sum()
+    k, limit = min(spread, key=spread.get)
+    assert [(c.statistic, c.limit) for rule in rules for c in rule] == [(quality_classifier.STATISTICS[k], limit)] * 2
+    hits = (rng.random((80, 10)) < 0.4).astype(float)
+    hits[:, 0] = np.where(rng.random(80) < 0.8, y, hits[:, 0])
+    b, w = quality_classifier.fit_lasso(hits, y, penalty=0.01, steps=5000)
+    slope = hits.T @ (1 / (1 + np.exp(-(b + hits @ w))) - y) / len(y)
+    assert np.allclose(slope[w != 0], -0.01 * np.sign(w[w != 0]), atol=1e-5) and (np.abs(slope[w == 0]) <= 0.01 + 1e-5).all() and (w != 0).any()
+
+
+def test_fractional_labels_teach_nothing(spark):
+    docs = spark.createDataFrame([(i, "good text " * (i % 7 + 1), "en", 1.0, 1) for i in range(60)], DOCS)
+    labels = spark.createDataFrame([(i, 0.9) for i in range(60)], "doc_id long, quality double")
+    assert {r.score for r in quality_classifier.classify_quality(docs, labels).collect()} == {0.5}
