@@ -28,15 +28,6 @@ def norm_authority(spark, d):
     return lines(spark, d).select("id", F.trim(F.regexp_replace(text, " (metropolitan borough council|borough council|city council|county council|council)$", "")).alias("name"))
 
 
-@query("classify_contract", sql("SELECT id, CASE WHEN id % 5 = 0 THEN 'Property management' WHEN contains(lower(description), 'student') THEN 'PBSA' WHEN contains(lower(description), 'homes') THEN 'BTR' WHEN contains(lower(description), 'flats') THEN 'Residential' ELSE 'Other' END AS kind FROM lines"))
-def classify_contract(spark, d):
-    """The exact code, then keywords in order, then a default."""
-    code = F.try_element_at(F.create_map(F.lit("70330000"), F.lit("Property management")), F.when(F.col("id") % 5 == 0, "70330000"))
-    text = F.lower("description")
-    keyword = F.when(F.contains(text, F.lit("student")), "PBSA").when(F.contains(text, F.lit("homes")), "BTR").when(F.contains(text, F.lit("flats")), "Residential")
-    return lines(spark, d).select("id", F.coalesce(code, keyword, F.lit("Other")).alias("kind"))
-
-
 @query("page_rents", sql("SELECT id, CASE WHEN w BETWEEN 60 AND 550 THEN w END AS weekly_from, CASE WHEN w + 25 BETWEEN 60 AND 550 THEN w + 25 WHEN w BETWEEN 60 AND 550 THEN w END AS weekly_to FROM (SELECT id, (p_size * 13)::INTEGER AS w FROM lines) x WHERE w BETWEEN 60 AND 550 OR w + 25 BETWEEN 60 AND 550") .replace("CASE WHEN w BETWEEN 60 AND 550 THEN w END AS weekly_from", "CASE WHEN w BETWEEN 60 AND 550 THEN w ELSE w + 25 END AS weekly_from"))
 def page_rents(spark, d):
     """Lowest and highest plausible weekly rent named in a text; others are left out."""
@@ -110,12 +101,6 @@ def score_inline(spark, d):
     return table(spark, d, "part").select("p_partkey", F.round(F.lit(0.4) * kind + F.lit(0.3) * units + F.lit(0.3) * state, 4).alias("score"))
 
 
-@query("score_legacy", "SELECT p_partkey, score, CASE WHEN score >= 70 THEN 'high' WHEN score >= 45 THEN 'medium' ELSE 'low' END AS priority FROM (SELECT p_partkey, least(p_size * 2, 100)::DOUBLE AS score FROM part) x")
-def score_legacy(spark, d):
-    score = F.least(F.col("p_size") * 2, F.lit(100)).cast("double")
-    return table(spark, d, "part").select("p_partkey", score.alias("score"), F.when(score >= 70, "high").when(score >= 45, "medium").otherwise("low").alias("priority"))
-
-
 @query("track_record", "SELECT c_custkey, CASE WHEN n >= 10 THEN 100.0 WHEN n >= 5 THEN 80.0 WHEN n >= 2 THEN 60.0 WHEN n >= 1 THEN 40.0 ELSE 30.0 END::DOUBLE AS developer, CASE WHEN r_name = 'EUROPE' OR c_nationkey IN (1, 2) THEN 100.0 WHEN c_nationkey < 10 THEN 80.0 ELSE 50.0 END::DOUBLE AS location FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) x ON o_custkey = c_custkey")
 def track_record(spark, d):
     counts = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n"))

@@ -80,16 +80,6 @@ def norm_status(spark, d):
     return lines(spark, d).select("id", n.status(F.col("status")).alias("status"))
 
 
-def _number_sql(pattern: str) -> str:
-    value = f"TRY_CAST(replace(nullif(regexp_extract(description, '{pattern}', 1), ''), ',', '') AS INTEGER)"
-    return f"CASE WHEN {value} BETWEEN 1 AND 50000 THEN {value} END"
-
-
-@query("unit_count", sql(f"SELECT id, coalesce({', '.join(map(_number_sql, n.UNIT_PATTERNS))}) AS units FROM lines"))
-def unit_count(spark, d):
-    return lines(spark, d).select("id", n.first_number(F.col("description"), n.UNIT_PATTERNS, 1, 50000).alias("units"))
-
-
 @query("number_extract", sql("SELECT id, list_max(list_filter(list_transform(regexp_extract_all(description, '[0-9]+'), lambda x: CAST(x AS INTEGER)), lambda v: v BETWEEN 2 AND 10000)) AS largest FROM lines"))
 def number_extract(spark, d):
     found = F.transform(F.regexp_extract_all("description", F.lit("([0-9]+)"), 1), lambda x: x.cast("int"))
@@ -198,35 +188,3 @@ def clamp(spark, d):
 @query("truncate", sql("SELECT id, substr(concat(coalesce(company, ''), ' ', description), 1, 20) AS note FROM lines"))
 def truncate(spark, d):
     return lines(spark, d).select("id", F.substring(F.concat(F.coalesce("company", F.lit("")), F.lit(" "), "description"), 1, 20).alias("note"))
-
-
-@query("sic_sector", "SELECT p_partkey, CASE WHEN starts_with(CAST(p_partkey AS VARCHAR), '4') THEN 'construction' WHEN starts_with(CAST(p_partkey AS VARCHAR), '68') THEN 'property' WHEN starts_with(CAST(p_partkey AS VARCHAR), '6') THEN 'finance' END AS sector FROM part")
-def sic_sector(spark, d):
-    sectors = F.array(*[F.struct(F.lit(p).alias("prefix"), F.lit(s).alias("sector")) for p, s in (("4", "construction"), ("68", "property"), ("6", "finance"))])
-    code = F.col("p_partkey").cast("string")
-    return table(spark, d, "part").select("p_partkey", F.get(F.filter(sectors, lambda x: F.startswith(code, x.prefix)), F.lit(0)).getField("sector").alias("sector"))
-
-
-@query(
-    "classify_text",
-    sql(
-        "SELECT id, CASE WHEN b + s + c > 1 THEN 'Mixed' WHEN b = 1 THEN 'BTR' WHEN s = 1 THEN 'PBSA' WHEN c = 1 THEN 'Co-living' WHEN contains(t, 'flats') OR contains(t, 'dwellings') THEN 'Residential' ELSE 'Unknown' END AS kind FROM (SELECT id, lower(description) AS t, "
-        "(contains(lower(description), 'homes') OR contains(lower(company), 'real estate'))::INTEGER AS b, contains(lower(description), 'student')::INTEGER AS s, coalesce(contains(lower(company), 'group'), false)::INTEGER AS c FROM (SELECT * REPLACE (coalesce(company, '') AS company) FROM lines) y) x"
-    ),
-)
-def classify_text(spark, d):
-    text, who = F.lower("description"), F.lower(F.coalesce("company", F.lit("")))
-    tests = [("BTR", n.any_keyword(text, ["homes"]) | n.any_keyword(who, ["real estate"])), ("PBSA", n.any_keyword(text, ["student"])), ("Co-living", n.any_keyword(who, ["group"]))]
-    kinds = F.array_compact(F.array(*[F.when(test, name) for name, test in tests]))
-    kind = F.when(F.size(kinds) > 1, "Mixed").when(F.size(kinds) == 1, F.get(kinds, F.lit(0))).when(n.any_keyword(text, ["flats", "dwellings"]), "Residential").otherwise("Unknown")
-    return lines(spark, d).select("id", kind.alias("kind"))
-
-
-@query(
-    "argmax_keywords",
-    sql("SELECT id, CASE WHEN greatest(a, b) = 0 THEN NULL WHEN a >= b THEN 'build' ELSE 'let' END AS kind FROM (SELECT id, contains(description, 'Erection')::INTEGER + contains(description, 'block')::INTEGER AS a, contains(description, 'flats')::INTEGER + contains(description, 'residential')::INTEGER + contains(description, 'homes')::INTEGER AS b FROM lines) x"),
-)
-def argmax_keywords(spark, d):
-    hits = lambda words: sum((F.contains("description", F.lit(w)).cast("int") for w in words), F.lit(0))
-    x = lines(spark, d).select("id", hits(["Erection", "block"]).alias("a"), hits(["flats", "residential", "homes"]).alias("b"))
-    return x.select("id", F.when(F.greatest("a", "b") == 0, None).when(F.col("a") >= F.col("b"), "build").otherwise("let").alias("kind"))
