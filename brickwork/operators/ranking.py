@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from brickwork.sources.workspace import written
+
 
 def priority_tiers(df: DataFrame, keys: list[str], score: Column, tie: Column, hot: float = 0.10, warm: float = 0.30) -> DataFrame:
     """hot, warm or cold by the rank of the score within each key; at least one hot row and one warm row."""
@@ -45,3 +47,20 @@ def page(df: DataFrame, order: list[Column], offset: int, limit: int) -> DataFra
     """
     top = df.orderBy(*order).limit(offset + limit)
     return top.withColumn("pos", F.row_number().over(Window.orderBy(*order))).where(F.col("pos") > offset)
+
+
+def positions(df: DataFrame, keys: list[Column], pos: str = "pos") -> DataFrame:
+    """Every row with its place in the whole order, from 1; ``keys`` must end with a unique one.
+
+    The rows are sorted over all partitions; a place is that within the
+    partition and the number of rows in the partitions before, so no task sees
+    more than its own range.
+    """
+    here = F.monotonically_increasing_id()  # the partition above 33 bits, the row within it below
+    placed = written(df.orderBy(*keys).withColumn("__at", here), "ordered")
+    part = F.shiftright("__at", 33)
+    sizes = placed.groupBy(part.alias("__part")).agg(F.count("*").alias("n"))  # one row a partition
+    before = F.coalesce(F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = F.broadcast(sizes.select("__part", before.alias("__before")))
+    place = F.col("__before") + F.col("__at").bitwiseAND((1 << 33) - 1) + 1
+    return placed.withColumn("__part", part).join(offsets, "__part").withColumn(pos, place).drop("__at", "__part", "__before")

@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from brickwork.operators.joining import best_per_key
 from brickwork.operators.rollups import count_by
-from brickwork.operators.ranking import densest_span, leading_streak, page, priority_tiers
+from brickwork.operators.ranking import densest_span, leading_streak, page, positions, priority_tiers
 from brickwork.registry import query, table
 
 
@@ -92,14 +92,14 @@ def _nulled(spark, d):
     return table(spark, d, "customer").withColumn("score", F.when(F.col("c_custkey") % 4 != 0, F.col("c_acctbal")))
 
 
-@query("sort_nulls_last", f"SELECT c_custkey, row_number() OVER (ORDER BY score DESC NULLS LAST, c_custkey) AS pos FROM {NULLED} x QUALIFY pos <= 1000")
+@query("sort_nulls_last", f"SELECT c_custkey, row_number() OVER (ORDER BY score DESC NULLS LAST, c_custkey) AS pos FROM {NULLED} x")
 def sort_nulls_last(spark, d):
-    return page(_nulled(spark, d), [F.desc_nulls_last("score"), F.col("c_custkey")], 0, 1000).select("c_custkey", "pos")
+    return positions(_nulled(spark, d), [F.desc_nulls_last("score"), F.col("c_custkey")]).select("c_custkey", "pos")
 
 
-@query("sort_nulls_first", f"SELECT c_custkey, row_number() OVER (ORDER BY score ASC NULLS FIRST, c_custkey) AS pos FROM {NULLED} x QUALIFY pos <= 1000")
+@query("sort_nulls_first", f"SELECT c_custkey, row_number() OVER (ORDER BY score ASC NULLS FIRST, c_custkey) AS pos FROM {NULLED} x")
 def sort_nulls_first(spark, d):
-    return page(_nulled(spark, d), [F.asc_nulls_first("score"), F.col("c_custkey")], 0, 1000).select("c_custkey", "pos")
+    return positions(_nulled(spark, d), [F.asc_nulls_first("score"), F.col("c_custkey")]).select("c_custkey", "pos")
 
 
 @query("page", "SELECT o_orderkey, 40 + row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS pos, (SELECT count(*) FROM orders) AS total FROM (SELECT * FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20 OFFSET 40) x")
@@ -114,14 +114,14 @@ def topk(spark, d):
     return table(spark, d, "orders").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(25).select("o_orderkey", "o_totalprice")
 
 
-@query("sort_multi", "SELECT c_custkey, row_number() OVER (ORDER BY c_mktsegment DESC NULLS LAST, c_acctbal ASC NULLS LAST, c_custkey) AS pos FROM customer QUALIFY pos <= 100")
+@query("sort_multi", "SELECT c_custkey, row_number() OVER (ORDER BY c_mktsegment DESC NULLS LAST, c_acctbal ASC NULLS LAST, c_custkey) AS pos FROM customer")
 def sort_multi(spark, d):
-    return page(table(spark, d, "customer"), [F.desc_nulls_last("c_mktsegment"), F.asc_nulls_last("c_acctbal"), F.col("c_custkey")], 0, 100).select("c_custkey", "pos")
+    return positions(table(spark, d, "customer"), [F.desc_nulls_last("c_mktsegment"), F.asc_nulls_last("c_acctbal"), F.col("c_custkey")]).select("c_custkey", "pos")
 
 
-@query("sort_bool", "SELECT p_partkey, row_number() OVER (ORDER BY p_size > 25, p_retailprice DESC NULLS LAST, p_partkey) AS pos FROM part QUALIFY pos <= 100")
+@query("sort_bool", "SELECT p_partkey, row_number() OVER (ORDER BY p_size > 25, p_retailprice DESC NULLS LAST, p_partkey) AS pos FROM part")
 def sort_bool(spark, d):
-    return page(table(spark, d, "part"), [F.col("p_size") > 25, F.desc_nulls_last("p_retailprice"), F.col("p_partkey")], 0, 100).select("p_partkey", "pos")
+    return positions(table(spark, d, "part"), [F.col("p_size") > 25, F.desc_nulls_last("p_retailprice"), F.col("p_partkey")]).select("p_partkey", "pos")
 
 
 @query("sort_by_count", "SELECT c_custkey, coalesce(n, 0) AS n FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) x ON o_custkey = c_custkey ORDER BY 2 DESC, 1 LIMIT 50")

@@ -182,3 +182,53 @@ def test_streaks_do_not_depend_on_the_order_of_files(spark):
 def test_titles_stop_at_the_first_empty_slot(spark):
     df = spark.createDataFrame([("T1", "", "a", "", "c", ""), ("T2", "", "", "b", "", ""), ("", "", "a", "b", "", "")], ["Title Number", "Postcode", *[f"Proprietor Name ({k})" for k in range(1, 5)]])
     assert [(r.title_number, len(r.proprietors)) for r in files.titles(df).collect()] == [("T1", 1)]
+
+
+def test_rule_tables_on_hand_written_rows(spark):
+    """Golden rows: (description, applicant, agent) -> scheme type; description -> number of homes."""
+    from brickwork.functions import schemes
+
+    types = [
+        ("Erection of 40 flats", "GREYSTAR Europe Ltd", None, "BTR"),
+        ("Change of use", None, "c/o Unite Students plc", "PBSA"),
+        ("Retirement apartments", "Grainger plc", "", "Mixed"),
+        ("32 affordable units for rent", None, None, "Mixed"),
+        ("Build-to-rent tower", "Moda Living", None, "BTR"),
+        ("Extra care village", "McCarthy Stone", None, "Senior"),
+        ("Co-living rooms", None, None, "Co-living"),
+        ("Rear extension, one bedroom", "J Smith", None, "Residential"),
+        ("New shop front", "Uncle Ben Foods", None, "BTR"),  # names match inside words
+        ("New shop front", "", "", "Unknown"),
+        (None, None, None, "Unknown"),
+    ]
+    df = spark.createDataFrame(types, "d string, a string, g string, kind string")
+    got = df.select("kind", schemes.scheme_type(F.col("d"), F.col("a"), F.col("g")).alias("got")).collect()
+    assert [r.got for r in got] == [r.kind for r in got]
+    counts = [
+        ("Demolition and erection of 24 no. two-bedroom residential apartments", 24),
+        ("Circa 523 residential units and a maximum of 9 dwellings", 523),
+        ("a minimum of 3 houses", 3),
+        ("50no. 2-storey dwellinghouses", 50),
+        ("99,999 homes, later 1,250 dwellings; comprising 40 blocks", 40),  # the first match of a pattern decides whether it counts
+        ("construction of 7 towers", 7),
+        ("0 flats in a 12-unit scheme", 12),
+        ("single storey shop", None),
+        (None, None),
+    ]
+    got = spark.createDataFrame(counts, "d string, n int").select("n", schemes.unit_count(F.col("d")).alias("got")).collect()
+    assert [r.got for r in got] == [r.n for r in got]
+    tenders = [(["1", "55250000"], "Student halls", "BTR"), (None, "Student halls", "PBSA"), ([], "Block management of an estate", "Managed Scheme"), (["x"], "Rent collection", "Housing Management"), ([None], None, "Managed Scheme")]
+    got = spark.createDataFrame(tenders, "c array<string>, d string, kind string").select("kind", schemes.contract_type(F.col("c"), F.col("d")).alias("got")).collect()
+    assert [r.got for r in got] == [r.kind for r in got]
+    work = [("CCTV and door entry, data", "security"), ("Boiler servicing", "maintenance"), ("retrofit", "maintenance"), ("Nothing of it", None), (None, None)]
+    got = spark.createDataFrame(work, "d string, kind string").select("kind", schemes.most_keywords(F.col("d")).alias("got")).collect()
+    assert [r.got for r in got] == [r.kind for r in got]
+
+
+def test_positions_over_many_partitions(spark):
+    rows = [(i, (i * 37) % 11 if i % 5 else None) for i in range(500)]
+    df = spark.createDataFrame(rows, "id long, v int").repartition(7)
+    got = {r.id: r.pos for r in ranking.positions(df, [F.asc_nulls_first("v"), F.col("id")]).collect()}
+    ordered = sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[0]))
+    assert got == {i: k for k, (i, _) in enumerate(ordered, 1)}
+    assert ranking.positions(df.limit(0), [F.col("id")]).count() == 0
