@@ -238,7 +238,7 @@ def _mixed(placed: DataFrame, rows: int, block: int) -> DataFrame:
     return join_grouped(placed, groups.select("key", F.ceil(F.col("size") / block).cast("int").alias("blocks"), "size"), "key", "size", rows)
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, block: int = 1024, broadcast_rows: int = 500_000) -> DataFrame:
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, block: int = 256, broadcast_rows: int = 500_000) -> DataFrame:
     """One row per row of ``df``: id, n_shingles, component_id, kept."""
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sketches = written_texts(_sketches(docs, width), "sketches")

@@ -92,7 +92,7 @@ def test_near_duplicates_among_look_alikes(spark):
             x, y = find(a), find(b)
             root[max(x, y)] = min(x, y)
     df = spark.createDataFrame([(i, t, 0, "x", 1) for i, t in enumerate(texts)], DOCS)
-    got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(df, width=4, percent=80, block=256).collect()}
+    got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(df, width=4, percent=80, block=200).collect()}
     assert got == {i: find(i) for i in range(len(texts))} and 2000 < len(set(got.values())) < len(texts)
 
 
