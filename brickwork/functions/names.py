@@ -136,3 +136,48 @@ def tokens(name: Column, least: int, stop: list[str]) -> Column:
 
 def any_keyword(text: Column, words: list[str]) -> Column:
     return reduce(lambda a, b: a | b, [F.contains(text, F.lit(w)) for w in words])
+
+
+#: The other ways in which names are made comparable, each for its own keys. How: legal forms at the end only, forms anywhere, whole words, or signs alone.
+NAME_VARIANTS = {
+    "register": ("end", [" LIMITED", " LTD", " PLC", " LLP", " INC", " CORP", " LLC"]),
+    "ingest": ("anywhere, signs stay", [" limited", " ltd", " plc", " llp", " inc", " council", " borough", " county", " city", " metropolitan", " district"]),
+    "attribution": ("anywhere", [" limited", " ltd", " plc", " llp", " inc", " lp", " cic"]),
+    "student": ("anywhere", [" ltd", " limited", " plc", " llp", " inc", " uk"]),
+    "gaps": ("anywhere, spaces stay", [" ltd", " limited", " plc", " llp", " inc", " group", " holdings", " uk", " (uk)"]),
+    "letters": ("signs", []),
+    "buyers": ("words", ["the", "of", "and", "ltd", "limited", "plc", "llp", "group", "trust", "council", "borough", "city", "london", "mayor", "burgesses"]),
+    "providers": ("words", ["the", "of", "and", "ltd", "limited", "plc", "llp", "group", "housing", "association", "trust", "society", "homes", "registered", "provider"]),
+    "numbers": ("words", ["limited", "ltd", "plc", "llp", "the", "of", "and", "company", "co", "uk", "group"]),
+    "plain": ("lower", []),
+}
+
+
+def name_variant(name: Column, variant: str) -> Column:
+    """A name by one of ``NAME_VARIANTS``; keys of different variants must not be compared."""
+    how, words = NAME_VARIANTS[variant]
+    if how == "end":
+        text = F.upper(F.trim(name))
+        for word in words:
+            text = F.when(F.endswith(text, F.lit(word)), F.substring(text, F.lit(1), F.length(text) - len(word))).otherwise(text)
+        return squeeze(F.regexp_replace(text, "[^A-Z0-9 ]", ""))
+    text = F.lower(name)
+    if how == "lower":
+        return text
+    if how == "signs":
+        return name_key(F.coalesce(name, F.lit("")))
+    if how == "words":
+        plain = F.regexp_replace(F.coalesce(text, F.lit("")), "[^a-z0-9 ]", " ")
+        return squeeze(F.regexp_replace(plain, rf"\b({'|'.join(words)})\b", " "))
+    text = F.trim(text)
+    for word in words:
+        text = F.replace(text, F.lit(word), F.lit(""))
+    if how == "anywhere, signs stay":
+        return squeeze(text)
+    return squeeze(F.regexp_replace(text, r"[^a-z0-9\s]", "")) if how == "anywhere" else F.trim(F.regexp_replace(text, "[^a-z0-9 ]", ""))
+
+
+def spaced_postcode(code: Column, least: int = 0) -> Column:
+    """A postcode with one space before its last three characters, if it has none and at least so many characters; sources differ in that number."""
+    text = squeeze(F.upper(code))
+    return F.when(F.contains(text, F.lit(" ")) | (F.length(text) < least), text).otherwise(F.trim(F.concat(F.substring(text, F.lit(1), F.greatest(F.length(text) - 3, F.lit(0))), F.lit(" "), F.right(text, F.lit(3)))))

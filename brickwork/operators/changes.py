@@ -57,3 +57,12 @@ def by_precedence(writes: DataFrame, key: str, field: str, source: str, ranks: d
     rank = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for p in ranks.items() for x in p]), F.col(source)), F.lit(10))
     best = F.max_by(F.struct("value", source), F.struct(rank, sequence)).alias("b")
     return writes.where("value IS NOT NULL").groupBy(key, field).agg(best).select(key, field, "b.*")
+
+
+def upsert_marked(state: DataFrame, delta: DataFrame, keys: list[str], wins, change: str = "change") -> DataFrame:
+    """``upsert`` with a column that tells new, changed and unchanged rows; one row a key on both sides."""
+    fields = [c for c in state.columns if c not in keys]
+    old = state.select(*keys, F.struct(*fields).alias("old_fields"))
+    new = upsert(state, delta, keys, wins)
+    kind = F.when(F.col("old_fields").isNull(), "new").when(F.struct(*fields).eqNullSafe(F.col("old_fields")), "unchanged").otherwise("changed")
+    return new.join(old, keys, "left").select(*keys, *fields, kind.alias(change))

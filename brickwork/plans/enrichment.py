@@ -48,21 +48,6 @@ def date_multi(spark, d):
     return table(spark, d, "orders").select("o_orderkey", F.coalesce(*[F.try_to_date(raw, f) for f in forms]).alias("day"))
 
 
-@query(
-    "contract_dates",
-    "SELECT o_orderkey, CAST(o_orderdate AS DATE) AS starts, CASE o_orderkey % 3 WHEN 0 THEN CAST(o_orderdate AS DATE) + 400 WHEN 1 THEN CAST(CAST(o_orderdate AS DATE) + to_months(24) AS DATE) END AS ends FROM orders",
-)
-def contract_dates(spark, d):
-    """A range of two dates, or a start with a duration; else the start alone."""
-    day, key = F.to_date("o_orderdate"), F.col("o_orderkey") % 3
-    iso = lambda c: F.date_format(c, "yyyy-MM-dd")
-    text = F.when(key == 0, F.concat(F.lit("contract period: "), iso(day), F.lit(" to "), iso(F.date_add(day, 400)))).when(key == 1, F.concat(F.lit("for a period of 2 years commencing "), iso(day))).otherwise(F.concat(F.lit("starts "), iso(day)))
-    found = F.transform(F.regexp_extract_all("text", F.lit("([0-9]{4}-[0-9]{2}-[0-9]{2})"), 1), lambda x: F.try_to_date(x))
-    x = table(spark, d, "orders").select("o_orderkey", text.alias("text")).select("o_orderkey", "text", found.alias("days"), n.duration_months(F.col("text")).alias("months"))
-    starts = F.get("days", F.lit(0))
-    return x.select("o_orderkey", starts.alias("starts"), F.coalesce(F.get("days", F.lit(1)), F.add_months(starts, F.col("months"))).alias("ends"))
-
-
 @query("jsonld", "SELECT page_id, concat('Block ', page_id) AS name, page_id % 50 AS price FROM pages WHERE page_id % 3 <> 0 AND contains(html, '</body>')")
 def jsonld(spark, d):
     """Nodes of embedded linked data, at any of two depths, that have a name."""

@@ -27,4 +27,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-from brickwork.plans import aggregates, domain, enrichment, filters, ingest, joins, mutation, ordering, schemes, text  # noqa: E402, F401
+from brickwork.plans import aggregates, domain, enrichment, filters, ingest, joins, mutation, ordering, pipelines, prose, schemes, text  # noqa: E402, F401

@@ -74,3 +74,9 @@ def append_new(df: DataFrame, path: str, keys: list[str]) -> None:
             raise
         known = spark.createDataFrame([], df.select(*keys).schema)
     df.dropDuplicates(keys).join(known, keys, "left_anti").write.mode("append").parquet(path)
+
+
+def owner_chains(spark: SparkSession, path: str) -> DataFrame:
+    """Documents with a company and its chain of owners: one row an owner, with its place in the chain."""
+    docs = spark.read.schema("result struct<company:string,chain:array<struct<name:string>>>").json(path, multiLine=True)
+    return docs.select("result.company", F.posexplode("result.chain").alias("place", "owner")).select("company", "place", F.col("owner.name").alias("owner"))
