@@ -138,6 +138,22 @@ SIC_SECTORS = {
     "97": "Households as Employers", "98": "Households", "99": "International Organisations",
 }
 
+#: A tender is about housing if it holds one of these words, or a code is one of these or begins with one of the prefixes.
+HOUSING_KEYWORDS = [
+    "housing", "tenant", "residential", "dwelling", "sheltered", "supported living", "social housing", "affordable", "rented", "lettings",
+    "property management", "estate management", "housing management", "housing maintenance", "registered provider", "housing association",
+    "accommodation", "homelessness", "repairs and maintenance", "voids", "care home", "extra care", "retirement", "supported housing",
+    "temporary accommodation", "block management", "communal", "leasehold", "freehold", "housing stock", "council housing", "almshouse", "hostel",
+    "refuge", "domestic property", "housing revenue", "housing benefit", "tenant engagement", "resident engagement", "right to buy",
+    "shared ownership", "housing register", "key worker", "build to rent", "purpose built student", "co-living", "senior living", "later living",
+    "assisted living", "domiciliary", "warden", "concierge", "landlord services", "rent collection", "arrears", "tenancy management",
+    "housing officer", "disrepair", "decarbonisation", "retrofit", "building safety", "fire safety", "housing contract", "managed accommodation",
+    "managed housing", "property services", "grounds maintenance housing", "cleaning housing", "cleaning communal", "lift maintenance",
+    "planned maintenance", "responsive maintenance", "asset management housing", "stock condition",
+]
+HOUSING_CODES = ["70330000", "70332000", "70333000", "79993000", "98341000", "50700000", "45211000", "45211341", "45211340", "55100000", "55250000", "55200000"]
+HOUSING_PREFIXES = ["703", "7033", "98341", "45211", "50700", "50710", "50711", "50712", "79993", "45453", "45300", "45330", "45421", "90910", "90911", "77310", "50000"]
+
 #: Points of a certificate's letter; any other letter counts OTHER_POINTS.
 EPC_POINTS = {"A": 100, "B": 85, "C": 70, "D": 55, "E": 40, "F": 25, "G": 10}
 OTHER_POINTS = 50
@@ -177,6 +193,12 @@ def contract_type(codes: Column, description: Column, cpv=None, keywords=None, d
     return F.coalesce(by_code, by_type, by_word, F.lit(default))
 
 
+def about_housing(codes: Column, text: Column) -> Column:
+    """Whether a tender is about housing by its codes or its text; false where both are null."""
+    listed = F.exists(F.array_compact(codes), lambda c: c.isin(HOUSING_CODES) | F.rlike(c, F.lit(f"^(?:{'|'.join(HOUSING_PREFIXES)})")))
+    return F.coalesce(listed, F.lit(False)) | has_any(F.lower(text), HOUSING_KEYWORDS)
+
+
 def most_keywords(text: Column, classes=None) -> Column:
     """The class with most of its keywords in the text, the first of equals; null without any."""
     lowered = F.lower(text)

@@ -73,15 +73,13 @@ def enrich_new(spark, d):
     return attribution.attribute(*_sources(spark, d), steps=attribution.SHORT)
 
 
-#: A tender is about housing if it holds one of these.
-HOUSING = ["housing", "homes", "residential", "tenan", "accommodation", "student", "sheltered"]
 #: Notices, with operator and type; {a} is the day they start, {b} 400 days later.
 NOTICES = [
     ("Housing repairs awarded to Northmoor Homes Ltd from {a} to {b}.", "Northmoor Homes Ltd", "Housing Maintenance"),
     ("Student accommodation managed by Redbrick Living Limited, commencing {a} for 24 months", "Redbrick Living Limited", "PBSA"),
     ("Office cleaning from {a} to {b}", None, None),
     ("Sheltered homes. Start date: {a}; end date: {b}.", None, "Senior"),
-    ("Tenancy support for residents", None, "Managed Scheme"),
+    ("Tenancy management", None, "Housing Management"),
     ("Temporary accommodation; the provider is Harbour Trust. Signed {a}, ends {b}", "Harbour Trust", "Supported Housing"),
 ]
 _ENDS = "CASE o_orderkey % 6 WHEN 0 THEN a + 400 WHEN 1 THEN CAST(a + to_months(24) AS DATE) WHEN 3 THEN a + 400 WHEN 5 THEN a + 400 END"
@@ -101,11 +99,11 @@ def tender_ingest(spark, d):
     text = F.replace(F.replace(text, F.lit("{a}"), F.date_format(day, "yyyy-MM-dd")), F.lit("{b}"), F.date_format(F.date_add(day, 400), "yyyy-MM-dd"))
     orders = table(spark, d, "orders")
     notices = orders.select(F.col("o_custkey").alias("notice"), "o_orderkey", "o_orderdate", text.alias("text"))
-    housing = notices.where(rules.has_any(F.lower("text"), HOUSING))
+    none = F.array().cast("array<string>")
+    housing = notices.where(rules.about_housing(none, F.col("text")))
     latest = best_per_key(housing, ["notice"], F.desc("o_orderdate"), F.desc("o_orderkey"))
     known = orders.where("o_custkey % 5 = 0").select(F.col("o_custkey").alias("notice")).distinct()
     new = latest.join(known, "notice", "left_anti")
-    none = F.array().cast("array<string>")
     return new.select("notice", prose.named_operator(F.col("text")).alias("operator"), rules.contract_type(none, F.col("text")).alias("kind"), periods.contract_period(F.col("text")).alias("p")).select("notice", "operator", "kind", "p.*")
 
 
