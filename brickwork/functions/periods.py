@@ -36,34 +36,44 @@ RANGES = [
 START_AND_TERM = r"(?i)(?:commencing|starting|from|beginning)\s+(.+?)\s+for\s+(\d+)\s*[\-–]?\s*(years?|months?)"
 
 #: A month and year count as a day of their own only where no day stands before them.
-ANY_DAY = rf"(?i){ISO}|{LONG}|{NUMERIC}|(?<!\d(?:st|nd|rd|th)?\s{{0,9}}){MONTH_YEAR}"
+ANY_DAY = rf"(?i){ISO}|{LONG}|{NUMERIC}|\b(?=[a-z])(?<!\d(?:st|nd|rd|th)?\s{{0,9}}){MONTH_YEAR}"
 #: Months beyond this are no duration.
 MOST_MONTHS = 12_000
 
 
-def _date(year: Column, month: Column, day: Column) -> Column:
-    return F.when(year != "0000", F.try_to_date(F.concat_ws("-", year, month, day), "yyyy-M-d"))
+def _bound(value: Column, expression) -> Column:
+    """An expression of a value that is worked out once."""
+    return F.get(F.transform(F.array(value), expression), F.lit(0))
 
 
 def day_of(text: Column, months: bool = True) -> Column:
     """The day a short text names: ISO, day month-name year, dd/mm/yyyy, else a month's first day (unless without ``months``); an invalid day falls to the next form."""
-    part = lambda pattern, k: F.regexp_extract(text, "(?i)" + pattern, k)
-    month = lambda name: ((F.position(F.lower(F.left(name, F.lit(3))), F.lit("janfebmaraprmayjunjulaugsepoctnovdec")) + 2) / 3).cast("int")
-    whole = F.coalesce(
-        _date(part(ISO, 1), part(ISO, 2), part(ISO, 3)),
-        _date(part(LONG, 3), month(part(LONG, 2)), part(LONG, 1)),
-        _date(part(NUMERIC, 3), part(NUMERIC, 2), part(NUMERIC, 1)),
-    )
-    return F.coalesce(whole, _date(part(MONTH_YEAR, 2), month(part(MONTH_YEAR, 1)), F.lit("1"))) if months else whole
+
+    def form(pattern, tidy, plain, layout):
+        found = F.regexp_extract(text, "(?i)" + pattern, 0)
+        # A parse that fails is dear, so it is tried only on what was found.
+        return F.when((found != "") & ~F.contains(found, F.lit("0000")), F.try_to_date(F.regexp_replace(found, tidy, plain), layout))
+
+    forms = [
+        (ISO, "-", "-", "yyyy-MM-dd"),
+        (LONG, r"^(\d{1,2})[A-Za-z]*\s+([A-Za-z]{3})[A-Za-z]*\s+", "$1 $2 ", "d MMM yyyy"),
+        (NUMERIC, "[/-]", "/", "dd/MM/yyyy"),
+        (MONTH_YEAR, r"^([A-Za-z]{3})[A-Za-z]*\s+", "1 $1 ", "d MMM yyyy"),
+    ]
+    return F.coalesce(*[form(*f) for f in (forms if months else forms[:-1])])
 
 
 def days_in(text: Column) -> Column:
     """All valid days of a text with their positions (from 0), from left to right; a text without any gives an empty array."""
-    between, found = F.split(text, ANY_DAY, -1), F.regexp_extract_all(text, F.lit(ANY_DAY), 0)
     width = lambda parts: F.aggregate(parts, F.lit(0), lambda n, part: n + F.length(part))
-    at = lambda k: width(F.slice(between, F.lit(1), k + 1)) + width(F.slice(found, F.lit(1), k))
     day = lambda match: F.when(F.rlike(match, F.lit("^[0-9]")), day_of(match, months=False)).otherwise(day_of(match))
-    return F.filter(F.transform(found, lambda match, k: F.struct(at(k).alias("position"), day(match).alias("day"))), lambda x: x["day"].isNotNull())
+
+    def placed(cut):
+        at = lambda k: width(F.slice(cut["between"], F.lit(1), k + 1)) + width(F.slice(cut["found"], F.lit(1), k))
+        return F.transform(cut["found"], lambda match, k: F.struct(at(k).alias("position"), day(match).alias("day")))
+
+    cut = F.struct(F.split(text, ANY_DAY, -1).alias("between"), F.regexp_extract_all(text, F.lit(ANY_DAY), 0).alias("found"))
+    return F.filter(_bound(cut, placed), lambda x: x["day"].isNotNull())
 
 
 def contract_months(text: Column) -> Column:
@@ -90,12 +100,24 @@ def contract_period(text: Column) -> Column:
     term = F.regexp_extract(text, START_AND_TERM, 2).try_cast("int") * F.when(F.startswith(F.lower(F.regexp_extract(text, START_AND_TERM, 3)), F.lit("year")), 12).otherwise(1).cast("long")
     fragments = lambda label, k: F.array(F.regexp_extract(text, label, 1), *[F.regexp_extract(t, p, k) for t, p in [(period, PERIOD_RANGE), *ranges]])
     first = lambda parts: F.get(F.array_compact(F.transform(parts, lambda part: day_of(part))), F.lit(0))
-    begun, months, days = day_of(F.regexp_extract(text, START_AND_TERM, 1)), contract_months(text), F.transform(days_in(text), lambda x: x["day"])
-    known = F.coalesce(first(fragments(START_LABEL, 1)), begun)
-    ended = F.coalesce(first(fragments(END_LABEL, 2)), F.add_months(begun, F.when(term <= MOST_MONTHS, term).cast("int")), F.add_months(known, months))
-    pair = F.when(F.size(days) >= 2, F.array_sort(F.slice(days, 1, 2)))
-    alone = F.when((F.size(days) == 1) & known.isNull(), F.get(days, F.lit(0)))
-    return F.struct(
-        F.coalesce(known, F.get(pair, F.lit(0)), alone).alias("starts"),
-        F.coalesce(F.add_months(alone, months), ended, F.get(pair, F.lit(1))).alias("ends"),
+    parts = F.struct(
+        first(fragments(START_LABEL, 1)).alias("starts"),
+        first(fragments(END_LABEL, 2)).alias("ends"),
+        day_of(F.regexp_extract(text, START_AND_TERM, 1)).alias("begun"),
+        F.when(term <= MOST_MONTHS, term).cast("int").alias("term"),
     )
+    rest = F.struct(F.when(F.rlike(text, F.lit("(?i)year|yr|month")), contract_months(text)).alias("months"), F.transform(days_in(text), lambda x: x["day"]).alias("days"))
+
+    def decided(p):
+        known, ended = F.coalesce(p["starts"], p["begun"]), F.coalesce(p["ends"], F.add_months(p["begun"], p["term"]))
+
+        def with_rest(q):
+            pair = F.when(F.size(q["days"]) >= 2, F.array_sort(F.slice(q["days"], 1, 2)))
+            alone = F.when((F.size(q["days"]) == 1) & known.isNull(), F.get(q["days"], F.lit(0)))
+            ends = F.coalesce(F.add_months(alone, q["months"]), ended, F.add_months(known, q["months"]), F.get(pair, F.lit(1)))
+            return F.struct(F.coalesce(known, F.get(pair, F.lit(0)), alone).alias("starts"), ends.alias("ends"))
+
+        # Durations and all days of the text are looked for only where an end is still open.
+        return F.when(known.isNotNull() & ended.isNotNull(), F.struct(known.alias("starts"), ended.alias("ends"))).otherwise(_bound(rest, with_rest))
+
+    return _bound(parts, decided)
