@@ -1 +1 @@
-"""Training-data operators: ten corpus-scale steps, their queries and SQL."""
+"""Training-data operators: thirteen corpus-scale steps, their queries and SQL."""

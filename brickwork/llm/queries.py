@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, near_dup, packing, piece_bpe, quality_classifier, quality_rules, secret_scan, token_codec, topk_search, warc
+from . import centroids, language_id, lexical_search, main_text, near_dup, packing, piece_bpe, quality_classifier, quality_rules, secret_scan, token_codec, topk_search, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,6 +62,21 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_codec.write_and_read(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 best documents for every benchmark item."""
+    return lexical_search.rank_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op12_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return main_text.extract_main_text(_table(spark, sf_dir, "pages"))
+
+
+def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every embedding in one of 8 clusters after 10 rounds."""
+    return centroids.cluster_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -73,10 +88,15 @@ QUERIES = {
     "op8_topk_search": op8_topk_search,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_token_files": op10_token_files,
+    "op11_lexical_search": op11_lexical_search,
+    "op12_main_text": op12_main_text,
+    "op13_centroid_clusters": op13_centroid_clusters,
 }
 
 ORACLE_SQL = {
     "op5_warc": warc.ORACLE_SQL,
     "op6_quality_rules": quality_rules.ORACLE_SQL,
     "op8_topk_search": topk_search.ORACLE_SQL,
+    "op11_lexical_search": lexical_search.ORACLE_SQL,
+    "op13_centroid_clusters": centroids.ORACLE_SQL,
 }
