@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from brickwork.functions.rounding import half_even, weighted_sum
+
 from brickwork.functions.names import first_number
 
 # Fixed values, from here to CONTRACT_KEYWORDS: words, names, codes and patterns that decide what a text is taken for.
@@ -242,7 +244,7 @@ LEGACY_PRIORITIES = [(70, "high"), (45, "medium")]
 
 
 def legacy_score(parts: Column) -> Column:
-    return F.bround(reduce(lambda a, b: a + b, [parts[k] * w for k, w in LEGACY_WEIGHTS.items()]), 1)
+    return half_even(weighted_sum(LEGACY_WEIGHTS, parts))
 
 
 def legacy_priority(score: Column) -> Column:

@@ -2,15 +2,10 @@
 
 from __future__ import annotations
 
-import math
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from brickwork.functions.similarity import sorted_tokens, token_sort_ratio
-
 
 def best_per_key(df: DataFrame, keys: list[str], *order: Column, keep: int = 1, rank: str | None = None) -> DataFrame:
     """The first ``keep`` rows of each key in an order that should end in a tie-break; optionally with their rank."""
@@ -42,50 +37,13 @@ def repoint(df: DataFrame, column: str, merges: DataFrame) -> DataFrame:
     return df.join(m, df[column] == F.col("__old"), "left").withColumn(column, F.coalesce("__new", column)).drop("__old", "__new")
 
 
-def similar_names(left: DataFrame, right: DataFrame, least: int, salts: int = 8) -> DataFrame:
-    """All pairs of the distinct names of two tables with a token_sort_ratio of ``least`` (over 67) or more: name, other_name, score.
+def containing(longer: DataFrame, text: str, shorter: DataFrame, part: str, least: int = 1) -> DataFrame:
+    """(text, part): the distinct texts of one table with those of the other, of ``least`` letters or more, that are in them.
 
-    No pair is lost: with L common letters in order, names of m and n letters share L
-    letters and 3L - m - n - 1 pairs of neighbours, so the rarest m - L + 1 letters (or
-    as many neighbours) of both have one in common. Neighbours are used from 80 on,
-    letters below and for names too short to share any. Only such pairs of near lengths
-    are compared; each shared part is dealt out over ``salts`` tasks.
+    A containment join as an equi join: a text of n letters is listed with its
+    n * (n + 1) / 2 substrings and meets the others as a whole.
     """
-    c = (least - 0.5) / 200  # L >= c (m + n)
-    wide = 2 if least >= 80 else 1
-
-    def parts(name: str | None) -> tuple:
-        text = sorted_tokens(name)
-        seen: dict[str, int] = {}
-        out = []
-        for q in {wide, 1} if len(text) <= 8 else {wide}:
-            for i in range(len(text) - q + 1):
-                gram = text[i : i + q]
-                seen[gram] = seen.get(gram, 0) + 1
-                out.append(f"{gram}{seen[gram]}")
-        both = len(text) + math.ceil(len(text) * c / (1 - c) - 1e-9)
-        shared = math.ceil((c if wide == 1 else 3 * c - 1) * both - (wide - 1) - 1e-9)
-        return len(text), len(out) if len(text) <= 8 else len(out) - max(1, shared) + 1, out
-
-    @F.pandas_udf("n int, take int, parts array<string>")
-    def cut(names: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([parts(x) for x in names], columns=["n", "take", "parts"])
-
-    def distinct(df: DataFrame) -> DataFrame:
-        return df.select("name").where("name IS NOT NULL").distinct().select("name", cut("name").alias("c")).select("name", "c.*")
-
-    a, b = distinct(left), distinct(right)
-    counts = a.unionAll(b).select(F.explode("parts").alias("part")).groupBy("part").agg(F.count("*").alias("rank"))
-
-    def rarest(df: DataFrame) -> DataFrame:
-        ranked = df.select("name", "n", "take", F.explode("parts").alias("part")).join(counts, "part").groupBy("name", "n", "take")
-        firsts = F.slice(F.array_sort(F.collect_list(F.struct("rank", "part"))), 1, F.col("take"))["part"]
-        return ranked.agg(firsts.alias("firsts")).select("name", "n", "firsts", F.explode("firsts").alias("part"))
-
-    x = rarest(a).withColumn("salt", F.pmod(F.xxhash64("name"), F.lit(salts)).cast("int"))
-    y = rarest(b).select("part", F.col("name").alias("other_name"), F.col("n").alias("other_n"), F.col("firsts").alias("other_firsts"))
-    y = y.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    near = F.least("n", "other_n") >= c * (F.col("n") + F.col("other_n")) - 1e-9
-    once = F.array_intersect("firsts", "other_firsts")[0] == F.col("part")  # a pair is met in the rarest part that it shares
-    pairs = x.join(y, ["part", "salt"]).where(near & once).select("name", "other_name")
-    return pairs.withColumn("score", token_sort_ratio("name", "other_name")).where(F.col("score") >= least)
+    ends = lambda i: F.sequence(F.lit(least), F.greatest(F.length(text) - i + 1, F.lit(least)))
+    cuts = F.flatten(F.transform(F.sequence(F.lit(1), F.length(text)), lambda i: F.transform(ends(i), lambda k: F.substring(F.col(text), i, k))))
+    listed = longer.select(text).where(F.length(text) >= least).distinct().select(text, F.explode(F.array_distinct(cuts)).alias(part))
+    return listed.join(shorter.select(part).where(F.length(part) >= least).distinct(), part).select(text, part)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from brickwork.functions.rounding import half_even, weighted_sum
+
 #: Desirability by scheme type.
 TYPE_SCORES = {"BTR": 100.0, "PBSA": 85.0, "Co-living": 80.0, "Senior": 70.0, "Affordable": 60.0, "Mixed": 65.0, "Residential": 50.0, "Unknown": 30.0}
 #: By planning stage.
@@ -15,6 +17,7 @@ STAGE_SCORES = {
 #: Weights of the parts.
 APPLICATION_WEIGHTS = {"size": 0.30, "scheme_type": 0.25, "planning_stage": 0.20, "recency": 0.15, "applicant_signal": 0.10}
 SCHEME_WEIGHTS = {"contract_urgency": 0.35, "csat_gap": 0.25, "occupancy_gap": 0.20, "financial_distress": 0.20}
+COMPANY_WEIGHTS = {"portfolio": 0.40, "growth": 0.35, "relationship": 0.25}
 
 
 def ladder(value: Column, steps: list[tuple[float, float]], last: float, at_least: bool) -> Column:
@@ -37,6 +40,7 @@ def looked_up(key: Column, scores: dict[str, float], default: float) -> Column:
     return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for p in scores.items() for x in p]), key), F.lit(default))
 
 
+# The steps and points of all parts below.
 def size_score(units: Column) -> Column:
     return F.when(units.isNull() | (units <= 0), 20.0).otherwise(ladder(units, [(500, 100.0), (300, 90.0), (200, 80.0), (100, 65.0), (50, 50.0)], 30.0, True))
 
@@ -73,9 +77,5 @@ def distress_score(arrears: Column, health: Column) -> Column:
 
 
 def composite(weights: dict[str, float], parts: dict[str, Column]) -> Column:
-    """Weighted sum, clamped to 0 to 100 and rounded to one place, ties of the tenfold value to even."""
-    total = None
-    for name, weight in weights.items():
-        term = F.lit(weight) * parts[name]
-        total = term if total is None else total + term
-    return F.rint(F.least(F.greatest(total, F.lit(0.0)), F.lit(100.0)) * 10) / 10
+    """Weighted sum in exact decimals, clamped to 0 to 100 and rounded to one place, ties to even."""
+    return half_even(F.least(F.greatest(weighted_sum(weights, parts), F.lit(0).cast("decimal(10,0)")), F.lit(100).cast("decimal(10,0)")))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from brickwork.functions import names
+from brickwork.functions.rounding import weighted_sql
 from brickwork.operators import scoring as s
 from brickwork.operators.graph import corporate_walk
 from brickwork.operators.joining import best_per_key
@@ -23,7 +24,7 @@ _STAGES = " ".join(f"WHEN '{k}' THEN {v}" for k, v in s.STAGE_SCORES.items())
         f"(CASE scheme_type {_TYPES} ELSE CASE WHEN scheme_type IS NULL THEN 30.0 ELSE 20.0 END END)::DOUBLE AS scheme_type, (CASE lower(trim(status)) {_STAGES} ELSE 30.0 END)::DOUBLE AS planning_stage, "
         f"CASE WHEN submission_date IS NULL THEN 30.0 WHEN {AS_OF} - submission_date <= 30 THEN 100.0 WHEN {AS_OF} - submission_date <= 90 THEN 80.0 WHEN {AS_OF} - submission_date <= 180 THEN 55.0 WHEN {AS_OF} - submission_date <= 365 THEN 30.0 ELSE 10.0 END::DOUBLE AS recency, "
         f"CASE WHEN applicant_name IS NULL OR applicant_name = '' THEN 20.0 WHEN regexp_matches(lower(trim(applicant_name)), '{'|'.join(DEVELOPERS)}') THEN 100.0 WHEN regexp_matches(lower(trim(applicant_name)), 'c/o |agent|mss |mr |mrs ') THEN 25.0 ELSE 50.0 END::DOUBLE AS applicant_signal FROM apps) "
-        "SELECT *, round_even(least(greatest(0.30::DOUBLE * size + 0.25::DOUBLE * scheme_type + 0.20::DOUBLE * planning_stage + 0.15::DOUBLE * recency + 0.10::DOUBLE * applicant_signal, 0), 100), 1) AS composite FROM parts"
+        f"SELECT *, {weighted_sql(s.APPLICATION_WEIGHTS, {k: k for k in s.APPLICATION_WEIGHTS})} AS composite FROM parts"
     ),
 )
 def score_application(spark, d):
@@ -46,7 +47,7 @@ def score_application(spark, d):
     "(CASE WHEN rating > 0 THEN CASE WHEN rating < 3.5 THEN 100.0 WHEN rating < 4.0 THEN 70.0 WHEN rating < 4.5 THEN 35.0 ELSE 10.0 END ELSE CASE WHEN legacy IS NOT NULL THEN greatest(0, 100 - legacy) ELSE 40.0 END END)::DOUBLE AS csat_gap, "
     "(CASE WHEN occ BETWEEN 0 AND 1 THEN CASE WHEN occ::DOUBLE * 100 < 80 THEN 100.0 WHEN occ::DOUBLE * 100 < 92 THEN 60.0 WHEN occ::DOUBLE * 100 < 98 THEN 25.0 ELSE 10.0 END ELSE CASE WHEN legacy IS NOT NULL THEN greatest(0, 100 - legacy) ELSE 45.0 END END)::DOUBLE AS occupancy_gap, "
     "(CASE WHEN arrears BETWEEN 0 AND 100 THEN arrears ELSE CASE WHEN legacy IS NOT NULL THEN greatest(0, 100 - legacy) ELSE 40.0 END END)::DOUBLE AS financial_distress FROM m) "
-    "SELECT *, round_even(least(greatest(0.35::DOUBLE * contract_urgency + 0.25::DOUBLE * csat_gap + 0.20::DOUBLE * occupancy_gap + 0.20::DOUBLE * financial_distress, 0), 100), 1) AS composite FROM p",
+    f"SELECT *, {weighted_sql(s.SCHEME_WEIGHTS, {k: k for k in s.SCHEME_WEIGHTS})} AS composite FROM p",
 )
 def score_scheme(spark, d):
     key = F.col("o_orderkey")
@@ -69,7 +70,7 @@ def score_scheme(spark, d):
     "WITH a AS (SELECT o_custkey AS k, count(*) AS schemes, count(*) FILTER (WHERE o_orderdate >= TIMESTAMP '1997-01-01' AND o_orderdate < TIMESTAMP '1998-01-01') AS recent, count(*) FILTER (WHERE o_orderdate >= TIMESTAMP '1996-01-01' AND o_orderdate < TIMESTAMP '1997-01-01') AS previous, count(*) FILTER (WHERE o_orderpriority = '1-URGENT') AS pipeline FROM orders GROUP BY 1), "
     "x AS (SELECT c_custkey, coalesce(schemes, 0) AS n, coalesce(recent, 0) AS r, coalesce(previous, 0) AS p, coalesce(pipeline, 0) AS q, c_acctbal > 5000 AS contact FROM customer LEFT JOIN a ON k = c_custkey), "
     "y AS (SELECT c_custkey, (CASE WHEN n >= 20 THEN 100.0 WHEN n >= 10 THEN 80.0 WHEN n >= 5 THEN 60.0 WHEN n >= 1 THEN 40.0 ELSE 10.0 END)::DOUBLE AS portfolio, round_even((CASE WHEN r > p AND p > 0 THEN least(100.0, 60.0 + r::DOUBLE / p * 20.0) WHEN r > 0 AND p = 0 THEN 80.0 WHEN r = p AND r > 0 THEN 50.0 ELSE 20.0 END)::DOUBLE, 1) AS growth, "
-    "(CASE WHEN contact AND q > 0 THEN 80.0 WHEN contact THEN 50.0 WHEN q > 0 THEN 40.0 ELSE 10.0 END)::DOUBLE AS relationship FROM x) SELECT *, round_even(0.40::DOUBLE * portfolio + 0.35::DOUBLE * growth + 0.25::DOUBLE * relationship, 1) AS overall FROM y",
+    f"(CASE WHEN contact AND q > 0 THEN 80.0 WHEN contact THEN 50.0 WHEN q > 0 THEN 40.0 ELSE 10.0 END)::DOUBLE AS relationship FROM x) SELECT *, {weighted_sql(s.COMPANY_WEIGHTS, {k: k for k in s.COMPANY_WEIGHTS})} AS overall FROM y",
 )
 def score_company(spark, d):
     day = F.col("o_orderdate")
@@ -82,7 +83,7 @@ def score_company(spark, d):
     growth = F.when((r > p) & (p > 0), F.least(F.lit(100.0), 60.0 + r / F.nullif(p, F.lit(0)) * 20.0)).when((r > 0) & (p == 0), 80.0).when((r == p) & (r > 0), 50.0).otherwise(20.0)
     relation = F.when(contact & (F.col("q") > 0), 80.0).when(contact, 50.0).when(F.col("q") > 0, 40.0).otherwise(10.0)
     scored = c.select("c_custkey", s.ladder(F.col("n"), [(20, 100.0), (10, 80.0), (5, 60.0), (1, 40.0)], 10.0, True).alias("portfolio"), F.bround(growth, 1).alias("growth"), relation.alias("relationship"))
-    return scored.withColumn("overall", F.bround(F.lit(0.40) * F.col("portfolio") + F.lit(0.35) * F.col("growth") + F.lit(0.25) * F.col("relationship"), 1))
+    return scored.withColumn("overall", s.composite(s.COMPANY_WEIGHTS, {k: F.col(k) for k in s.COMPANY_WEIGHTS}))
 
 
 @query("signal_label", "SELECT p_partkey, CASE WHEN p_size * 2 >= 90 THEN 'critical' WHEN p_size * 2 >= 70 THEN 'high' WHEN p_size * 2 >= 50 THEN 'medium' WHEN p_size * 2 >= 35 THEN 'low' ELSE 'none' END AS label FROM part")

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from brickwork.operators.joining import best_per_key, first_tier, repoint, semi_on_any, similar_names
+from brickwork.operators.joining import best_per_key, first_tier, repoint, semi_on_any
+from brickwork.operators.similar import best_similar, duplicate_names
 from brickwork.registry import query, table
 
 
@@ -158,22 +159,34 @@ def cascade_lookup(spark, d):
     return first_tier(tiers, "p_partkey", F.col("n_nationkey")).select("p_partkey", "n_nationkey", "tier")
 
 
-@query("fuzzy_match")
+#: Words of a name, lower-case and sorted; and the score of two such texts a and b by the longest common subsequence, a bit for each letter of a.
+_SORTED = "array_to_string(list_sort(string_split(lower(regexp_replace({0}, '[^A-Za-z0-9]+', ' ', 'g')), ' ')), ' ')"
+_MASKS = "list_transform(string_split({1}, ''), lambda y: list_sum(list_transform(range(len({0})), lambda i: CASE WHEN {0}[i + 1] = y THEN 1::BIGINT << i ELSE 0 END))::BIGINT)"
+_REST = "list_reduce({0}, lambda rest, p: ((rest + (rest & p)) | (rest - (rest & p))) & ((1::BIGINT << {1}) - 1), (1::BIGINT << {1}) - 1)"
+_SCORE = f"round_even(200.0 * (len(a) - bit_count({_REST.format(_MASKS.format('a', 'b'), 'len(a)')})) / (len(a) + len(b)), 0)::INTEGER"
+
+
+@query(
+    "fuzzy_match",
+    f"WITH s AS (SELECT s_suppkey, {_SORTED.format('name')} AS b FROM (SELECT s_suppkey, s_name AS name FROM supplier UNION ALL SELECT s_suppkey, concat('Customer ', s_suppkey + 1) FROM supplier) x), c AS (SELECT c_custkey, {_SORTED.format('c_name')} AS a FROM customer), "
+    f"m AS (SELECT c_custkey, s_suppkey, {_SCORE} AS score FROM c CROSS JOIN s) SELECT c_custkey, s_suppkey, score FROM (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY score DESC, s_suppkey) AS rn FROM m WHERE score >= 70) y WHERE rn = 1",
+)
 def fuzzy_match(spark, d):
     """The supplier of each customer whose name or alias ("Customer" and the next number) is most alike, at 70 or more of 100, in any nation."""
-    c = table(spark, d, "customer").select("c_custkey", F.col("c_name").alias("name"))
     s = table(spark, d, "supplier").select("s_suppkey", F.explode(F.array("s_name", F.concat(F.lit("Customer "), F.col("s_suppkey") + 1))).alias("name"))
-    pairs = similar_names(c, s, 70)
-    met = c.join(pairs, "name").drop("name").join(s.withColumnRenamed("name", "other_name"), "other_name")
-    return best_per_key(met, ["c_custkey"], F.desc("score"), F.col("s_suppkey")).select("c_custkey", "s_suppkey", "score")
+    return best_similar(table(spark, d, "customer"), "c_custkey", "c_name", s, "s_suppkey", "name", 70)
 
 
-@query("dedupe_pairs")
+@query(
+    "dedupe_pairs",
+    f"WITH c AS (SELECT c_custkey, {_SORTED.format('c_name')} AS a FROM customer), p AS (SELECT x.c_custkey, y.c_custkey AS other, x.a, y.a AS b FROM c x JOIN c y ON x.c_custkey < y.c_custkey AND abs(len(x.a) - len(y.a)) <= 0.065 * (len(x.a) + len(y.a))) "
+    f"SELECT * FROM (SELECT c_custkey, other, {_SCORE} AS score FROM p) z WHERE score >= 94",
+)
 def dedupe_pairs(spark, d):
-    """Pairs of customers, in any nation and segment, whose names are alike at 94 or more of 100."""
-    c = table(spark, d, "customer").select("c_custkey", F.col("c_name").alias("name"))
-    other = c.select(F.col("c_custkey").alias("other"), F.col("name").alias("other_name"))
-    return c.join(similar_names(c, c, 94), "name").join(other, "other_name").where("c_custkey < other").select("c_custkey", "other", "score")
+    """Pairs of customers, in any nation and segment, whose names are alike at 94 or more of 100; those of one name as members of the first."""
+    pairs, members = duplicate_names(table(spark, d, "customer"), "c_custkey", "c_name", 94)
+    same = members.where("id <> representative").select(F.col("representative").alias("id"), F.col("id").alias("other"), F.lit(100).alias("score"))
+    return pairs.unionByName(same).withColumnRenamed("id", "c_custkey")
 
 
 @query(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from brickwork.functions import schemes as s
+from brickwork.functions.rounding import weighted_sql
 from brickwork.registry import query, table
 
 
@@ -119,11 +120,18 @@ def perf_rating(spark, d):
     return table(spark, d, "part").select("p_partkey", rating.alias("rating"))
 
 
+_LEGACY_PARTS = {
+    "contract_proximity": "CASE WHEN p_partkey % 7 = 0 THEN 30 WHEN m <= 6 THEN 100 WHEN m <= 12 THEN 80 WHEN m <= 24 THEN 50 ELSE 20 END",
+    "performance_gap": "CASE WHEN p_partkey % 5 = 0 THEN 50 ELSE 100 - p_size END",
+    "market_opportunity": "CASE WHEN p_partkey % 4 = 0 THEN 50 ELSE 100 - p_size END",
+    "relationship_strength": "CASE WHEN p_partkey % 3 = 0 THEN 50 ELSE p_size * 2 END",
+    "scheme_size": "CASE WHEN p_size * 13 > 500 THEN 100 WHEN p_size * 13 > 200 THEN 70 WHEN p_size * 13 > 100 THEN 50 ELSE 30 END",
+}
+
+
 @query(
     "score_legacy",
-    "SELECT p_partkey, score, CASE WHEN score >= 70 THEN 'high' WHEN score >= 45 THEN 'medium' ELSE 'low' END AS priority FROM (SELECT p_partkey, round_even(CASE WHEN p_partkey % 7 = 0 THEN 30.0 WHEN m <= 6 THEN 100.0 WHEN m <= 12 THEN 80.0 WHEN m <= 24 THEN 50.0 ELSE 20.0 END::DOUBLE * 0.35::DOUBLE "
-    "+ CASE WHEN p_partkey % 5 = 0 THEN 50 ELSE 100 - p_size END::DOUBLE * 0.25::DOUBLE + CASE WHEN p_partkey % 4 = 0 THEN 50 ELSE 100 - p_size END::DOUBLE * 0.15::DOUBLE + CASE WHEN p_partkey % 3 = 0 THEN 50 ELSE p_size * 2 END::DOUBLE * 0.15::DOUBLE "
-    "+ CASE WHEN p_size * 13 > 500 THEN 100.0 WHEN p_size * 13 > 200 THEN 70.0 WHEN p_size * 13 > 100 THEN 50.0 ELSE 30.0 END::DOUBLE * 0.1::DOUBLE, 1) AS score FROM (SELECT *, (p_partkey % 800) / 30.0 AS m FROM part) y) x",
+    f"SELECT p_partkey, score, CASE WHEN score >= 70 THEN 'high' WHEN score >= 45 THEN 'medium' ELSE 'low' END AS priority FROM (SELECT p_partkey, {weighted_sql(s.LEGACY_WEIGHTS, _LEGACY_PARTS)} AS score FROM (SELECT *, (p_partkey % 800) / 30.0 AS m FROM part) y) x",
 )
 def score_legacy(spark, d):
     size, as_of = F.col("p_size"), F.lit("2026-01-01").cast("date")

@@ -6,8 +6,9 @@ import difflib
 import pytest
 from pyspark.sql import functions as F
 
+from brickwork import registry  # noqa: F401  first, as plans import each other through it
 from brickwork.functions import names, similarity
-from brickwork.operators import changes, graph, joining, ranking, scoring
+from brickwork.operators import changes, filling, graph, joining, ranking, scoring, similar
 from brickwork.sources import files
 from brickwork.sources.workspace import new_path
 from brickwork.streaming import metrics
@@ -114,28 +115,36 @@ def test_similarity(spark):
     assert df.select(similarity.sequence_ratio("a", "b").alias("s")).collect()[1].s == difflib.SequenceMatcher(None, "abc", "abd").ratio()
 
 
-@pytest.mark.parametrize("least", [70, 80, 94])
-def test_similar_names_are_all_pairs(spark, least):
+@pytest.mark.parametrize("least, most_keys", [(70, 2000), (80, 300), (80, 1), (94, 2000), (94, 40)])
+def test_similar_names_are_all_pairs(spark, least, most_keys):
     words = "unite students group homes limited greystar living property north star housing trust ab a".split()
     names = [" ".join(words[(i * k + k) % len(words)] for k in range(1, 2 + i % 4)) for i in range(60)] + ["Unite Studnets", "students, UNITE", "a", "b", "ab", "ba", "", "Greystarr Living", "greystar livin"]
     names = sorted(set(names))
     df = spark.createDataFrame([(n,) for n in [*names, names[3], None]], "name string")
-    got = {(r.name, r.other_name): r.score for r in joining.similar_names(df, df, least).collect()}
+    got = {(r.name, r.other_name): r.score for r in similar.similar_names(df, df, least, most_keys=most_keys).collect()}
     scores = {(a, b): similarity.indel_ratio(similarity.sorted_tokens(a), similarity.sorted_tokens(b)) for a in names for b in names}
     assert got == {p: s for p, s in scores.items() if s >= least}
 
 
-def test_fuzzy_queries_cross_blocks(spark):
-    from brickwork.plans import joins
-
-    sf = "/root/testdata/sf0.001"
-    names = {r.c_custkey: r.c_name for r in spark.read.parquet(f"{sf}/customer.parquet").collect()}
+def test_best_similar_is_the_best_of_all_pairs(spark):
+    left = [(1, "Unite Students"), (2, "Students Unite Ltd"), (3, "Greystar Living"), (4, "zzz"), (5, None), (6, ""), (7, "Moda Living Group of Northern Homes Limited"), (8, "unite students"), (9, "North Star")]
+    right = [(30, "unite student"), (20, "UNITE STUDENTS"), (25, "Students, Unite"), (40, "Greystarr Livng"), (41, "greystar livinn"), (50, "Moda Living Group of Northern Home Limited"), (60, None), (61, ""), (70, "Star Northern"), (20, "North Stars")]
     ratio = lambda a, b: similarity.indel_ratio(similarity.sorted_tokens(a), similarity.sorted_tokens(b))
-    expected = {(a, b, s) for a in names for b in names if a < b and (s := ratio(names[a], names[b])) >= 94}
-    assert {tuple(r) for r in joins.dedupe_pairs(spark, sf).collect()} == expected
-    others = [(r.s_suppkey, n) for r in spark.read.parquet(f"{sf}/supplier.parquet").collect() for n in (r.s_name, f"Customer {r.s_suppkey + 1}")]
-    best = {a: min((-ratio(n, m), b) for b, m in others) for a, n in names.items()}
-    assert {tuple(r) for r in joins.fuzzy_match(spark, sf).collect()} == {(a, b, -s) for a, (s, b) in best.items() if -s >= 70}
+    expected = set()
+    for i, a in left:
+        best = min(((-ratio(a, b), j) for j, b in right if a and b), default=(0, 0))
+        if -best[0] >= 70:
+            expected.add((i, best[1], -best[0]))
+    l, r = spark.createDataFrame(left, "a long, name string"), spark.createDataFrame(right, "b long, other string")
+    for options in ({}, {"step": 30}, {"most_keys": 1}):
+        assert {tuple(x) for x in similar.best_similar(l, "a", "name", r, "b", "other", 70, **options).collect()} == expected
+
+
+def test_equal_names_are_members_not_pairs(spark):
+    rows = [(i, "Unite Students" if i % 2 else "students UNITE") for i in range(5, 45)] + [(1, "unite studentz"), (2, "other"), (3, None)]
+    pairs, members = similar.duplicate_names(spark.createDataFrame(rows, "id long, name string"), "id", "name", 90)
+    assert [tuple(p) for p in pairs.collect()] == [(1, 5, 93)]
+    assert {r.id: r.representative for r in members.collect()} == {i: 5 for i in range(5, 45)} | {1: 1, 2: 2}
 
 
 def test_append_new_is_idempotent(spark):
@@ -232,3 +241,59 @@ def test_positions_over_many_partitions(spark):
     ordered = sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[0]))
     assert got == {i: k for k, (i, _) in enumerate(ordered, 1)}
     assert ranking.positions(df.limit(0), [F.col("id")]).count() == 0
+
+
+def test_containing_lists_all_texts_within(spark):
+    longer, shorter = ["unite students", "greystar", "", None, "star", "aaa"], ["star", "student", "unite students", "", None, "aa", "ystart"]
+    frame = lambda rows, name: spark.createDataFrame([(x,) for x in rows], f"{name} string")
+    for least in (1, 3):
+        got = {tuple(r) for r in joining.containing(frame(longer, "t"), "t", frame(shorter, "p"), "p", least).collect()}
+        assert got == {(a, b) for a in longer for b in shorter if a and b and b in a and len(b) >= least}
+
+
+def test_steps_go_by_what_they_read_and_fill_gaps_only(spark):
+    rows = spark.createDataFrame([(1, None, None, None), (2, "A1", None, 5.0), (3, "", 7, None), (4, None, None, None)], "id int, code string, units int, rating double")
+    told = spark.createDataFrame([(1, "B2", 4), (3, "C3", 9), (4, "", None)], "key int, told string, n int")
+    places = spark.createDataFrame([("B2", 10), ("C3", 20), ("A1", 30)], "place string, north int")
+    sides = {"told": filling.Side(told, "key", "id"), "places": filling.Side(places, "place", "code", ("code",))}
+    steps = [
+        filling.Step("rate", {"rating": F.col("units") * 1.5 + F.col("north")}, reads=("units",), uses=("places",)),
+        filling.Step("text", {"code": F.col("told"), "units": F.col("n")}, uses=("told",)),
+        filling.Step("count", {"units": F.col("n")}, uses=("told",), where=F.col("id") != 4),
+        filling.Step("default", {"units": F.lit(1)}),
+    ]
+    out = filling.fill_gaps(rows, steps, sides)
+    got = {r.id: (r.code, r.units, r.rating, r.filled_by) for r in out.collect()}
+    assert got == {
+        1: ("B2", 4, 16.0, {"code": "text", "units": "text", "rating": "rate"}),
+        2: ("A1", 1, 5.0, {"units": "default"}),
+        3: ("C3", 7, 30.5, {"code": "text", "rating": "rate"}),
+        4: (None, 1, None, {"units": "default"}),
+    }
+    assert [s.name for s in filling.ordered(steps, sides)][-1] == "rate" and out.columns == [*rows.columns, "filled_by"]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Join LeftOuter") == 2  # each side once
+    with pytest.raises(ValueError, match="cycle"):
+        filling.ordered([filling.Step("a", {"x": F.lit(1)}, reads=("y",)), filling.Step("b", {"y": F.lit(1)}, reads=("x",))], {})
+
+
+def test_gaps_only_decrease(spark):
+    from brickwork.plans import gaps
+
+    made = lambda sql, name: gaps._made(spark, "/root/testdata/sf0.001", sql, name)
+    before = made(gaps.SCHEMES, "part").cache()
+    after = gaps.filled_schemes(before, made(gaps.CONTRACTS, "lineitem"), made(gaps.COUNCILS, "nation"), made(gaps.PLACES, "customer"))
+    fields = ["postcode", "address", "council", "contract_type", "units", "revenue", "rating", "latitude", "longitude"]
+    old, new = ({r.id: r for r in df.collect()} for df in (before, after))
+    for i, r in old.items():
+        for f in fields:
+            had = r[f] not in (None, "")
+            assert new[i][f] == r[f] if had or f not in new[i].filled_by else new[i][f] not in (None, "")
+    assert all(sum(f in r.filled_by for r in new.values()) > 0 for f in fields)
+    before.unpersist()
+
+
+def test_weighted_sums_are_exact(spark):
+    weights = {"a": 0.35, "b": 0.15, "c": 0.1}
+    df = spark.createDataFrame([(69.0, 30.0, 14.0), (50.3, 1.1, 0.0), (0.1, 0.1, 0.1), (None, 1.0, 1.0)], "a double, b double, c double")
+    got = [r.s for r in df.select(scoring.composite(weights, {k: F.col(k) for k in weights}).alias("s")).collect()]
+    assert got == [30.0, 17.8, 0.1, None]  # the first is 30.05 exactly: to the even digit
