@@ -77,5 +77,5 @@ def distress_score(arrears: Column, health: Column) -> Column:
 
 
 def composite(weights: dict[str, float], parts: dict[str, Column]) -> Column:
-    """Weighted sum in exact decimals, clamped to 0 to 100 and rounded to one place, ties to even."""
+    """Weighted sum in exact decimals, clamped to 0 to 100 and rounded to one place, ties to even; 0 if a part is null."""
     return half_even(F.least(F.greatest(weighted_sum(weights, parts), F.lit(0).cast("decimal(10,0)")), F.lit(100).cast("decimal(10,0)")))

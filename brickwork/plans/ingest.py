@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from brickwork.operators import alerts
 from brickwork.registry import query, table
 from brickwork.sources import files
 from brickwork.sources.workspace import new_path, written
@@ -93,3 +94,41 @@ def stream_alerts(spark, d):
 @query("stream_streaks", "SELECT user_id, count(*) FILTER (WHERE good = 0) AS streak FROM (SELECT user_id, sum(CASE WHEN event_type <> 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC ROWS UNBOUNDED PRECEDING) AS good FROM events) x GROUP BY 1")
 def stream_streaks(spark, d):
     return written(metrics.latest_streaks(spark, metrics.event_stream(spark, d), new_path(spark, "streaks"), new_path(spark, "streaks-checkpoint")), "streaks-latest")
+
+
+@query("stream_daily_once", "SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def stream_daily_once(spark, d):
+    """All events read twice, in two streams' worth of files: each counts once."""
+    folder = new_path(spark, "read-again")
+    for _ in range(2):  # the second reading covers the first one's window again
+        table(spark, d, "events").select(*[c.split(" ")[0] for c in metrics.EVENTS.split(", ")]).write.mode("append").parquet(folder)
+    return metrics.daily_once(spark, metrics.event_stream(spark, folder, "*.parquet", files_a_batch=1000), new_path(spark, "daily-once"), new_path(spark, "daily-once-checkpoint"))[0]
+
+
+@query("lookback_window", "SELECT user_id, least(DATE '2024-02-01' - 180, CAST(max(CASE WHEN event_type <> 'error' THEN ts END) AS DATE) - CAST(user_id % 200 AS INTEGER) - 7) AS reads_from FROM events GROUP BY 1")
+def lookback_window(spark, d):
+    """The day from which each user is read again: half a year back, or a week before the last good run if that is earlier."""
+    last = F.date_sub(F.to_date(F.max(F.when(F.col("event_type") != "error", F.col("ts")))), (F.col("user_id") % 200).cast("int"))
+    return table(spark, d, "events").groupBy("user_id").agg(metrics.lookback_from(last, F.lit("2024-02-01").cast("date")).alias("reads_from"))
+
+
+_SEEN = "SELECT CASE o_orderkey % 3 WHEN 0 THEN 'contract_expiring' ELSE 'new_application' END AS kind, CASE o_orderkey % 3 WHEN 0 THEN 'existing_scheme' ELSE 'planning_application' END AS entity, o_orderkey AS id, o_orderkey % 2 = 0 AS is_read FROM orders WHERE o_orderkey % 5 = 0 UNION ALL SELECT 'scraper_failure', 'scraper_run', event_id, true FROM events WHERE event_id % 4 = 0"
+
+
+@query(
+    "alert_kinds",
+    f"WITH known AS ({_SEEN}), a AS (SELECT 'contract_expiring' AS kind, 'existing_scheme' AS entity, o_orderkey AS id, concat('Contract expiring: ', c_name, ' (', date_diff('day', DATE '1998-01-01', CAST(o_orderdate AS DATE)), ' days remaining)') AS title FROM orders LEFT JOIN customer ON c_custkey = o_custkey WHERE CAST(o_orderdate AS DATE) BETWEEN DATE '1998-01-01' AND DATE '1998-04-01' "
+    "UNION ALL SELECT 'new_application', 'planning_application', o_orderkey, concat('High-value application: ', o_orderpriority, ' (score: ', o_orderkey % 101, ')') FROM orders WHERE o_orderdate >= TIMESTAMP '1998-01-01 00:30:00' - INTERVAL 1 HOUR AND o_orderkey % 101 >= 70 "
+    "UNION ALL SELECT 'scraper_failure', 'scraper_run', event_id, concat('Scraper failed: ', coalesce(CASE WHEN event_id % 7 <> 0 THEN concat('u', user_id) END, 'Unknown')) FROM events WHERE event_type = 'error' AND ts >= (SELECT max(ts) FROM events) - INTERVAL 2 HOUR) "
+    "SELECT * FROM a WHERE NOT EXISTS (SELECT 1 FROM known k WHERE k.kind = a.kind AND k.entity = a.entity AND k.id = a.id AND (k.kind <> 'contract_expiring' OR NOT k.is_read))",
+)
+def alert_kinds(spark, d):
+    o, e = table(spark, d, "orders"), table(spark, d, "events")
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_name")
+    schemes = o.join(c, "o_custkey", "left").select(F.col("o_orderkey").alias("id"), F.col("c_name").alias("name"), F.to_date("o_orderdate").alias("ends"))
+    applications = o.select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("reference"), (F.col("o_orderkey") % 101).alias("score"), F.col("o_orderdate").alias("created"))
+    newest = e.agg(F.max("ts").alias("newest"))
+    runs = e.crossJoin(F.broadcast(newest)).select(F.col("event_id").alias("id"), F.when(F.col("event_id") % 7 != 0, F.concat(F.lit("u"), "user_id")).alias("source"), F.when(F.col("event_type") == "error", "failed").alias("status"), F.col("ts").alias("started"), "newest")  # one row
+    known = spark.sql(_SEEN.replace("FROM orders", "FROM {orders}").replace("FROM events", "FROM {events}"), orders=o, events=e)
+    found = [alerts.expiring(schemes, F.lit("1998-01-01").cast("date")), alerts.high_scores(applications, F.lit("1998-01-01 00:30:00").cast("timestamp")), alerts.failures(runs, F.col("newest"))]
+    return alerts.not_yet_raised(found, known)

@@ -64,18 +64,6 @@ def replace_partitions(df: DataFrame, path: str, column: str) -> None:
     df.write.partitionBy(column).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
 
 
-def append_new(df: DataFrame, path: str, keys: list[str]) -> None:
-    """Append rows whose key the table does not hold yet; the first call makes it."""
-    spark = df.sparkSession
-    try:
-        known = spark.read.parquet(path).select(*keys)
-    except Exception as error:  # no table yet
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-        known = spark.createDataFrame([], df.select(*keys).schema)
-    df.dropDuplicates(keys).join(known, keys, "left_anti").write.mode("append").parquet(path)
-
-
 def owner_chains(spark: SparkSession, path: str) -> DataFrame:
     """Documents with a company and its chain of owners: one row an owner, with its place in the chain."""
     docs = spark.read.schema("result struct<company:string,chain:array<struct<name:string>>>").json(path, multiLine=True)
