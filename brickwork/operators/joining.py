@@ -37,6 +37,16 @@ def repoint(df: DataFrame, column: str, merges: DataFrame) -> DataFrame:
     return df.join(m, df[column] == F.col("__old"), "left").withColumn(column, F.coalesce("__new", column)).drop("__old", "__new")
 
 
+def repoint_all(tables: dict[str, tuple[DataFrame, list[str]]], merges: DataFrame) -> dict[str, DataFrame]:
+    """Several tables, each with the reference columns in which merged ids are to be replaced."""
+    out = {}
+    for name, (df, columns) in tables.items():
+        for column in columns:
+            df = repoint(df, column, merges)
+        out[name] = df
+    return out
+
+
 def containing(longer: DataFrame, text: str, shorter: DataFrame, part: str, least: int = 1) -> DataFrame:
     """(text, part): the distinct texts of one table with those of the other, of ``least`` letters or more, that are in them.
 

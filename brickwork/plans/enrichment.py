@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import functions as F
 
 from brickwork.functions import names as n
 from brickwork.operators import scoring as s
-from brickwork.operators.graph import corporate_walk
+from brickwork.operators.graph import depth_first_walk
 from brickwork.plans.domain import EDGES, edges
 from brickwork.plans.text import lines, sql
 from brickwork.registry import query, table
@@ -171,37 +170,7 @@ def rent_load(spark, d):
     return nation.join(area, "n_regionkey").join(size, "n_regionkey").select("n_name", F.round("rent", 2).alias("rent"), "councils")
 
 
-def _depth_first(depth: int):
-    """The walk of one root over the edges within its reach: a company is expanded once, wherever it is met first."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        root, up = pdf["root"].iloc[0], {}
-        for child, parent in sorted(set(zip(pdf["child"], pdf["parent"]))):
-            up.setdefault(child, []).append(parent)
-        seen, out, stack = {root}, [], [(root, 0, iter(up.get(root, ())))]
-        while stack:
-            _, level, rest = stack[-1]
-            parent = next(rest, None)
-            if parent is None:
-                stack.pop()
-                continue
-            out.append((root, parent, level + 1))
-            if level + 1 < depth and parent not in seen:
-                seen.add(parent)
-                stack.append((parent, level + 1, iter(up.get(parent, ()))))
-        return pd.DataFrame(out, columns=["root", "node", "level"])
-
-    return run
-
-
 @query("owner_walk", f"WITH RECURSIVE e AS ({EDGES}), walk AS (SELECT child AS root, parent AS node, 1 AS level, [child] AS seen FROM e WHERE NOT ceased UNION ALL SELECT root, parent, level + 1, list_append(seen, node) FROM walk JOIN e ON child = node WHERE level < 4 AND NOT ceased AND NOT list_contains(seen, node)) SELECT root, node, level FROM walk")
 def owner_walk(spark, d):
-    """Depth-first walk with one visited set per root; a root's edges within four steps are few.
-
-    Here each company has one parent, so a recursive query gives the same rows.
-    """
-    e = edges(spark, d).where("NOT ceased").select("child", "parent")
-    reach = e.select(F.col("child").alias("root"), F.col("child").alias("node")).distinct()
-    near = reach.unionAll(corporate_walk(e, 3).select("root", "node")).distinct()
-    own = near.join(e, F.col("node") == F.col("child")).select("root", "child", "parent")
-    return own.groupBy("root").applyInPandas(_depth_first(4), "root long, node long, level int")
+    """Depth-first walk with one visited set per root. Here each company has one parent, so a recursive query gives the same rows."""
+    return depth_first_walk(edges(spark, d).where("NOT ceased"), 4).select("root", "node", "level")

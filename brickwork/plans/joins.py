@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brickwork.operators.joining import best_per_key, first_tier, repoint, semi_on_any
+from brickwork.operators.components import primaries
+from brickwork.operators.joining import best_per_key, first_tier, repoint, repoint_all, semi_on_any
 from brickwork.operators.similar import best_similar, duplicate_names
 from brickwork.registry import query, table
 
@@ -263,6 +267,31 @@ def merge_repoint(spark, d):
     return repoint(table(spark, d, "orders").select("o_orderkey", "o_custkey"), "o_custkey", merges)
 
 
+_MERGES = "SELECT c_custkey AS old, CASE WHEN c_custkey % 10 = 7 THEN c_custkey - 4 ELSE c_custkey - 1 END AS new FROM customer WHERE c_custkey % 10 IN (1, 2, 3, 7)"
+
+
+@query(
+    "merge_transitive",
+    f"WITH RECURSIVE m AS ({_MERGES}), w AS (SELECT old, new FROM m UNION ALL SELECT w.old, m.new FROM w JOIN m ON m.old = w.new), f AS (SELECT old, new FROM w WHERE new NOT IN (SELECT old FROM m)), "
+    "refs AS (SELECT 'operator' AS ref, o_orderkey AS id, o_custkey AS company FROM orders UNION ALL SELECT 'owner', o_orderkey, o_orderkey % 1500 FROM orders UNION ALL SELECT 'manager', o_orderkey, (o_orderkey * 7) % 1500 FROM orders "
+    "UNION ALL SELECT 'applicant', p_partkey, p_partkey % 1500 FROM part UNION ALL SELECT 'contact', s_suppkey, s_suppkey FROM supplier UNION ALL SELECT 'alias', c_custkey, c_custkey FROM customer) SELECT ref, id, coalesce(new, company) AS company FROM refs LEFT JOIN f ON old = company",
+)
+def merge_transitive(spark, d):
+    """Merges of merges: every reference goes to the company at the end of the chain, in all six places."""
+    merges = primaries(spark.sql(_MERGES.replace("FROM customer", "FROM {customer}"), customer=table(spark, d, "customer")))
+    key = F.col("o_orderkey")
+    schemes = table(spark, d, "orders").select(key.alias("id"), F.col("o_custkey").alias("operator"), (key % 1500).alias("owner"), (key * 7 % 1500).alias("manager"))
+    tables = {
+        "schemes": (schemes, ["operator", "owner", "manager"]),
+        "applications": (table(spark, d, "part").select(F.col("p_partkey").alias("id"), (F.col("p_partkey") % 1500).alias("applicant")), ["applicant"]),
+        "contacts": (table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_suppkey").alias("contact")), ["contact"]),
+        "aliases": (table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_custkey").alias("alias")), ["alias"]),
+    }
+    merged = repoint_all(tables, merges)
+    rows = [merged[name].select(F.lit(column).alias("ref"), "id", F.col(column).alias("company")) for name, (_, columns) in tables.items() for column in columns]
+    return reduce(DataFrame.unionByName, rows)
+
+
 @query("lookup_join", "SELECT o_orderkey, n_name FROM orders JOIN nation ON n_nationkey = o_custkey % 30")
 def lookup_join(spark, d):
     n = table(spark, d, "nation").select("n_nationkey", "n_name")

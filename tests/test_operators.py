@@ -2,13 +2,14 @@
 
 import datetime as dt
 import difflib
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from brickwork import registry  # noqa: F401  first, as plans import each other through it
 from brickwork.functions import names, similarity
-from brickwork.operators import changes, filling, graph, joining, ranking, scoring, similar
+from brickwork.operators import changes, components, filling, graph, joining, ranking, scoring, similar
 from brickwork.sources import files
 
 
@@ -254,3 +255,41 @@ def test_weighted_sums_are_exact(spark):
     df = spark.createDataFrame([(69.0, 30.0, 14.0), (50.3, 1.1, 0.0), (0.1, 0.1, 0.1), (None, 1.0, 1.0)], "a double, b double, c double")
     got = [r.s for r in df.select(scoring.composite(weights, {k: F.col(k) for k in weights}).alias("s")).collect()]
     assert got == [30.0, 17.8, 0.1, 0.0]  # the first is 30.05 exactly: to the even digit; without a part the sum counts as 0
+
+
+def walked(up, root, depth):
+    """What a depth-first walk lists, by recursion with one set of companies seen."""
+    seen, out = set(), []
+
+    def go(number, level):
+        if level >= depth or number in seen:
+            return
+        seen.add(number)
+        for parent in sorted(up.get(number, ())):
+            out.append((root, parent, level + 1))
+            go(parent, level + 1)
+
+    go(root, 0)
+    return out
+
+
+@pytest.mark.parametrize("depth", [1, 2, 4, 6])
+def test_walks_through_diamonds_and_cycles(spark, depth):
+    rng = random.Random(depth)
+    up = {}
+    for _ in range(150):
+        a, b = rng.randrange(45), rng.randrange(45)
+        up.setdefault(a, set()).add(b)  # cycles and self loops among them
+    up |= {100: {101, 102}, 101: {103}, 102: {105}, 103: {104}, 104: {105}, 105: {106}, 106: {107}}  # 105 is met first at the end of the long way
+    edges = spark.createDataFrame([(a, b) for a, parents in up.items() for b in parents], "child long, parent long")
+    got = {}
+    for r in graph.depth_first_walk(edges, depth).collect():
+        got.setdefault(r.root, []).append((list(r.path), (r.root, r.node, r.level)))
+    assert {root: [x for _, x in sorted(found)] for root, found in got.items()} == {root: walked(up, root, depth) for root in up}
+
+
+def test_merges_of_merges_end_at_one_primary(spark):
+    pairs = [(3, 2), (2, 1), (9, 3), (20, 30), (30, 20), (31, 30), (5, 7), (5, 8), (6, 6), (None, 4), (40, 41), (40, 41)]
+    got = {r.old: r.new for r in components.primaries(spark.createDataFrame(pairs, "old long, new long")).collect()}
+    assert got == {2: 1, 3: 1, 9: 1, 30: 20, 31: 20, 5: 7, 8: 7, 40: 41}
+    assert components.primaries(spark.createDataFrame([], "old long, new long")).count() == 0
