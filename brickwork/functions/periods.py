@@ -121,3 +121,21 @@ def contract_period(text: Column) -> Column:
         return F.when(known.isNotNull() & ended.isNotNull(), F.struct(known.alias("starts"), ended.alias("ends"))).otherwise(_bound(rest, with_rest))
 
     return _bound(parts, decided)
+
+
+def backfilled(starts: Column, ends: Column, text: Column, proxies: dict[str, Column]) -> Column:
+    """starts, ends and the source of what was filled, as a struct, by the term that a text tells.
+
+    A known start gives the end ("duration"); without both dates the first of the
+    ``proxies`` that is there stands for the start. A known end, or a text without
+    a term, leaves both as they are.
+    """
+    months = contract_months(text)
+    proxy = F.coalesce(*proxies.values())
+    told = ends.isNull() & (months > 0)
+    no_start = told & starts.isNull()
+    begins = F.when(no_start, proxy).otherwise(starts)
+    source = F.when(told & starts.isNotNull(), "duration")
+    for name, day in proxies.items():
+        source = source.when(no_start & day.isNotNull(), name)
+    return F.struct(begins.alias("starts"), F.when(told, F.add_months(begins, months)).otherwise(ends).alias("ends"), source.alias("source"))

@@ -92,18 +92,6 @@ def signal_label(spark, d):
     return table(spark, d, "part").select("p_partkey", F.when(v >= 90, "critical").when(v >= 70, "high").when(v >= 50, "medium").when(v >= 35, "low").otherwise("none").alias("label"))
 
 
-@query(
-    "contract_risk",
-    "SELECT o_orderkey, CASE WHEN days IS NULL THEN 'unknown' WHEN days <= 0 THEN 'expired' WHEN days <= 90 THEN 'critical' WHEN days <= 180 THEN 'high' WHEN days <= 365 THEN 'medium' ELSE 'low' END AS level, greatest(CAST(o_orderdate AS DATE) - 180, DATE '1998-01-01') AS renewal, array_to_string(list_filter([CASE WHEN days <= 180 THEN 'ending' END, CASE WHEN o_totalprice > 300000 THEN 'large' END, CASE WHEN o_orderpriority = '5-LOW' THEN 'weak' END], lambda x: x IS NOT NULL), ',') AS factors FROM (SELECT *, date_diff('day', DATE '1998-01-01', CAST(o_orderdate AS DATE)) AS days FROM orders) x",
-)
-def contract_risk(spark, d):
-    end, now = F.to_date("o_orderdate"), F.expr(AS_OF)
-    days = F.datediff(end, now)
-    level = F.when(days.isNull(), "unknown").when(days <= 0, "expired").when(days <= 90, "critical").when(days <= 180, "high").when(days <= 365, "medium").otherwise("low")
-    factors = F.array_compact(F.array(F.when(days <= 180, "ending"), F.when(F.col("o_totalprice") > 300000, "large"), F.when(F.col("o_orderpriority") == "5-LOW", "weak")))
-    return table(spark, d, "orders").select("o_orderkey", level.alias("level"), F.greatest(F.date_sub(end, 180), now).alias("renewal"), F.array_join(factors, ",").alias("factors"))
-
-
 @query("arrears_risk", "SELECT s_suppkey, least(greatest(30 + CASE s_suppkey % 4 WHEN 0 THEN 40 WHEN 1 THEN 10 ELSE 0 END + CASE WHEN s_acctbal < 0 THEN 25 ELSE 0 END + CASE WHEN n > 600 THEN 15 ELSE 0 END + CASE WHEN r > 200 THEN 15 ELSE 0 END, 0), 100)::INTEGER AS score FROM supplier LEFT JOIN (SELECT l_suppkey, count(*) AS n, count(*) FILTER (WHERE l_returnflag = 'R') AS r FROM lineitem GROUP BY 1) x ON l_suppkey = s_suppkey")
 def arrears_risk(spark, d):
     charges = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(F.count("*").alias("n"), F.count_if(F.col("l_returnflag") == "R").alias("r"))
@@ -113,12 +101,6 @@ def arrears_risk(spark, d):
     return table(spark, d, "supplier").join(charges, "s_suppkey", "left").select("s_suppkey", F.least(F.greatest(total, F.lit(0)), F.lit(100)).cast("int").alias("score"))
 
 
-@query("rsh_health", "SELECT p_partkey, greatest(g, v)::INTEGER AS worst, CASE greatest(g, v) WHEN 1 THEN 90.0 WHEN 2 THEN 65.0 WHEN 3 THEN 35.0 ELSE 15.0 END::DOUBLE AS health FROM (SELECT p_partkey, p_partkey % 4 + 1 AS g, p_size % 3 + 1 AS v FROM part) x")
-def rsh_health(spark, d):
-    worst = F.greatest(F.col("p_partkey") % 4 + 1, F.col("p_size") % 3 + 1).cast("int")
-    return table(spark, d, "part").select("p_partkey", worst.alias("worst"), F.when(worst == 1, 90.0).when(worst == 2, 65.0).when(worst == 3, 35.0).otherwise(15.0).alias("health"))
-
-
 @query("confidence_fields", with_applications("SELECT id, round(((scheme_type IS NOT NULL)::INTEGER + (status IS NOT NULL)::INTEGER + (description IS NOT NULL)::INTEGER + (nullif(applicant_name, '') IS NOT NULL)::INTEGER + (submission_date IS NOT NULL)::INTEGER + (num_units IS NOT NULL)::INTEGER) / 6.0, 4)::DOUBLE AS confidence FROM apps"))
 def confidence_fields(spark, d):
     columns = [F.col(c) for c in ("scheme_type", "status", "description", "submission_date", "num_units")] + [F.nullif(F.col("applicant_name"), F.lit(""))]
@@ -134,13 +116,6 @@ def reclassify(spark, d):
     return applications(spark, d).select("id", F.col("scheme_type").alias("old"), F.when(found.isNotNull() & (rank < 3), found).otherwise(F.col("scheme_type")).alias("new"))
 
 
-@query("owner_label", "SELECT s_suppkey, CASE WHEN s_nationkey IN (3, 7) THEN 'offshore' WHEN s_suppkey % 6 = 0 THEN 'no data' WHEN regexp_matches(s_name, '(?i)capital|#0+[1-4]') THEN 'private equity' WHEN s_suppkey % 5 = 0 THEN 'individual' ELSE 'group' END AS label FROM supplier")
-def owner_label(spark, d):
-    key = F.col("s_suppkey")
-    label = F.when(F.col("s_nationkey").isin(3, 7), "offshore").when(key % 6 == 0, "no data").when(F.col("s_name").rlike("(?i)capital|#0+[1-4]"), "private equity").when(key % 5 == 0, "individual").otherwise("group")
-    return table(spark, d, "supplier").select("s_suppkey", label.alias("label"))
-
-
 @query("spv_flag", "SELECT c_custkey, list_has_any([c_nationkey, c_nationkey + 1], [4, 9, 12]) AND coalesce(n, 0) <= 10 AS spv FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) x ON o_custkey = c_custkey")
 def spv_flag(spark, d):
     counts = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n"))

@@ -27,16 +27,6 @@ def norm_authority(spark, d):
     return lines(spark, d).select("id", F.trim(F.regexp_replace(text, " (metropolitan borough council|borough council|city council|county council|council)$", "")).alias("name"))
 
 
-@query("page_rents", sql("SELECT id, CASE WHEN w BETWEEN 60 AND 550 THEN w END AS weekly_from, CASE WHEN w + 25 BETWEEN 60 AND 550 THEN w + 25 WHEN w BETWEEN 60 AND 550 THEN w END AS weekly_to FROM (SELECT id, (p_size * 13)::INTEGER AS w FROM lines) x WHERE w BETWEEN 60 AND 550 OR w + 25 BETWEEN 60 AND 550") .replace("CASE WHEN w BETWEEN 60 AND 550 THEN w END AS weekly_from", "CASE WHEN w BETWEEN 60 AND 550 THEN w ELSE w + 25 END AS weekly_from"))
-def page_rents(spark, d):
-    """Lowest and highest plausible weekly rent named in a text; others are left out."""
-    week = F.col("p_size") * 13
-    text = F.concat(F.lit("Rooms from £"), week, F.lit(" per week, studios £"), week + 25, F.lit(" pw, deposit £99999"))
-    found = F.transform(F.regexp_extract_all(text, F.lit(r"£([0-9]+)\s*(?:per week|pw|p/w)"), 1), lambda x: x.cast("int"))
-    x = lines(spark, d).select("id", F.array_sort(F.filter(found, lambda v: v.between(60, 550))).alias("r")).where(F.size("r") > 0)
-    return x.select("id", F.array_min("r").alias("weekly_from"), F.array_max("r").alias("weekly_to"))
-
-
 @query("date_multi", "SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day FROM orders WHERE o_orderkey % 5 <> 4 UNION ALL SELECT o_orderkey, NULL FROM orders WHERE o_orderkey % 5 = 4")
 def date_multi(spark, d):
     key, day = F.col("o_orderkey") % 5, F.col("o_orderdate")
@@ -47,20 +37,6 @@ def date_multi(spark, d):
     return table(spark, d, "orders").select("o_orderkey", F.coalesce(*[F.try_to_date(raw, f) for f in forms]).alias("day"))
 
 
-@query("jsonld", "SELECT page_id, concat('Block ', page_id) AS name, page_id % 50 AS price FROM pages WHERE page_id % 3 <> 0 AND contains(html, '</body>')")
-def jsonld(spark, d):
-    """Nodes of embedded linked data, at any of two depths, that have a name."""
-    key = F.col("page_id")
-    node = F.concat(F.lit('{"@type":"Apartment","name":"Block '), key, F.lit('","offers":{"price":'), key % 50, F.lit("}}"))
-    body = F.when(key % 3 == 1, node).otherwise(F.concat(F.lit('{"@graph":['), node, F.lit("]}")))
-    html = F.when(key % 3 != 0, F.replace("html", F.lit("</body>"), F.concat(F.lit('<script type="application/ld+json">'), body, F.lit("</script></body>")))).otherwise(F.col("html"))
-    blocks = F.regexp_extract_all(html, F.lit(r'(?is)<script[^>]*application/ld\+json[^>]*>(.*?)</script>'), 1)
-    kind = "name string, offers struct<price:long>"
-    b = table(spark, d, "pages").select("page_id", F.explode(blocks).alias("json")).select("page_id", F.from_json("json", f"{kind}, `@graph` array<struct<name:string,offers:struct<price:long>>>").alias("j"))
-    nodes = F.concat(F.array(F.struct(F.col("j.name").alias("name"), F.col("j.offers").alias("offers"))), F.coalesce(F.col("j.@graph"), F.array().cast("array<struct<name:string,offers:struct<price:long>>>")))
-    return b.select("page_id", F.inline(nodes)).where("name IS NOT NULL").select("page_id", "name", F.col("offers.price").alias("price"))
-
-
 @query("applicant", sql(r"SELECT id, CASE WHEN company IS NOT NULL AND NOT regexp_matches(company, '^[0-9/ -]+$') AND company <> '' THEN company ELSE nullif(regexp_extract(concat('Works by ', p_name, ' Ltd at site'), 'by ([A-Za-z ]+? (?:Ltd|Limited|PLC))', 1), '') END AS applicant FROM lines"))
 def applicant(spark, d):
     text = F.concat(F.lit("Works by "), "p_name", F.lit(" Ltd at site"))
@@ -95,20 +71,6 @@ def track_record(spark, d):
     return c.select("c_custkey", s.ladder(F.col("n"), [(10, 100.0), (5, 80.0), (2, 60.0), (1, 40.0)], 30.0, True).alias("developer"), where.alias("location"))
 
 
-_RATINGS = "[CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey % 101 END, CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey % 83 END, CASE WHEN o_orderkey % 5 = 0 THEN o_orderkey % 97 END]"
-
-
-@query("perf_trend", f"SELECT o_orderkey, round(m, 4) AS mean, CASE WHEN m >= 80 THEN 'strong' WHEN m >= 60 THEN 'adequate' WHEN m >= 40 THEN 'underperforming' ELSE 'poor' END AS state, CASE WHEN m >= 60 THEN 'stable' ELSE 'declining' END AS trend FROM (SELECT o_orderkey, coalesce(list_avg(list_filter({_RATINGS}, lambda x: x IS NOT NULL)), 50.0)::DOUBLE AS m FROM orders) t")
-def perf_trend(spark, d):
-    """The mean of the ratings that are there, 50 without any."""
-    key = F.col("o_orderkey")
-    there = F.array_compact(F.array(*[F.when(key % a == 0, key % b) for a, b in ((2, 101), (3, 83), (5, 97))]))
-    total = F.aggregate(there, F.lit(0).cast("long"), lambda x, y: x + y)
-    mean = F.when(F.size(there) > 0, total / F.nullif(F.size(there), F.lit(0))).otherwise(50.0)
-    state = F.when(F.col("m") >= 80, "strong").when(F.col("m") >= 60, "adequate").when(F.col("m") >= 40, "underperforming").otherwise("poor")
-    return table(spark, d, "orders").select("o_orderkey", mean.alias("m")).select("o_orderkey", F.round("m", 4).alias("mean"), state.alias("state"), F.when(F.col("m") >= 60, "stable").otherwise("declining").alias("trend"))
-
-
 @query("confidence_locks", "SELECT p_partkey, round((CASE p_partkey % 3 WHEN 0 THEN 1.0 WHEN 1 THEN 0.8 ELSE 0.4 END + CASE WHEN p_size > 10 THEN CASE p_partkey % 2 WHEN 0 THEN 1.0 ELSE 0.4 END ELSE 0 END) / 2, 4)::DOUBLE AS confidence FROM part")
 def confidence_locks(spark, d):
     """Each filled field counts by the trust of the source that locked it."""

@@ -143,23 +143,6 @@ def stale_rows(spark, d):
     return applications(spark, d).where(p.stale(F.col("submission_date"), F.lit(AS_OF).cast("date"), 90)).select("id")
 
 
-@query(
-    "noise_filter",
-    with_applications(
-        "SELECT id, noise FROM (SELECT *, CASE WHEN regexp_matches(description, '(?i)rear extension|loft conversion') THEN 'householder' WHEN regexp_matches(description, '(?i)advertisement|signage') THEN 'advert' "
-        "WHEN regexp_matches(description, '(?i)tree works?|felling') THEN 'tree' END AS noise FROM apps) a WHERE noise IS NOT NULL AND (num_units IS NULL OR num_units < 200) "
-        "AND (scheme_type IS NULL OR scheme_type NOT IN ('BTR', 'PBSA')) AND NOT EXISTS (SELECT 1 FROM orders WHERE o_orderkey = a.id AND o_orderstatus = 'O')"
-    ),
-)
-def noise_filter(spark, d):
-    text = F.col("description")
-    noise = F.when(text.rlike("(?i)rear extension|loft conversion"), "householder").when(text.rlike("(?i)advertisement|signage"), "advert").when(text.rlike("(?i)tree works?|felling"), "tree")
-    a = applications(spark, d).withColumn("noise", noise)
-    a = a.where(F.col("noise").isNotNull() & (F.col("num_units").isNull() | (F.col("num_units") < 200)) & p.none_of(F.col("scheme_type"), ["BTR", "PBSA"], True))
-    in_pipeline = table(spark, d, "orders").where("o_orderstatus = 'O'").select(F.col("o_orderkey").alias("id"))
-    return a.join(in_pipeline, "id", "left_anti").select("id", "noise")
-
-
 @query("rls_filter", "SELECT event_id, user_id, 'bd_analyst' AS role FROM events WHERE user_id = 3 UNION ALL SELECT event_id, user_id, 'bd_manager' FROM events")
 def rls_filter(spark, d):
     e = table(spark, d, "events")

@@ -55,7 +55,51 @@ def ocds_flatten(spark, d):
     body = F.to_json(F.struct(F.concat(F.lit("o-"), key).alias("ocid"), contracts.alias("contracts"), tender.alias("tender")))
     path = new_path(spark, "releases")
     o.select(body.alias("value")).write.text(path)
-    return files.releases(files.lines(spark, path))
+    return files.releases(files.lines(spark, path)).select("ocid", "title", "starts", "ends", "value")
+
+
+_AWARDED = """SELECT o_orderkey AS k, concat('ocds-', o_orderkey) AS ocid, o_orderpriority AS title, CAST(o_orderdate AS DATE) AS d, CAST(o_custkey AS INTEGER) AS c, CAST(floor(o_totalprice) AS DOUBLE) AS v FROM {orders}"""
+
+
+def _awarded(spark, d):
+    """Releases as lines of JSON: none to two contracts, none to two awards, a tender; days and values of each differ and are missing in turn."""
+    o = spark.sql(_AWARDED, orders=table(spark, d, "orders"))
+    k = F.col("k")
+    day = lambda test, add: F.when(test, F.date_format(F.date_add("d", add), "yyyy-MM-dd'T'00:00:00'Z'"))
+    period = lambda start, end: F.struct(start.alias("startDate"), end.alias("endDate"))
+    value = lambda v: F.struct(v.alias("amount"))
+    contract = lambda n: F.struct(period(day(k % 2 == n, F.lit(10 + n)), day(k % (3 + n) == 1, F.col("c") % 50 + 100 * n)).alias("period"), value(F.when(k % (4 + n) == 1, F.col("v") + n)).alias("value"))
+    award = lambda n: F.struct(F.array(F.struct(F.when(k % (5 + n) != 0, F.concat(F.lit(f"Firm {n} "), "c")).alias("name"))).alias("suppliers"), value(F.when(k % 7 == n, F.col("v") + 10 + n)).alias("value"), period(day(k % 5 == n, F.lit(500 + n)), day(k % 5 == n, F.lit(600 + n))).alias("contractPeriod"))
+    tender = F.struct(F.col("title"), value(F.when(k % 3 == 0, F.col("v") + 99)).alias("value"), period(day(k % 11 == 0, F.lit(1000)), day(k % 11 == 0, F.lit(1100))).alias("contractPeriod"), F.array(F.struct(F.struct(F.lpad(F.col("c").cast("string"), F.when(k % 2 == 0, 8).otherwise(7), "7").alias("id")).alias("classification"))).alias("items"))
+    body = F.struct("ocid", F.slice(F.array(contract(0), contract(1)), F.lit(1), (k % 3).cast("int")).alias("contracts"), F.slice(F.array(award(0), award(1)), F.lit(1), (k % 4 % 3).cast("int")).alias("awards"), tender.alias("tender"))
+    path = new_path(spark, "awarded")
+    o.select(F.to_json(body).alias("value")).write.text(path)
+    return files.lines(spark, path)
+
+
+_PARTS = f"""r AS ({_AWARDED.format(orders='orders')}), p AS (SELECT *, k % 3 AS nc, k % 4 % 3 AS na,
+  CASE WHEN k % 2 = 0 THEN d + 10 END AS s0, CASE WHEN k % 2 = 1 THEN d + 11 END AS s1, CASE WHEN k % 3 = 1 THEN d + c % 50 END AS e0, CASE WHEN k % 4 = 1 THEN d + c % 50 + 100 END AS e1, CASE WHEN k % 4 = 1 THEN v END AS v0, CASE WHEN k % 5 = 1 THEN v + 1 END AS v1,
+  CASE WHEN k % 5 = 0 THEN d + 500 END AS as0, CASE WHEN k % 5 = 1 THEN d + 501 END AS as1, CASE WHEN k % 5 = 0 THEN d + 600 END AS ae0, CASE WHEN k % 5 = 1 THEN d + 601 END AS ae1, CASE WHEN k % 7 = 0 THEN v + 10 END AS av0, CASE WHEN k % 7 = 1 THEN v + 11 END AS av1,
+  CASE WHEN k % 5 <> 0 THEN concat('Firm 0 ', c) END AS f0, CASE WHEN k % 6 <> 0 THEN concat('Firm 1 ', c) END AS f1, CASE WHEN k % 11 = 0 THEN d + 1000 END AS ts, CASE WHEN k % 11 = 0 THEN d + 1100 END AS te, CASE WHEN k % 3 = 0 THEN v + 99 END AS tv, CASE WHEN k % 2 = 0 THEN lpad(c::VARCHAR, 8, '7') END AS code FROM r)"""
+
+
+@query(
+    "ocds_awards",
+    f"WITH {_PARTS} SELECT ocid, title, coalesce(CASE WHEN nc > 0 THEN s0 END, CASE WHEN nc > 1 THEN s1 END, ts, CASE WHEN na > 0 THEN as0 END, CASE WHEN na > 1 THEN as1 END)::DATE AS starts, coalesce(CASE WHEN nc > 0 THEN e0 END, CASE WHEN nc > 1 THEN e1 END, te, CASE WHEN na > 0 THEN ae0 END, CASE WHEN na > 1 THEN ae1 END)::DATE AS ends, "
+    "coalesce(CASE WHEN nc > 0 THEN v0 END, CASE WHEN nc > 1 THEN v1 END, CASE WHEN na > 0 THEN av0 END, CASE WHEN na > 1 THEN av1 END) AS value, coalesce(CASE WHEN na > 0 THEN f0 END, CASE WHEN na > 1 THEN f1 END) AS supplier, coalesce(code, '') AS codes FROM p",
+)
+def ocds_awards(spark, d):
+    return files.releases(_awarded(spark, d)).withColumn("codes", F.array_join("codes", ","))
+
+
+@query(
+    "ocds_signed",
+    f"WITH {_PARTS}, q AS (SELECT *, CASE WHEN nc = 0 THEN NULL WHEN nc = 1 THEN 0 WHEN e0 IS NULL AND e1 IS NULL THEN 1 WHEN e1 IS NULL THEN 0 WHEN e0 IS NULL OR e1 > e0 THEN 1 ELSE 0 END AS i FROM p) "
+    "SELECT ocid, title, coalesce(CASE i WHEN 0 THEN s0 WHEN 1 THEN s1 END, CASE na WHEN 1 THEN as0 WHEN 2 THEN as1 END, ts)::DATE AS starts, coalesce(CASE i WHEN 0 THEN e0 WHEN 1 THEN e1 END, CASE na WHEN 1 THEN ae0 WHEN 2 THEN ae1 END, te)::DATE AS ends, "
+    "coalesce(CASE i WHEN 0 THEN v0 WHEN 1 THEN v1 END, CASE na WHEN 1 THEN av0 WHEN 2 THEN av1 END, tv) AS value, coalesce(CASE na WHEN 1 THEN f0 WHEN 2 THEN f1 END, '') AS supplier, coalesce(code, '') AS codes FROM q",
+)
+def ocds_signed(spark, d):
+    return files.signed_releases(_awarded(spark, d)).withColumn("codes", F.array_join("codes", ","))
 
 
 @query("next_data", "SELECT page_id, page_id * 3 AS rent, concat('b', page_id) AS building FROM pages WHERE page_id % 4 <> 0 AND contains(html, '</body>')")

@@ -41,16 +41,49 @@ def read_titles(spark: SparkSession, path: str) -> DataFrame:
     return titles(spark.read.csv(path, header=True, encoding="UTF-8"))
 
 
+_PERIOD, _VALUE = "struct<startDate:string,endDate:string>", "struct<amount:double,currency:string>"
+RELEASE = (
+    f"ocid string, date string, tag array<string>, buyer struct<name:string>, contracts array<struct<period:{_PERIOD},value:{_VALUE}>>, "
+    f"awards array<struct<suppliers:array<struct<name:string>>,value:{_VALUE},contractPeriod:{_PERIOD}>>, "
+    f"tender struct<title:string,description:string,value:{_VALUE},contractPeriod:{_PERIOD},items:array<struct<classification:struct<id:string>>>>"
+)
+
+
+def _day(text: Column) -> Column:
+    return F.try_to_date(F.substring(F.trim(text), 1, 10), "yyyy-MM-dd")
+
+
+def _first(items: Column, get) -> Column:
+    """The first value that there is among those of an array's elements."""
+    return F.get(F.array_compact(F.transform(items, get)), F.lit(0))
+
+
+def _codes(tender: Column) -> Column:
+    return F.filter(F.transform(F.coalesce(tender["items"], F.array()), lambda i: i["classification"]["id"]), lambda c: F.rlike(c, F.lit(r"^\d{8}$")))
+
+
 def releases(df: DataFrame, json: str = "value") -> DataFrame:
-    """Tender releases: dates and value of the first contract that has them, else of the tender's period."""
-    schema = "ocid string, contracts array<struct<period:struct<startDate:string,endDate:string>,value:struct<amount:double>>>, tender struct<title:string,contractPeriod:struct<startDate:string,endDate:string>>"
-    r = df.select(F.from_json(json, schema).alias("r")).select("r.*")
-    contracts = F.coalesce("contracts", F.array().cast("array<struct<period:struct<startDate:string,endDate:string>,value:struct<amount:double>>>"))
-    first = lambda get, test: F.get(F.filter(F.transform(contracts, get), test), F.lit(0))
-    start = F.coalesce(first(lambda c: c.period.startDate, lambda x: x.isNotNull()), F.col("tender.contractPeriod.startDate"))
-    end = F.coalesce(first(lambda c: c.period.endDate, lambda x: x.isNotNull()), F.col("tender.contractPeriod.endDate"))
-    value = first(lambda c: c.value.amount, lambda x: x > 0)
-    return r.select("ocid", F.col("tender.title").alias("title"), F.to_date(F.substring(start, 1, 10)).alias("starts"), F.to_date(F.substring(end, 1, 10)).alias("ends"), value.alias("value"))
+    """Tender releases: ocid, title, starts, ends, value, supplier, codes; the first of each that there is, in contracts, the tender's period, awards."""
+    r = df.select(F.from_json(json, RELEASE).alias("r")).select("r.*")
+    amount = lambda x: F.when(x["value"]["amount"] > 0, x["value"]["amount"])
+    day = lambda end: F.coalesce(_first(F.col("contracts"), lambda c: _day(c["period"][end])), _day(F.col(f"tender.contractPeriod.{end}")), _first(F.col("awards"), lambda a: _day(a["contractPeriod"][end])))
+    supplier = _first(F.col("awards"), lambda a: F.nullif(F.trim(F.get(a["suppliers"], F.lit(0))["name"]), F.lit("")))
+    value = F.coalesce(_first(F.col("contracts"), amount), _first(F.col("awards"), amount))
+    return r.select("ocid", F.col("tender.title").alias("title"), day("startDate").alias("starts"), day("endDate").alias("ends"), value.alias("value"), supplier.alias("supplier"), _codes(F.col("tender")).alias("codes"))
+
+
+def signed_releases(df: DataFrame, json: str = "value") -> DataFrame:
+    """The same of registers where the signed state counts: the contract with the latest end (the first of equals, else the last contract), then the last award, then the tender."""
+    r = df.select(F.from_json(json, RELEASE).alias("r")).select("r.*").where("ocid <> ''")
+    ends = F.transform(F.col("contracts"), lambda c, i: F.struct(_day(c["period"]["endDate"]).alias("end"), (-i).alias("before")))
+    latest = F.array_max(F.filter(ends, lambda e: e["end"].isNotNull()))
+    last = lambda items: F.get(items, F.size(items) - 1)
+    contract = F.coalesce(F.get("contracts", -latest["before"]), last(F.col("contracts")))
+    r = r.withColumn("contract", contract).withColumn("award", last(F.col("awards")))
+    day = lambda end: F.coalesce(_day(F.col(f"contract.period.{end}")), _day(F.col(f"award.contractPeriod.{end}")), _day(F.col(f"tender.contractPeriod.{end}")))
+    value = F.coalesce("contract.value.amount", "award.value.amount", "tender.value.amount")
+    supplier = F.coalesce(F.get("award.suppliers", F.lit(0))["name"], F.lit(""))
+    return r.select("ocid", F.col("tender.title").alias("title"), day("startDate").alias("starts"), day("endDate").alias("ends"), value.alias("value"), supplier.alias("supplier"), _codes(F.col("tender")).alias("codes"))
 
 
 def embedded_json(html: Column, marker: str) -> Column:
