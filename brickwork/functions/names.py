@@ -46,6 +46,12 @@ def company_tail(name: Column) -> Column:
     return F.trim(F.regexp_replace(F.upper(F.trim(name)), r"\s+(LIMITED|LTD\.?|PLC|LLP)$", ""))
 
 
+def title_key(name: Column) -> Column:
+    """A name for comparison with a register's: without forms and common words."""
+    text = F.regexp_replace(F.lower(name), "[^a-z0-9 ]", " ")
+    return squeeze(F.regexp_replace(text, r"\b(limited|ltd|plc|llp|the|of|and|company|co|uk|group)\b", " "))
+
+
 def name_key(name: Column) -> Column:
     return F.regexp_replace(F.lower(name), "[^a-z0-9]", "")
 

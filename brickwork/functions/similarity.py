@@ -9,6 +9,9 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Fixed value: the likeness from which on a search hit is a company.
+LEAST_SEQUENCE = 0.92
+
 
 def sorted_tokens(name: str | None) -> str:
     """Lower-case, other than letters and digits to spaces, words sorted."""

@@ -172,3 +172,54 @@ def gap_operator(spark, d):
     found = names.join(exact, "n", "left").join(part, "n", "left").select(F.col("n").alias("key"), F.coalesce("exact", "part").alias("company"))
     return fill_gaps(contracts, [Step("supplier", {"operator": F.col("company")}, uses=("supplier",))], {"supplier": Side(found, "key", "n")}).select("id", "line", "operator")
 
+
+
+ATTRIBUTED = f"""SELECT p_partkey AS id, CASE p_partkey % 7 WHEN 0 THEN 'arl_btr_open_operating' WHEN 1 THEN 'find_a_tender' WHEN 2 THEN 'bpf_btr_pipeline' WHEN 3 THEN 'contracts_finder' ELSE 'epc_new_dwelling' END AS source, CASE WHEN p_partkey % 13 = 0 THEN '' ELSE concat('LS', p_partkey * 31 % 90) END AS postcode,
+  CASE WHEN p_partkey % 7 < 4 AND p_partkey % 3 <> 0 THEN p_partkey % 500 WHEN p_partkey % 17 = 0 THEN 7 END AS owner, CASE WHEN p_partkey % 7 < 4 AND p_partkey % 4 <> 0 THEN p_partkey % 300 WHEN p_partkey % 19 = 0 THEN 8 END AS operator, CAST(p_partkey % 100 AS DOUBLE) / 100 AS confidence FROM {{part}}"""
+PLANS = "SELECT o_orderkey AS id, concat('LS', o_custkey % 100) AS postcode, CASE WHEN o_orderkey % 4 = 0 THEN o_custkey END AS company, CASE WHEN o_orderkey % 3 <> 0 THEN CAST(floor(o_totalprice) AS BIGINT) % 40 END AS units FROM {orders} WHERE o_orderkey % 41 = 0"
+VEHICLES = "SELECT s_suppkey AS id, concat('1 Mill Lane, Leeds, LS', s_suppkey * 7 % 100, ' 1AA') AS address, CASE WHEN s_suppkey % 3 = 0 THEN s_suppkey + 1000 END AS parent FROM {supplier}"
+
+
+def epc_steps(schemes, plans, vehicles, trusted: float = 0.85):
+    """Owners and operators of schemes known from certificates only, by seven strategies in turn; each fills nulls only.
+
+    By postcode: of the directory's schemes, the applicant of the largest
+    application, schemes from tenders, the parent of a vehicle registered there, the
+    pipeline's schemes (the least id of each); then an owner counts as operator, and
+    the confidence of a scheme with an owner is ``trusted`` at least.
+    """
+    at = schemes.where("postcode <> ''")
+
+    def of(*sources: str):
+        return at.where(F.col("source").isin(*sources)).groupBy("postcode").agg(F.min_by("owner", F.when(F.col("owner").isNotNull(), F.col("id"))).alias("o"), F.min_by("operator", F.when(F.col("operator").isNotNull(), F.col("id"))).alias("p"))
+
+    named = {"directory": of("arl_btr_open_operating"), "tenders": of("find_a_tender", "contracts_finder"), "pipeline": of("bpf_btr_pipeline")}
+    largest = plans.where("company IS NOT NULL AND postcode <> ''").groupBy("postcode").agg(F.max_by("company", F.struct(F.coalesce("units", F.lit(0)), "id")).alias("o"))
+    registered = vehicles.where("parent IS NOT NULL").select(F.upper(F.regexp_extract("address", r"([A-Za-z]+[0-9]+) [0-9][A-Za-z]{2}", 1)).alias("postcode"), "id", "parent").groupBy("postcode").agg(F.min_by("parent", "id").alias("o"))
+    tables = named | {"applications": largest, "vehicles": registered}
+    sides = {n: Side(t.select(F.col("postcode").alias("key"), *[F.col(c).alias(f"{n}_{c}") for c in t.columns if c != "postcode"]), "key", "postcode") for n, t in tables.items()}
+    epc = F.col("source") == "epc_new_dwelling"
+    owner = lambda n: Step(f"{n} owner", {"owner": F.col(f"{n}_o")}, uses=(n,), where=epc)
+    operator = lambda n: Step(f"{n} operator", {"operator": F.col(f"{n}_p")}, uses=(n,), where=epc)
+    steps = [owner("directory"), operator("directory"), owner("applications"), owner("tenders"), operator("tenders"), owner("vehicles"), owner("pipeline"), operator("pipeline")]
+    steps.append(Step("owner as operator", {"operator": F.col("owner")}, reads=("owner",), where=epc))
+    out = fill_gaps(schemes, steps, sides)
+    return out.withColumn("confidence", F.when(epc & F.col("owner").isNotNull() & (F.col("confidence") < trusted), F.lit(trusted)).otherwise(F.col("confidence")))
+
+
+_AT = "(SELECT arg_min({0}, id) FROM s k WHERE k.postcode = s.postcode AND s.postcode <> '' AND k.source IN ({1}) AND {0} IS NOT NULL)"
+_STRATEGIES = [("directory", "'arl_btr_open_operating'"), ("tenders", "'find_a_tender', 'contracts_finder'"), ("pipeline", "'bpf_btr_pipeline'")]
+
+
+@query(
+    "epc_strategies",
+    f"WITH s AS ({ATTRIBUTED.format(part='part')}), a AS ({PLANS.format(orders='orders')}), v AS ({VEHICLES.format(supplier='supplier')}), w AS (SELECT *, {', '.join(f'{_AT.format(c, q)} AS {n}_{c}' for n, q in _STRATEGIES for c in ('owner', 'operator'))}, "
+    "(SELECT arg_max(company, {'u': coalesce(units, 0), 'i': a.id}) FROM a WHERE a.postcode = s.postcode AND company IS NOT NULL) AS applicant, (SELECT arg_min(parent, v.id) FROM v WHERE parent IS NOT NULL AND concat('LS', v.id * 7 % 100) = s.postcode) AS vehicle FROM s), "
+    "f AS (SELECT *, CASE WHEN source = 'epc_new_dwelling' THEN coalesce(owner, directory_owner, applicant, tenders_owner, vehicle, pipeline_owner) ELSE owner END AS o FROM w) "
+    "SELECT id, o AS owner, CASE WHEN source = 'epc_new_dwelling' THEN coalesce(operator, directory_operator, tenders_operator, pipeline_operator, o) ELSE operator END AS operator, CASE WHEN source = 'epc_new_dwelling' AND o IS NOT NULL AND confidence < 0.85 THEN 0.85::DOUBLE ELSE confidence END AS confidence, "
+    "CASE WHEN source = 'epc_new_dwelling' AND owner IS NULL THEN CASE WHEN directory_owner IS NOT NULL THEN 'directory owner' WHEN applicant IS NOT NULL THEN 'applications owner' WHEN tenders_owner IS NOT NULL THEN 'tenders owner' WHEN vehicle IS NOT NULL THEN 'vehicles owner' WHEN pipeline_owner IS NOT NULL THEN 'pipeline owner' END END AS owner_by FROM f",
+)
+def epc_strategies(spark, d):
+    made = lambda sql, name: _made(spark, d, sql, name)
+    out = epc_steps(made(ATTRIBUTED, "part"), made(PLANS, "orders"), made(VEHICLES, "supplier"))
+    return out.select("id", "owner", "operator", "confidence", F.try_element_at("filled_by", F.lit("owner")).alias("owner_by"))

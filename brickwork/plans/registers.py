@@ -4,6 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from brickwork.functions.names import title_key
+from brickwork.functions.risk import regulatory_grades
+from brickwork.functions.similarity import LEAST_SEQUENCE, sequence_ratio
+from brickwork.operators import ingests
 from brickwork.operators import registers as r
 from brickwork.operators.matching import match_records
 from brickwork.plans.joins import _SCORE, _SORTED
@@ -69,3 +73,95 @@ RECORDS = "SELECT p_partkey AS id, concat('R', p_partkey * 3) AS reference, conc
 def record_match(spark, d):
     """Tenders' titles against the 300 newest schemes' names, many of them near-equal, between references and places."""
     return match_records(made(spark, d, INCOMING, "customer"), made(spark, d, RECORDS, "part"), newest=300)
+
+
+COMPANIES = "SELECT s_suppkey AS id, s_name AS name, lower(s_name) AS norm_name, CASE s_suppkey % 6 WHEN 0 THEN 'RP' WHEN 1 THEN 'LRP' WHEN 2 THEN 'Developer' WHEN 3 THEN 'Operator' END AS kind, CASE WHEN s_suppkey % 4 = 0 THEN 'Old Hall' WHEN s_suppkey % 4 = 1 THEN '' END AS address, CASE WHEN s_suppkey % 5 = 0 THEN concat('L', s_suppkey) WHEN s_suppkey % 5 = 1 THEN '' END AS registration, CAST(s_suppkey % 50 AS BIGINT) AS owned, CAST(NULL AS BIGINT) AS managed, CAST(3 AS BIGINT) AS for_others FROM {supplier}"
+PROVIDERS = "SELECT c_custkey AS row, CASE WHEN c_custkey % 11 = 0 THEN '12345' WHEN c_custkey % 13 = 0 THEN ' ' WHEN c_custkey % 3 = 0 THEN concat('Supplier#', lpad(CAST(c_custkey % 120 AS STRING), 9, '0')) ELSE concat('Customer#', lpad(CAST(c_custkey % 700 AS STRING), 9, '0')) END AS name, CASE c_custkey % 4 WHEN 0 THEN concat('L', c_custkey % 90) WHEN 1 THEN '' ELSE concat('N', c_custkey) END AS registration, CASE WHEN c_custkey % 5 <> 0 THEN concat('Hall ', c_custkey) ELSE '' END AS address, CASE c_custkey % 7 WHEN 0 THEN 'Deregistered 2020' WHEN 1 THEN 'Removed' WHEN 2 THEN 'Registered' END AS status, CASE c_custkey % 3 WHEN 0 THEN 'PRP' WHEN 1 THEN 'LA' END AS provider_type FROM {customer}"
+_MATCHED = "coalesce((SELECT min(id) FROM c WHERE c.registration = g.registration AND g.registration <> ''), (SELECT min(id) FROM c WHERE c.norm_name = g.norm_name)) AS company"
+
+
+def _companies(spark, d):
+    return made(spark, d, COMPANIES, "supplier")
+
+
+@query(
+    "rsh_providers",
+    f"WITH c AS ({COMPANIES.format(supplier='supplier')}), g AS (SELECT *, lower(trim(name)) AS norm_name, CASE WHEN coalesce(provider_type, 'PRP') = 'PRP' THEN 'RP' ELSE 'LRP' END AS nk FROM ({PROVIDERS.format(customer='customer')}) x WHERE trim(name) NOT IN ('12345', '') AND (status IS NULL OR status = 'Registered')), m AS (SELECT g.*, {_MATCHED} FROM g), "
+    "k AS (SELECT company, nk, address AS na, registration AS nr FROM (SELECT *, row_number() OVER (PARTITION BY company ORDER BY row) AS rn FROM m WHERE company IS NOT NULL) y WHERE rn = 1), "
+    "w AS (SELECT c.*, CASE WHEN nk IS NOT NULL AND (kind IS NULL OR kind NOT IN ('RP', 'LRP')) THEN nk ELSE kind END AS kind2, CASE WHEN coalesce(address, '') = '' AND na <> '' THEN na ELSE address END AS address2, CASE WHEN coalesce(registration, '') = '' AND nr <> '' THEN nr ELSE registration END AS registration2 FROM c LEFT JOIN k ON company = id) "
+    "SELECT id, name, norm_name, kind2 AS kind, address2 AS address, registration2 AS registration, CASE WHEN kind IS DISTINCT FROM kind2 OR address IS DISTINCT FROM address2 OR registration IS DISTINCT FROM registration2 THEN 'updated' END AS change FROM w "
+    "UNION ALL SELECT NULL, trim(name), norm_name, nk, nullif(address, ''), nullif(registration, ''), 'created' FROM (SELECT *, row_number() OVER (PARTITION BY norm_name ORDER BY row) AS rn FROM m WHERE company IS NULL) z WHERE rn = 1",
+)
+def rsh_providers(spark, d):
+    """The list of providers merged into the companies: landlords, addresses, registrations, new ones."""
+    providers = made(spark, d, PROVIDERS, "customer").withColumn("norm_name", F.lower(F.trim("name")))
+    return ingests.merged_providers(_companies(spark, d), providers)
+
+
+STOCK = "SELECT o_orderkey AS row, CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE concat('L', o_custkey % 95) END AS registration, concat('supplier#', lpad(CAST(o_orderkey % 130 AS STRING), 9, '0')) AS norm_name, CASE WHEN o_orderkey % 4 <> 0 THEN o_custkey % 60 END AS owned, CASE WHEN o_orderkey % 5 <> 0 THEN o_custkey % 70 END AS managed, CASE WHEN o_orderkey % 6 <> 0 THEN o_custkey % 20 END AS for_others FROM {orders}"
+
+
+@query(
+    "rsh_stock",
+    f"WITH c AS ({COMPANIES.format(supplier='supplier')}), g AS ({STOCK.format(orders='orders')}), m AS (SELECT g.*, {_MATCHED} FROM g), l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY company ORDER BY row DESC) AS rn FROM m WHERE company IS NOT NULL) y WHERE rn = 1) "
+    "SELECT id, CASE WHEN l.owned > 0 AND 5 * l.managed > 6 * l.owned AND (kind IS NULL OR kind IN ('RP', 'LRP')) THEN 'Operator' ELSE kind END AS kind, coalesce(l.owned, c.owned) AS owned, coalesce(l.managed, c.managed) AS managed, coalesce(l.for_others, c.for_others) AS for_others FROM c LEFT JOIN l ON company = id",
+)
+def rsh_stock(spark, d):
+    """Homes owned and managed; who manages over a fifth more than it owns is an operator."""
+    return ingests.with_stock(_companies(spark, d), made(spark, d, STOCK, "orders")).select("id", "kind", "owned", "managed", "for_others")
+
+
+JUDGEMENTS = "SELECT o_orderkey AS row, CASE WHEN o_orderkey % 9 = 0 THEN 'A to Z list of landlords' WHEN o_orderkey % 10 = 0 THEN '99' ELSE concat('Provider ', o_custkey % 300) END AS provider, CASE WHEN o_orderkey % 9 <> 0 AND o_orderkey % 10 <> 0 THEN CAST(o_custkey % 300 AS BIGINT) ELSE 1 END AS company, CASE WHEN o_orderkey % 4 <> 0 THEN concat('G', o_orderkey % 4) END AS governance, CASE WHEN o_orderkey % 3 <> 0 THEN concat('V', o_orderkey % 6) END AS viability FROM {orders} WHERE o_orderkey % 2 = 1"
+HOUSING = "SELECT p_partkey AS id, p_name AS name, CASE WHEN p_partkey % 3 <> 0 THEN CAST(p_partkey % 200 AS BIGINT) END AS operator, p_type AS kind, CASE WHEN p_partkey % 2 = 0 THEN 'G4' END AS rating, CASE WHEN p_partkey % 5 = 0 THEN CAST(50 AS DOUBLE) END AS health FROM {part}"
+
+
+@query(
+    "rsh_judgements",
+    f"WITH s AS ({HOUSING.format(part='part')}), j AS (SELECT *, CASE viability WHEN 'V1' THEN 95.0 WHEN 'V2' THEN 75.0 WHEN 'V3' THEN 45.0 WHEN 'V4' THEN 20.0 END::DOUBLE AS h FROM ({JUDGEMENTS.format(orders='orders')}) x WHERE provider LIKE 'Provider%'), l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY company ORDER BY row DESC) AS rn FROM j) y WHERE rn = 1), "
+    "m AS (SELECT l.*, (SELECT min(id) FROM s WHERE operator = company) AS scheme FROM l) SELECT id, name, operator, kind, coalesce(governance, rating) AS rating, coalesce(h, health) AS health, CASE WHEN m.scheme IS NOT NULL THEN 'enriched' END AS change FROM s LEFT JOIN m ON m.scheme = s.id "
+    "UNION ALL SELECT NULL, concat(provider, ' - Social Housing'), company, 'Social Housing', governance, h, 'created' FROM m WHERE scheme IS NULL",
+)
+def rsh_judgements(spark, d):
+    health = regulatory_grades(F.lit(None).cast("string"), F.col("viability"), F.lit(None).cast("string"))["health"]
+    return ingests.judged_schemes(made(spark, d, HOUSING, "part"), made(spark, d, JUDGEMENTS, "orders"), health)
+
+
+SITES = "SELECT o_orderkey AS row, CASE WHEN o_orderkey % 17 = 0 THEN '' ELSE concat('BF', o_custkey % 400) END AS reference, CASE WHEN o_orderkey % 19 = 0 THEN '' ELSE concat('org', o_custkey % 30) END AS organisation, CASE WHEN o_orderkey % 2 = 0 THEN concat('Yard ', o_orderkey) ELSE '' END AS address, CASE WHEN o_orderkey % 3 = 0 THEN concat('LS', o_orderkey % 40) ELSE '' END AS postcode, CASE WHEN o_orderkey % 5 = 0 THEN CAST(o_orderkey % 90 AS DOUBLE) END AS latitude, CASE WHEN o_orderkey % 5 = 0 THEN CAST(o_orderkey % 70 AS DOUBLE) END AS longitude, CASE WHEN o_orderkey % 4 = 0 THEN o_custkey % 55 END AS units, o_orderpriority AS status FROM {orders}"
+KNOWN_SITES = "SELECT concat('BF', p_partkey % 300) AS reference, CAST(min(p_partkey % 25) AS INTEGER) AS council, min(p_name) AS address, CASE WHEN p_partkey % 300 % 2 = 0 THEN 'LS1' ELSE '' END AS postcode, CAST(NULL AS DOUBLE) AS latitude, CAST(min(p_size) AS DOUBLE) AS longitude, CASE WHEN p_partkey % 300 % 3 = 0 THEN CAST(9 AS BIGINT) END AS units, 'old' AS status FROM {part} GROUP BY p_partkey % 300"
+ORGANISATIONS = "SELECT n_nationkey AS id, concat('org', n_nationkey % 20) AS organisation, concat(n_name, CASE WHEN n_nationkey % 2 = 0 THEN ' Borough Council' ELSE ' Council' END) AS name FROM {nation}"
+
+
+@query(
+    "brownfield_ingest",
+    f"WITH o AS (SELECT organisation, min(id) AS council FROM ({ORGANISATIONS.format(nation='nation')}) x GROUP BY 1), g AS (SELECT s.*, council FROM ({SITES.format(orders='orders')}) s JOIN o USING (organisation) WHERE reference <> '' AND (address <> '' OR postcode <> '')), "
+    "f AS (SELECT reference, council, arg_min(address, row) AS address, arg_min(status, row) AS status, coalesce(arg_min(postcode, row) FILTER (WHERE postcode <> ''), '') AS postcode, arg_min(latitude, row) FILTER (WHERE latitude IS NOT NULL) AS latitude, arg_min(longitude, row) FILTER (WHERE longitude IS NOT NULL) AS longitude, arg_min(units, row) FILTER (WHERE units IS NOT NULL) AS units FROM g GROUP BY 1, 2), "
+    f"k AS ({KNOWN_SITES.format(part='part')}) SELECT coalesce(k.reference, f.reference) AS reference, coalesce(k.council, f.council) AS council, CASE WHEN k.reference IS NULL THEN f.address ELSE k.address END AS address, CASE WHEN k.reference IS NULL THEN f.postcode ELSE coalesce(nullif(k.postcode, ''), f.postcode) END AS postcode, "
+    "coalesce(k.latitude, f.latitude) AS latitude, coalesce(k.longitude, f.longitude) AS longitude, coalesce(k.units, f.units) AS units, CASE WHEN k.reference IS NULL THEN f.status ELSE k.status END AS status FROM k FULL JOIN f ON k.reference = f.reference AND k.council = f.council",
+)
+def brownfield_ingest(spark, d):
+    return ingests.merged_sites(made(spark, d, KNOWN_SITES, "part"), made(spark, d, SITES, "orders"), made(spark, d, ORGANISATIONS, "nation"))
+
+
+FIGURES = "SELECT c_custkey AS row, CASE c_custkey % 4 WHEN 0 THEN concat('nation_', c_custkey % 30, ' borough') WHEN 1 THEN concat('Nation_', c_custkey % 30, ' UA') WHEN 2 THEN concat(' NATION_', c_custkey % 30) ELSE '' END AS area, c_custkey % 1000 AS stock, CASE WHEN c_custkey % 3 = 0 THEN c_nationkey END AS waiting FROM {customer}"
+
+
+@query(
+    "lahs_ingest",
+    f"WITH n AS (SELECT id, lower(name) AS name FROM ({ORGANISATIONS.format(nation='nation')}) x), f AS (SELECT *, lower(trim(area)) AS a FROM ({FIGURES.format(customer='customer')}) y WHERE trim(area) <> ''), m AS (SELECT f.*, coalesce((SELECT min(id) FROM n WHERE contains(n.name, left(a, 30))), (SELECT min(id) FROM n WHERE contains(n.name, string_split(a, ' ')[1]))) AS id FROM f) "
+    "SELECT id, area, stock, waiting FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY row DESC) AS rn FROM m WHERE id IS NOT NULL) z WHERE rn = 1",
+)
+def lahs_ingest(spark, d):
+    """Figures of areas at the council whose name holds the area's, or its first word."""
+    return ingests.council_figures(made(spark, d, ORGANISATIONS, "nation"), made(spark, d, FIGURES, "customer"))
+
+
+TITLED = "SELECT o_orderkey AS id, concat('Customer ', o_custkey, ' Homes Ltd') AS ours, concat(CASE WHEN o_orderkey % 3 = 0 THEN 'The ' ELSE '' END, 'Customer ', o_custkey + o_orderkey % 4, CASE WHEN o_orderkey % 2 = 0 THEN ' HOMES LIMITED' ELSE ' Home plc' END) AS title FROM {orders}"
+
+
+@query("sequence_match")
+def sequence_match(spark, d):
+    """Search hits whose title is a company's name, or nearly: equal keys, or a likeness of 0.92 by matching blocks."""
+    hits = made(spark, d, TITLED, "orders").withColumns({"a": title_key(F.col("ours")), "b": title_key(F.col("title"))}).where("a <> '' AND b <> ''")
+    equal = hits.where("a = b").withColumn("ratio", F.lit(1.0))
+    near = hits.where("a <> b").withColumn("ratio", sequence_ratio("a", "b")).where(F.col("ratio") >= LEAST_SEQUENCE)
+    return equal.unionByName(near).select("id", "ours", "title", F.round("ratio", 6).alias("ratio"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from brickwork.functions import extract, periods
+from brickwork.functions import dates, extract, periods
 from brickwork.functions import risk as r
 from brickwork.operators import snapshots
 from brickwork.plans.gaps import _code, _pick
@@ -196,3 +196,18 @@ _MONTHS = "CASE id % 6 WHEN 0 THEN o_custkey % 60 + 1 WHEN 1 THEN (o_custkey % 9
 def backfill_tiers(spark, d):
     """Ends from a known start and the term in the text; without both, start from the day of publication, award or entry, and the end from it."""
     return made(spark, d, DATED, "orders").select("id", periods.backfilled(F.col("starts"), F.col("ends"), F.col("description"), {"published": F.col("published"), "award": F.col("awarded"), "created": F.col("created")}).alias("b")).select("id", "b.*")
+
+
+WRITTEN = """SELECT o_orderkey AS id, CAST(o_orderdate AS DATE) AS day, o_orderkey % 11 AS form FROM {orders}"""
+_FORMS = ["yyyy-MM-dd", "dd/MM/yyyy", "dd-MM-yyyy", "d MMM yyyy", "d MMMM yyyy", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T23:59:59Z'", "yyyy-MM-dd'T23:30:00-05:00'", "yyyy-MM-dd' or so'"]
+_FITS = {"portal": (0, 1, 5, 6), "certificate": (0, 1, 3, 5, 6), "written": (0, 1, 2, 3, 4), "notice": (0, 5, 6, 7, 8, 9)}
+
+
+@query("date_families", "SELECT id, " + ", ".join(f"CASE WHEN form IN {fits}{' OR (form = 4 AND month(day) = 5)' if family == 'certificate' else ''} THEN day END AS {family}" for family, fits in _FITS.items()) + f" FROM ({WRITTEN.format(orders='orders')}) x")
+def date_families(spark, d):
+    """Order dates written in ten ways, or not at all, read by the list of formats of each family; a long and a short May are the same."""
+    w = made(spark, d, WRITTEN, "orders")
+    text = F.when(F.col("form") == 10, "soon")
+    for n, form in enumerate(_FORMS):
+        text = text.when(F.col("form") == n, F.concat(F.lit(" "), F.date_format(F.col("day").cast("timestamp"), form)))
+    return w.select("id", *[dates.parsed_date(text, f).alias(f) for f in dates.FAMILIES])

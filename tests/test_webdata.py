@@ -8,6 +8,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
+from brickwork import registry  # noqa: F401  first, as plans import each other through it
 from brickwork.functions import jsonld
 from brickwork.operators import registers, snapshots
 from brickwork.sources import archives
@@ -160,3 +161,32 @@ def test_ends_from_terms(spark, text, months):
         assert got == [(day, end, "duration"), (day, end, "published"), (day, end, "created"), (None, dt.date(2021, 1, 1), None), (None, None, None)]
     else:
         assert got == [(*r[:2], None) for r in rows]
+
+
+def test_sequence_match_by_difflib(spark):
+    import difflib
+    import re
+
+    from brickwork.plans import registers as plans
+
+    def key(name):
+        text = re.sub(r"[^a-z0-9 ]", " ", name.lower())
+        return re.sub(r"\s+", " ", re.sub(r"\b(limited|ltd|plc|llp|the|of|and|company|co|uk|group)\b", " ", text)).strip()
+
+    rows = plans.made(spark, "/root/testdata/sf0.001", plans.TITLED, "orders").collect()
+    ratios = {r.id: 1.0 if key(r.ours) == key(r.title) else difflib.SequenceMatcher(None, key(r.ours), key(r.title)).ratio() for r in rows}
+    got = {r.id: r.ratio for r in plans.sequence_match(spark, "/root/testdata/sf0.001").collect()}
+    assert got == {i: round(x, 6) for i, x in ratios.items() if x >= 0.92} and 0 < len(got) < len(rows)
+
+
+def test_sites_fill_what_is_missing(spark):
+    from brickwork.operators import ingests
+
+    columns = "reference string, council int, address string, postcode string, latitude double, longitude double, units int, status string"
+    state = spark.createDataFrame([("A", 1, "x", "", None, 2.0, None, "old"), ("B", 1, "y", "LS1", 1.0, 1.0, 5, "old")], columns)
+    sites = [(2, "A", "org", "new", "LS9", 7.0, 7.0, 70, "s"), (1, "A", "org", "first", "", None, 8.0, 60, "s"), (3, "C", "org", "c", "", None, None, None, "s"), (4, "C", "org", "d", "LS4", None, 4.0, None, "t"), (5, "", "org", "x", "", None, None, 1, "s"), (6, "D", "org", "", "", None, None, 1, "s"), (7, "E", "nobody", "e", "", None, None, 1, "s"), (8, None, "org", "e", "", None, None, 1, "s")]
+    rows = spark.createDataFrame(sites, "row int, reference string, organisation string, address string, postcode string, latitude double, longitude double, units int, status string")
+    councils = spark.createDataFrame([(1, "org"), (4, "org"), (5, "")], "id int, organisation string")
+    got = sorted(map(tuple, ingests.merged_sites(state, rows, councils).collect()))
+    assert got == [("A", 1, "x", "LS9", 7.0, 2.0, 60, "old"), ("B", 1, "y", "LS1", 1.0, 1.0, 5, "old"), ("C", 1, "c", "LS4", None, 4.0, None, "s")]
+    assert sorted(map(tuple, ingests.merged_sites(state.limit(0), rows.limit(0), councils).collect())) == []
