@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brickwork.functions.similarity import sorted_tokens, token_sort_ratio
+from brickwork.functions.similarity import sorted_tokens, text_ratio
 from brickwork.sources.workspace import written
 
 
@@ -100,7 +100,8 @@ def _by_rare_parts(a: DataFrame, b: DataFrame, least: int, most: int, salts: int
         firsts = F.slice(F.array_sort(F.collect_list(F.struct("rank", "part"))), 1, F.col("take"))["part"]
         return ranked.agg(firsts.alias("firsts")).select("text", "n", "firsts", F.explode("firsts").alias("part"))
 
-    x = rarest(x).withColumn("salt", F.pmod(F.xxhash64("text"), F.lit(salts)).cast("int"))
+    tasks = int(a.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # as a number: few texts may make many pairs
+    x = rarest(x).withColumn("salt", F.pmod(F.xxhash64("text"), F.lit(salts)).cast("int")).repartition(tasks, "part", "salt")
     y = rarest(y).select("part", F.col("text").alias("other"), F.col("n").alias("other_n"), F.col("firsts").alias("other_firsts"))
     y = y.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     near = (F.least("n", "other_n") >= c * (F.col("n") + F.col("other_n")) - 1e-9) & (F.greatest("n", "other_n") > most)
@@ -122,7 +123,7 @@ def similar_texts(left: DataFrame, right: DataFrame, least: int, most_keys: int
     short = met.select("text", "other", F.bround(200 * F.col("common") / (F.col("n") + F.col("other_n")), 0).cast("int").alias("score"))
     if right.where(F.length("text") > most).limit(1).count() + left.where(F.length("text") > most).limit(1).count():
         long = _by_rare_parts(a, b, least, most, salts).where("text <> other")
-        short = short.unionByName(long.withColumn("score", token_sort_ratio("text", "other")))
+        short = short.unionByName(long.withColumn("score", text_ratio("text", "other")))
     return short.where(F.col("score") >= least)
 
 

@@ -114,6 +114,14 @@ def test_similarity(spark):
     assert df.select(similarity.sequence_ratio("a", "b").alias("s")).collect()[1].s == difflib.SequenceMatcher(None, "abc", "abd").ratio()
 
 
+def test_ratios_of_many_pairs_at_once():
+    rng = random.Random(1)
+    texts = ["", "a", "é漢", "z" * 62, "z" * 63, "ab" * 50] + ["".join(rng.choice("abcd é") for _ in range(rng.randrange(70))) for _ in range(60)]
+    pairs = [(a, b) for a in texts for b in texts]
+    assert similarity.indel_ratios(*map(list, zip(*pairs))).tolist() == [similarity.indel_ratio(a, b) for a, b in pairs]
+    assert similarity.indel_ratios([], []).tolist() == []
+
+
 @pytest.mark.parametrize("least, most_keys", [(70, 2000), (80, 300), (80, 1), (94, 2000), (94, 40)])
 def test_similar_names_are_all_pairs(spark, least, most_keys):
     words = "unite students group homes limited greystar living property north star housing trust ab a".split()
