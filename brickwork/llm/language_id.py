@@ -171,7 +171,8 @@ def learn(df: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
     if not classes:
         return ByteCNN([], shape)
     rate = F.create_map(*[F.lit(x) for c in classes for x in (c, min(1.0, rows_per_language / counts[c]))])
-    drawn = F.pmod(F.xxhash64("i", F.lit(17)), F.lit(1_000_000)) < rate[F.col("l")] * 1_000_000
+    drawn = F.pmod(F.xxhash64("i", F.lit(17), F.when(F.col("i").isNull(), F.col("t"))), F.lit(1_000_000))  # rows without an id by their texts
+    drawn = drawn < rate[F.col("l")] * 1_000_000
     index, size = {c: k for k, c in enumerate(classes)}, shape.window
 
     def cut(batches):

@@ -242,7 +242,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """One row per row of ``df``: id, n_shingles, component_id, kept."""
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sketches = written_texts(_sketches(docs, width), "sketches")
-    reps = written(sketches.where("digest IS NOT NULL AND id IS NOT NULL").groupBy("digest").agg(F.min("id").alias("rid"), F.min_by("bands", "id").alias("bands")), "representatives")
+    reps = written(sketches.where("digest IS NOT NULL AND id IS NOT NULL").groupBy("digest").agg(F.min("id").alias("rid"), F.min_by("bands", "id").alias("bands"), F.count("*").alias("copies")), "representatives")
 
     members = reps.select(F.col("rid").alias("id"), F.explode("bands").alias("key"))
     salted = F.xxhash64("id", F.lit(7))
@@ -275,8 +275,11 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     if not more.isEmpty():
         label = components(links.unionByName(more), "a", "b")
 
-    rid = reps.select("digest", "rid").join(label.withColumnRenamed("node", "rid"), "rid", "left").select("digest", F.coalesce("component", "rid").alias("group"))
-    out = sketches.select("id", "n", "digest").join(rid, "digest", "left")
+    rid = reps.select("digest", "rid", "copies").join(label.withColumnRenamed("node", "rid"), "rid", "left")
+    rid = rid.select("digest", "copies", F.coalesce("component", "rid").alias("group"))
+    slim, grouped = sketches.select("id", "n", "digest"), F.col("digest").isNotNull() & F.col("id").isNotNull()
+    out = join_grouped(slim.where(grouped), rid, "digest", "copies", reps.agg(F.sum("copies")).first()[0] or 0)
+    out = out.unionByName(slim.where(~grouped).withColumn("group", F.lit(None).cast("long")))  # without words or an id: in no group
     component = F.when(F.col("id").isNotNull(), F.coalesce("group", "id"))
     kept = F.coalesce(F.col("id") == component, F.lit(True))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), kept.alias("kept"))

@@ -21,7 +21,8 @@ of 16-bit words of each lane, then the lanes' words.
 
 Defined results of ``write_and_read``. Null or empty text: only the end id. A
 null id comes first and stays null; rows with one id follow each other in the
-order of their texts, repeated rows too. Very long texts may reach over several
+order of their texts' first 64 characters, repeated rows too, over as many files
+as they need. Very long texts may reach over several
 blocks and make a file larger, never cut. An empty table gives an empty table.
 Other columns are not read, so their names can't clash.
 """
@@ -370,8 +371,9 @@ def write_tokens(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col
 
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     n = files or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    dealt = docs.repartitionByRange(n, "id").sortWithinPartitions("id", "text")
-    return written_texts(dealt.mapInArrow(write, "part long, number long, path string, tokens long, documents long"), "token-files"), folder
+    place = ["id", "head", "row"]  # rows of one id, or none, go to many tasks, equal ones too
+    dealt = docs.withColumns({"head": F.left("text", F.lit(64)), "row": F.monotonically_increasing_id()}).repartitionByRange(n, *place).sortWithinPartitions(*place)
+    return written_texts(dealt.select("id", "text").mapInArrow(write, "part long, number long, path string, tokens long, documents long"), "token-files"), folder
 
 
 def read_tokens(files: DataFrame, folder: str, with_ids: bool = False) -> DataFrame:

@@ -35,6 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import new_path, written
+from .components import join_grouped
 
 DATE = "2024-01-01T00:00:00Z"
 SHIFT = 1 << 63
@@ -114,10 +115,14 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     html = F.coalesce(F.col(html_col), F.lit("")).cast("binary")
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), html.alias("payload"))
     rows = rows.withColumn("digest", F.when(F.octet_length("payload") >= least_bytes, F.sha1("payload")))
-    first = rows.where("digest IS NOT NULL").groupBy("digest").agg(F.max("page_id").alias("response_id"), F.count("*").alias("n")).where("n > 1").drop("n")
-    first = written(first, "payloads")
-    few = first.limit(broadcast_rows + 1).count() <= broadcast_rows
-    rows = rows.join(F.broadcast(first) if few else first, "digest", "left")
+    known = rows.where("digest IS NOT NULL").groupBy("digest").agg(F.max("page_id").alias("response_id"), F.count("*").alias("n"))
+    first = written(known, "payloads")
+    several = first.where("n > 1")
+    if several.limit(broadcast_rows + 1).count() <= broadcast_rows:
+        rows = rows.join(F.broadcast(several.drop("n")), "digest", "left")
+    else:  # small payloads have no digest and stay where they are; the commonest ones meet by a bounded broadcast
+        small = rows.where("digest IS NULL").withColumn("response_id", F.lit(None).cast("long"))
+        rows = join_grouped(rows.where("digest IS NOT NULL"), first, "digest", "n", first.agg(F.sum("n")).first()[0] or 0).unionByName(small)
     refers = F.when(F.coalesce(F.col("page_id") != F.col("response_id"), F.col("response_id").isNotNull()), F.col("response_id"))
     rows = rows.select("page_id", "url", "payload", refers.alias("refers_to"))
     folder = new_path(spark, "archives")

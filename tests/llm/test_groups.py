@@ -295,6 +295,24 @@ def test_token_files(spark):
     assert token_codec.write_and_read(spark.createDataFrame([], DOCS), path).count() == 0
 
 
+def test_token_files_of_one_id(spark):
+    """Thousands of rows of one id, of none, and equal ones: each file has its share, and nothing is lost."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    rows = [(7, f"text {i % 50} {i}") for i in range(2000)] + [(None, f"no id {i}") for i in range(1500)] + [(9, "same")] * 1500 + [(3, "long " * 60_000), (11, None)]
+    df = spark.createDataFrame([(i, t, 0, "x", 1) for i, t in rows], DOCS).repartition(4)
+    files, folder = token_codec.write_tokens(df, path, "doc_id", "text", files=8)
+    by_part = {r.part: r.documents for r in files.groupBy("part").sum("documents").withColumnRenamed("sum(documents)", "documents").collect()}
+    assert sum(by_part.values()) == len(rows) and max(by_part.values()) < len(rows) / 4
+    got = token_codec.read_tokens(files, folder).orderBy("start").collect()
+    assert [r.id for r in got] == [None] * 1500 + [3] + [7] * 2000 + [9] * 1500 + [11]
+    tokenizer = Tokenizer.from_file(path)
+    crc = lambda t: zlib.crc32(np.array(tokenizer.encode(t or "", add_special_tokens=False).ids + [2], "<u4").tobytes())
+    key = lambda x: (x[0] is not None, x[0] or 0, x[1])
+    assert sorted(((r.id, r.ids_crc32) for r in got), key=key) == sorted(((i, crc(t)) for i, t in rows), key=key)
+    ends = [0, *np.cumsum([r.n_tokens for r in got]).tolist()]
+    assert [r.start for r in got] == ends[:-1]
+
+
 PAGES = "page_id long, url string, html string, file string, key string"
 
 
