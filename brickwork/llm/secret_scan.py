@@ -35,18 +35,22 @@ ASSIGN = re.compile(
 )
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
-#: Words end in "pass" (compass, bypass): in running text it must start a word, in names before a sign it must not end such a word.
-PASS = r"(?:(?:(?<![^\W\d_])|(?-i:(?<=[a-z])(?=P)))pass|(?<!com)(?<!kom)(?<!by)(?<!tres)(?<!sur)(?<!over)(?<!under)(?<!eng)(?<!reise)pass(?=[\"']?\x20*[:=]))"
-NAME = rf"(?:password|passwd|passphrase|pwd|{PASS}|secret|token|api_?key|access_?key|private_?key|credentials?|auth)"
+#: Names of credentials: words, and keys of something, written together, with a dash, an underscore or a space.
+KEY = r"(?:api|access|private|auth|secret|client|account|encryption|signing|shared|master|licen[cs]e)[_\x20-]?key"
+NAME = rf"(?:{KEY}|password|passwd|passphrase|pwd|pass|secret|token|credentials?|authorization|auth)"
 #: Words that say how the value behind them is to be read (HTTP authentication schemes).
 SCHEME = r"(?:bearer|basic|digest|negotiate|ntlm|oauth|dpop|gnap|hoba|hawk|jwt|mutual|vapid|token|api-?key|privatetoken|concealed|scram-sha-1|scram-sha-256|aws4-hmac-sha256|ssws)"
 #: A credential context: a name that ends in such a word, a sign, schemes; a value follows.
-CONTEXT = re.compile(rf"{NAME}(?:[\"']?\x20*[:=]\x20*|\x20+is\x20+)[\"']?((?:{SCHEME}\x20+)*+)", re.I | re.A)
+CONTEXT = re.compile(rf"(?P<name>{NAME})(?:[\"']?\x20*[:=]\x20*|\x20+is\x20+)[\"']?(?P<schemes>(?:{SCHEME}\x20+)*+)", re.I | re.A)
 VALUE = re.compile(r"[^\s\"'<>,;]*")
-#: A value that is no value: a scheme without one, or the name of a nested context (whose value is looked at in its turn).
-NO_VALUE = re.compile(rf"(?:{SCHEME}|[\w.-]*{NAME}[:=])\Z|{NAME}[:=]", re.I | re.A)
+#: A value that is no value: a scheme (with version or quality) without one, or the name of a nested context (whose value is looked at in its turn).
+NO_VALUE = re.compile(rf"{SCHEME}(?:[\d.]+(?:-[a-z]+)?)?\Z|[\w.-]*{NAME}[:=]\Z|{NAME}[:=]", re.I | re.A)
+#: A value that stands for another one: a variable, an address without a password in it.
+REFERENCE = re.compile(r"\$[{(]|\{\{|%[A-Za-z_]\w*%|\$[A-Z_]{2}[A-Z0-9_]*\Z|(?i:[a-z][a-z0-9+.-]*)://(?![^/]*:[^/]*@)", re.A)
+#: A value that is code: a name, perhaps of several parts, that is called, indexed or read.
+CODE = re.compile(r"([A-Za-z_]\w*(?:\.[A-Za-z_]\w*)*)(?:[(\[]|\Z)", re.A)
 #: In RE2's syntax, matching wherever one of the above can match.
-MAYBE = r"(?i)(password|passwd|passphrase|pwd|pass|secret|token|api_?key|access_?key|private_?key|credentials?|auth)[\"']?( *[:=]| +is )"
+MAYBE = r"(?i)(password|passwd|passphrase|pwd|pass|secret|token|key|credentials?|auth|authorization)[\"']?( *[:=]| +is )"
 MAYBE_CODE = r"AKIA|[0-9a-f]{32}"
 KINDS = ("assign", "access", "hex", "guess")
 
@@ -66,6 +70,10 @@ ROWS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm", "qazwsxedcrfvtgbyhnu
 JOINS = "-_/."
 LEET = str.maketrans("@4301$5!7", "aaeoissit")
 DATE = re.compile(r"(?:19|20)\d\d(?:[-/.]?(?:0[1-9]|1[0-2])(?:[-/.]?(?:0[1-9]|[12]\d|3[01]))?)?|(?:0[1-9]|[12]\d|3[01])[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:19|20)\d\d")
+#: A run of so many letters, to so many, whose pairs are on average as likely as this (log10) is a word of some language, if not a listed one, and as hard to guess as one of so many.
+COINED_LETTERS, COINED_MOST, COINED_PAIRS, COINED_WORDS = 8, 40, -1.36, 500_000
+#: Values are looked at in stretches of this length, then twice as long, until it is sure that they are hard to guess.
+STRETCH = 256
 NEXT_KEY = {(a, b) for row in ROWS for a, b in [*zip(row, row[1:]), *zip(row[1:], row)]}
 
 
@@ -93,6 +101,27 @@ def common_words() -> dict[str, int]:
     return {w: i for i, w in enumerate(ordered, 1)}
 
 
+@functools.lru_cache(1)
+def letter_pairs() -> tuple[dict[str, float], float]:
+    """log10 of how likely a letter (or the end, "$") follows another (or the start, "^") in the listed words of all languages; and that of a pair that never occurs."""
+    pairs: dict[str, int] = {}
+    firsts: dict[str, int] = {}
+    for w in common_words():
+        if w.isalpha():
+            for pair in map("".join, zip("^" + w, w + "$")):
+                pairs[pair] = pairs.get(pair, 0) + 1
+                firsts[pair[0]] = firsts.get(pair[0], 0) + 1
+    extra = 0.1 * len({p[1] for p in pairs})
+    return {p: math.log10((n + 0.1) / (firsts[p[0]] + extra)) for p, n in pairs.items()}, math.log10(0.1 / (max(firsts.values()) + extra))
+
+
+def coined(run: str) -> bool:
+    """Whether letters are put together as words are."""
+    known, never = letter_pairs()
+    lower = run.lower()
+    return COINED_LETTERS <= len(run) <= COINED_MOST and sum(known.get(a + b, never) for a, b in zip("^" + lower, lower + "$")) / (len(lower) + 1) >= COINED_PAIRS
+
+
 class GuessCost:
     """The least log10 of guesses over all ways to cut a value into known parts.
 
@@ -100,10 +129,15 @@ class GuessCost:
     value's length times the longest word, run or period looked at there.
     """
 
-    def __init__(self, words=None, max_period: int = 8):
+    def __init__(self, words=None, max_period: int = 8, coins: bool = True):
         self.ranks = common_words() if words is None else {w: i for i, w in reversed(list(enumerate(words, 1)))}
         self.longest = max(map(len, self.ranks), default=0)
         self.max_period = max_period
+        self.coins = coins
+
+    def known(self, run: str) -> bool:
+        """Whether letters are a listed word or one that could be."""
+        return len(run) <= 2 or run.lower() in self.ranks or coined(run)
 
     def parts(self, value: str) -> list[tuple[int, int, str, float]]:
         """Every known part as start, end, kind, log10 guesses."""
@@ -122,6 +156,10 @@ class GuessCost:
                 out.append((start, start + 1, "join", math.log10(len(JOINS))))
             if lower[start].isdigit() and (m := DATE.match(value, start)):
                 out.append((start, m.end(), "date", math.log10(365 * 120 if m.end() - start > 4 else 120)))
+        for m in re.finditer(r"[^\W\d_]+", value) if self.coins else ():  # words that no list has
+            if coined(run := m[0]):
+                shaped = run in (lower[m.start() : m.end()], run.capitalize(), run.upper())
+                out.append((m.start(), m.end(), "word", math.log10(COINED_WORDS) + (run[0] != lower[m.start()] if shaped else len(run)) * math.log10(2)))
         start = 0
         while start < n - 2:  # keyboard walks: maximal runs of neighbouring keys
             end = start + 1
@@ -149,8 +187,24 @@ class GuessCost:
         each = math.log10(sum((10, 26, 26, 33)[k] for k in kinds))
         return each * len(part)
 
-    def cut(self, value: str) -> tuple[float, list[tuple[int, int, str]]]:
-        """The least cost, and the parts of that cut; ties go to the fewer parts, then the longer last part."""
+    def least(self, value: str, enough: float) -> float:
+        """The cost of a value, or of a beginning that costs ``enough`` whatever follows.
+
+        A part that goes on beyond the beginning is cut short there: a repeat, walk or
+        brute-force span then costs no more than the whole, a word or date is left out
+        whole. So no cut of the whole costs less than the least of the states that are
+        at most the longest such part before the beginning's end.
+        """
+        size, reach = STRETCH, max(self.longest, 2 * self.max_period, COINED_MOST)
+        while size < len(value):
+            bound = min(s[0] for s in self._states(value[:size])[size - reach :])
+            if bound >= enough:
+                return bound
+            size *= 2
+        return self._states(value)[len(value)][0]
+
+    def _states(self, value: str) -> list[tuple]:
+        """For every end the best cut up to there: cost, number of parts, start and kind of the last one."""
         n = len(value)
         by_end: list[list] = [[] for _ in range(n + 1)]
         for start, end, kind, cost in self.parts(value):
@@ -164,6 +218,11 @@ class GuessCost:
             for start, kind, more in by_end[end]:
                 options.append((best[start][0] + more + 0.3, best[start][1] + 1, start, kind))
             best[end] = min(options)
+        return best
+
+    def cut(self, value: str) -> tuple[float, list[tuple[int, int, str]]]:
+        """The least cost, and the parts of that cut; ties go to the fewer parts, then the longer last part."""
+        best, n = self._states(value), len(value)
         out, end = [], n
         while end:
             _, _, start, kind = best[end]
@@ -181,8 +240,31 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return found
 
 
+def _is_context(text: str, m: re.Match, costs: GuessCost) -> bool:
+    """Whether a matched name is one: "pass" may be the end of another word (compass, bypass)."""
+    start = m.start()
+    if m["name"].lower() != "pass" or start == 0 or not text[start - 1].isalpha() or text[start] == "P" and text[start - 1].islower():
+        return True
+    if " is " in m[0].lower():
+        return False
+    while start and text[start - 1].isalpha():
+        start -= 1
+    return text[start : m.start() + 4].lower() not in costs.ranks
+
+
+def _stands_for_another(value: str, costs: GuessCost) -> bool:
+    """Whether a value is a variable, an address, a call or a path of names made of words."""
+    if REFERENCE.match(value):
+        return True
+    m = CODE.match(value)
+    if not m or m.end() == len(value) and value[-1] not in "([" and "." not in m[1]:
+        return False
+    runs = re.findall(r"[^\W\d_]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", m[1]))
+    return any(len(r) >= 4 for r in runs) and all(map(costs.known, runs))
+
+
 def guess_spans(text: str, base: list, costs: GuessCost, least: float) -> tuple[list, float]:
-    """Values in credential contexts that are hard to guess and not whole in a base or guess span, and the highest cost of any.
+    """Values in credential contexts that are hard to guess and not whole in a base or guess span, and the highest cost of any (of a long value: what was enough).
 
     Contexts may lie in the values of others: each is looked at, from its sign on.
     """
@@ -193,16 +275,16 @@ def guess_spans(text: str, base: list, costs: GuessCost, least: float) -> tuple[
         if start >= stop:  # else the value ends with that of the context around it
             stop = VALUE.match(text, start).end()
         value = text[start:stop] if stop - start >= 6 and stop > covered else ""
-        value = value.rstrip(".!?)")
-        if len(value) >= 6 and not NO_VALUE.match(value):
-            cost, _ = costs.cut(value)
+        value = value.rstrip(".!?)") if not value.endswith("()") else value
+        if len(value) >= 6 and not NO_VALUE.match(value) and _is_context(text, m, costs) and not _stands_for_another(value, costs):
+            cost = costs.least(value, least)
             most = max(most, cost)
             end = start + len(value)
             if cost >= least:
                 covered = stop
                 if not any(s <= start and end <= e for s, _, e in base):
                     out.append((start, 3, end))
-        m = CONTEXT.search(text, m.start(1))
+        m = CONTEXT.search(text, m.start("schemes"))
     return out, most
 
 
