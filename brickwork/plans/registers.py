@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from brickwork.functions.names import title_key
 from brickwork.functions.risk import regulatory_grades
 from brickwork.functions.similarity import LEAST_SEQUENCE, sequence_ratio
-from brickwork.operators import ingests
+from brickwork.operators import ingests, tenders
 from brickwork.operators import registers as r
 from brickwork.operators.matching import match_records
 from brickwork.plans.joins import _SCORE, _SORTED
@@ -165,3 +165,40 @@ def sequence_match(spark, d):
     equal = hits.where("a = b").withColumn("ratio", F.lit(1.0))
     near = hits.where("a <> b").withColumn("ratio", sequence_ratio("a", "b")).where(F.col("ratio") >= LEAST_SEQUENCE)
     return equal.unionByName(near).select("id", "ours", "title", F.round("ratio", 6).alias("ratio"))
+
+
+TENDERS = f"SELECT i.*, CASE WHEN row % 3 = 0 THEN concat('Yard ', row) ELSE '' END AS address, CASE row % 5 WHEN 0 THEN 'Managed Scheme' WHEN 1 THEN 'BTR' WHEN 2 THEN 'Senior' ELSE 'Care' END AS kind, CASE WHEN row % 4 <> 0 THEN row % 60 END AS owner, CASE WHEN row % 9 = 0 THEN row % 8 END AS manager, CASE WHEN row % 6 <> 0 THEN date_add(DATE '2020-01-01', CAST(row % 500 AS INTEGER)) END AS starts, CASE WHEN row % 8 <> 0 THEN date_add(DATE '2020-06-01', CAST(row % 900 AS INTEGER)) END AS ends, CASE row % 10 WHEN 0 THEN CAST(-1 AS DOUBLE) WHEN 1 THEN CAST(10000000000 AS DOUBLE) WHEN 2 THEN NULL ELSE CAST(row * 10 AS DOUBLE) END AS value FROM ({INCOMING}) i"
+KNOWN_SCHEMES = f"SELECT r.*, CASE WHEN id % 4 = 0 THEN name WHEN id % 4 = 1 THEN 'Old Yard' END AS address, CASE id % 5 WHEN 0 THEN 'PBSA' WHEN 1 THEN 'Managed Scheme' END AS kind, CASE WHEN id % 3 = 0 THEN id % 40 END AS owner, CASE WHEN id % 7 = 0 THEN id % 9 END AS manager, CASE WHEN id % 2 = 0 THEN DATE '2019-01-01' END AS starts, CASE WHEN id % 3 <> 0 THEN DATE '2021-06-01' END AS ends FROM ({RECORDS}) r"
+HELD = "SELECT p_partkey AS scheme, concat('R', p_partkey * 3) AS reference, DATE '2018-01-01' AS starts, DATE '2019-01-01' AS ends, CAST(5 AS DOUBLE) AS value, true AS is_current FROM {part} WHERE p_partkey % 2 = 0"
+_DATES = lambda sql: sql.replace("date_add(DATE '2020-01-01', CAST(row % 500 AS INTEGER))", "DATE '2020-01-01' + CAST(row % 500 AS INTEGER)").replace("date_add(DATE '2020-06-01', CAST(row % 900 AS INTEGER))", "DATE '2020-06-01' + CAST(row % 900 AS INTEGER)")
+_MERGED = (
+    f"i AS (SELECT * FROM ({_DATES(TENDERS).format(customer='customer')}) x WHERE (value IS NULL OR (value > 0 AND value < 1e10)) AND (starts IS NULL OR ends IS NULL OR ends >= starts)), k AS ({KNOWN_SCHEMES.format(part='part')}), h AS ({HELD.format(part='part')}), "
+    f"n AS (SELECT id, {_SORTED.format('name')} AS b FROM (SELECT * FROM k ORDER BY id DESC LIMIT 300) x), t AS (SELECT DISTINCT {_SORTED.format('title')} AS a FROM i), s AS (SELECT a, id, {_SCORE} AS score FROM t CROSS JOIN n), best AS (SELECT a, id FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, id DESC) AS rn FROM s WHERE score >= 80) y WHERE rn = 1), "
+    f"m AS (SELECT i.*, coalesce((SELECT min(id) FROM k WHERE k.reference = i.reference AND i.reference <> ''), best.id, (SELECT min(id) FROM k WHERE k.postcode = i.postcode AND k.operator = i.operator)) AS match FROM i LEFT JOIN best ON best.a = {_SORTED.format('title')}), "
+    "p AS (SELECT m.*, coalesce(match::VARCHAR, concat('new:', min(CASE WHEN match IS NULL THEN row END) OVER (PARTITION BY title))) AS scheme FROM m), "
+    "f AS (SELECT scheme, min(row) AS r0, arg_min(title, row) AS title, arg_min(kind, row) AS kind1, arg_min(kind, row) FILTER (WHERE kind <> 'Managed Scheme') AS kind2, max(ends) AS ends, arg_min(operator, row) FILTER (WHERE operator <> '') AS operator, arg_min(owner, row) FILTER (WHERE owner IS NOT NULL) AS owner, arg_min(manager, row) FILTER (WHERE manager IS NOT NULL) AS manager, arg_min(postcode, row) FILTER (WHERE postcode <> '') AS postcode, "
+    "arg_min(starts, row) FILTER (WHERE starts IS NOT NULL) AS starts, arg_min(reference, row) FILTER (WHERE reference <> '') AS reference, arg_min(address, row) FILTER (WHERE address <> '') AS address FROM p GROUP BY 1)"
+)
+
+
+def _merged(spark, d):
+    return tenders.merge_tenders(made(spark, d, KNOWN_SCHEMES, "part"), made(spark, d, HELD, "part"), made(spark, d, TENDERS, "customer"), newest=300)
+
+
+@query(
+    "tender_schemes",
+    f"WITH {_MERGED} SELECT coalesce(k.id::VARCHAR, f.scheme) AS id, coalesce(k.reference, f.reference) AS reference, CASE WHEN k.id IS NULL THEN f.title ELSE k.name END AS name, coalesce(k.postcode, f.postcode) AS postcode, coalesce(k.operator, f.operator) AS operator, CASE WHEN k.address IS NULL OR k.address = k.name THEN coalesce(f.address, k.address) ELSE k.address END AS address, "
+    "CASE WHEN k.id IS NULL THEN coalesce(kind2, kind1) WHEN k.kind IS NULL OR k.kind = 'Managed Scheme' THEN coalesce(kind2, k.kind) ELSE k.kind END AS kind, coalesce(k.owner, f.owner) AS owner, coalesce(k.manager, f.manager) AS manager, coalesce(k.starts, f.starts)::DATE AS starts, greatest(k.ends, f.ends)::DATE AS ends, CASE WHEN k.id IS NULL THEN 'created' WHEN f.scheme IS NOT NULL THEN 'updated' END AS change FROM k FULL JOIN f ON f.scheme = k.id::VARCHAR",
+)
+def tender_schemes(spark, d):
+    """A batch of tenders merged into the schemes: valid ones only, found by reference, name or place, fields filled, ends moved on."""
+    return _merged(spark, d)[0]
+
+
+@query(
+    "tender_contracts",
+    f"WITH {_MERGED}, g AS (SELECT p.* FROM p WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.scheme::VARCHAR = p.scheme AND h.reference = p.reference)), q AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY scheme, reference ORDER BY row) AS rn FROM g WHERE reference <> '') y WHERE rn = 1 UNION ALL SELECT *, 1 FROM g WHERE reference IS NULL OR reference = ''), l AS (SELECT scheme, max(row) AS last FROM q GROUP BY 1) "
+    "SELECT h.scheme::VARCHAR AS scheme, reference, starts::DATE AS starts, ends::DATE AS ends, value, is_current AND last IS NULL AS is_current FROM h LEFT JOIN l ON l.scheme = h.scheme::VARCHAR UNION ALL SELECT q.scheme, reference, starts::DATE, ends::DATE, value, row = last FROM q JOIN l USING (scheme)",
+)
+def tender_contracts(spark, d):
+    return _merged(spark, d)[1]
