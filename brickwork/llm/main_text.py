@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import long, release_memory, small_batches, string, text_slices, written_texts
+from .common import long, new_path, release_memory, small_batches, string, text_slices, written_texts
 from .components import join_grouped
 
 #: Elements whose content is no text of the page, as a whole or as containers.
@@ -356,7 +356,10 @@ def extract_main_text(df: DataFrame, id_col: str = "page_id", url_col: str = "ur
     """
     spark = df.sparkSession
     rows = df.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.monotonically_increasing_id().alias("row"), F.col(html_col).alias("html"))
-    parsed = written_texts(rows.mapInArrow(_parsed(depth), PARSED), "parsed")
+    path = new_path(spark, "parsed")
+    with small_batches(spark):
+        rows.mapInArrow(_parsed(depth), PARSED).write.option("compression", "zstd").parquet(path)  # whole texts, read twice
+    parsed = spark.read.schema(PARSED).parquet(path)
     shared = written_texts(_shared(parsed, depth, prose, clear), "shared")
     small = shared.limit(broadcast_rows + 1).count() <= broadcast_rows
     met = parsed.join(F.broadcast(shared) if small else shared, "row", "left").select("page_id", "url", "rank", "blocks", "of_block", "places")
