@@ -46,6 +46,48 @@ def company_tail(name: Column) -> Column:
     return F.trim(F.regexp_replace(F.upper(F.trim(name)), r"\s+(LIMITED|LTD\.?|PLC|LLP)$", ""))
 
 
+#: What comes before and after an authority's name, looked for in this order, one of each.
+AUTHORITY_PREFIXES = ["london borough of ", "royal borough of ", "city of ", "borough of ", "metropolitan borough of ", "district of ", "county of ", "council of the ", "the "]
+AUTHORITY_SUFFIXES = [
+    " borough council", " district council", " city council", " county council", " metropolitan district council", " metropolitan borough council", " council",
+    " dc", " bc", " cc", " mbc", " mdc",
+]
+#: Application states of a portal.
+PORTAL_STATES = {"Undecided": "Pending", "Permitted": "Approved", "Conditions": "Approved", "Refused": "Refused", "Withdrawn": "Withdrawn", "Appeal": "Appeal", "Referred": "Pending", "Not Available": "Unknown", "Other": "Unknown"}
+#: A planning reference, and how descriptions name an applicant.
+PLANNING_REFERENCE = r"\d+/|/\d+"
+APPLICANT_PATTERNS = [
+    r"(?:applicant|developer|client|proposed by|submitted by)[:\s]+([A-Z][A-Za-z\s&']+?)(?:\.|,|$)",
+    r"on behalf of\s+([A-Z][A-Za-z\s&']+?)(?:\.|,|\s+for|\s+at|$)",
+]
+
+
+def authority_name(name: Column) -> Column:
+    """Lower case, without the first prefix that fits, then without the first suffix that fits; empty for null."""
+    text = F.lower(F.trim(F.coalesce(name, F.lit(""))))
+    out = F
+    for p in AUTHORITY_PREFIXES:
+        out = out.when(F.startswith(text, F.lit(p)), F.substr(text, F.lit(len(p) + 1)))
+    text = out.otherwise(text)
+    out = F
+    for s in AUTHORITY_SUFFIXES:
+        out = out.when(F.endswith(text, F.lit(s)), F.left(text, F.length(text) - len(s)))
+    return F.trim(out.otherwise(text))
+
+
+def portal_state(raw: Column) -> Column:
+    """A portal's state, by the table, else by the words of the status."""
+    known = F.create_map(*[F.lit(x) for p in PORTAL_STATES.items() for x in p])
+    return F.coalesce(F.try_element_at(known, F.coalesce(raw, F.lit(""))), status(raw))
+
+
+def applicant_of(name: Column, description: Column) -> Column:
+    """The applicant's name unless it is a planning reference, else the first that the description names, of 4 to 99 characters."""
+    own = F.when((name != "") & ~name.rlike(PLANNING_REFERENCE), name)
+    found = [F.trim(F.regexp_extract(description, p, 1)) for p in APPLICANT_PATTERNS]
+    return F.coalesce(own, *[F.when(F.length(f).between(4, 99), f) for f in found])
+
+
 def title_key(name: Column) -> Column:
     """A name for comparison with a register's: without forms and common words."""
     text = F.regexp_replace(F.lower(name), "[^a-z0-9 ]", " ")

@@ -111,3 +111,40 @@ def area_name(name: Column) -> Column:
     known = F.create_map(*[F.lit(x) for pair in AREA_ALIASES.items() for x in pair])
     plain = F.regexp_replace(F.coalesce(F.try_element_at(known, text), text), r"\b(city of|county of|the)\b", " ")
     return squeeze(F.regexp_replace(plain, "[^a-z ]", " "))
+
+
+#: Fixed value: what sites add to the names of their pages.
+SITE_NAMES = (
+    r"(?i)\s*[|\-–—]\s*(yugo|hello student.*|host.*|study inn.*|abodus.*|iq student.*|student roost.*|mezzino.*|downing students.*|collegiate.*|prestige student living.*|vita student.*|"
+    r"crm students.*|book direct.*|student accommodation.*)\s*$"
+)
+#: Character references in titles and descriptions.
+REFERENCES = {"&quot;": '"', "&#39;": "'", "&lt;": "<", "&gt;": ">", "&nbsp;": " ", "&amp;": "&"}
+
+
+def plain(text: Column) -> Column:
+    """Character references decoded, white space single."""
+    for reference, sign in REFERENCES.items():
+        text = F.replace(text, F.lit(reference), F.lit(sign))
+    return F.trim(F.regexp_replace(text, r"\s+", " "))
+
+
+def page_title(html: Column) -> Column:
+    return plain(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1))
+
+
+def page_heading(html: Column) -> Column:
+    """The first heading, without the markup in it."""
+    return plain(F.regexp_replace(F.regexp_extract(html, r"(?is)<h1[^>]*>(.*?)</h1>", 1), "<[^>]+>", " "))
+
+
+def page_meta(html: Column, name: str) -> Column:
+    """The content of a meta element with this name or property; empty without one."""
+    return plain(F.regexp_extract(html, rf"(?is)<meta\s[^>]*(?:name|property)=[\"']{name}[\"'][^>]*?content=[\"'](.*?)[\"']", 1))
+
+
+def site_free(name: Column, times: int = 3) -> Column:
+    """A page's name without what its site adds, up to ``times`` over."""
+    for _ in range(times):
+        name = F.trim(F.regexp_replace(name, SITE_NAMES, ""))
+    return F.trim(F.regexp_replace(name, r"^[ ,|\-–]+|[ ,|\-–]+$", ""))

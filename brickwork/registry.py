@@ -27,4 +27,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-from brickwork.plans import aggregates, domain, enrichment, filters, gaps, ingest, joins, mutation, ordering, pipelines, prose, registers, risk, schemes, text, webdata  # noqa: E402, F401
+from brickwork.plans import aggregates, domain, enrichment, filters, gaps, ingest, joins, loaders, mutation, ordering, pipelines, prose, registers, risk, schemes, text, webdata  # noqa: E402, F401
