@@ -341,3 +341,29 @@ def test_warc_edges(spark):
     assert warc.id_key(-5) < warc.id_key(0) < warc.id_key(2**62) and warc.id_key(None) < warc.id_key(-(2**63))
     with pytest.raises(ValueError):
         warc.parse_record(b"no")
+
+
+def test_very_long_texts(spark):
+    """Near copies of 200,000 words, a page of several megabytes, one word of a million letters."""
+    rng = random.Random(12)
+    words = [f"w{rng.randrange(50_000)}" for _ in range(200_000)]
+    other = [w if rng.random() < 0.99 else "x" for w in words]
+    far = [w if rng.random() < 0.5 else f"y{rng.randrange(10**6)}" for w in words]
+    rows = [(1, " ".join(words)), (2, " ".join(other)), (3, " ".join(far)), (4, "short")]
+    df = spark.createDataFrame([(i, t, 0, "x", 1) for i, t in rows], DOCS)
+    got = {r.doc_id: (r.component_id, r.n_shingles) for r in near_dup.near_duplicates(df, width=4, percent=80).collect()}
+    expected = brute_groups(rows, 4, 80)
+    assert got == {i: (e[1], e[0]) for i, e in expected.items()} and got[2][0] == 1 and got[3][0] == 3
+
+    html = "<p>é</p>" * 600_000
+    pages = spark.createDataFrame([(1, "http://a.example/x", html, "f", "k"), (2, "http://a.example/y", html, "f", "k")], PAGES)
+    read = {r.page_id: (r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.archive_and_read(pages).collect()}
+    digest = hashlib.sha1(html.encode()).hexdigest()
+    assert read == {1: (len(html.encode()), digest, "revisit", 2), 2: (len(html.encode()), digest, "response", None)}
+
+    word = "".join(rng.choice("abcdefghij") for _ in range(1_000_000))
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    (row,) = piece_bpe.encode_decode(spark.createDataFrame([(1, word, 0, "x", 1)], DOCS), path).collect()
+    ids = sentencepiece.SentencePieceProcessor(model_file=path).encode(word)
+    assert row.n_tokens == len(ids) and row.ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+    assert row.decoded_sha256 == hashlib.sha256(word.encode()).hexdigest()
