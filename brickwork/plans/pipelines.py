@@ -9,7 +9,7 @@ from brickwork.functions import periods, prose
 from brickwork.functions import schemes as rules
 from brickwork.operators import attribution, changes
 from brickwork.operators.joining import best_per_key
-from brickwork.plans.schemes import pick, pick_sql
+from brickwork.plans.schemes import pick_sql
 from brickwork.registry import query, table
 from brickwork.sources import files
 from brickwork.sources.workspace import new_path

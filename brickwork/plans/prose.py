@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from brickwork.functions import names as n
 from brickwork.functions import periods, prose, ratings
 from brickwork.functions.similarity import token_sort_ratio
+from brickwork.plans.pipelines import _code
 from brickwork.plans.schemes import has_sql, key, pick, pick_sql, quoted
 from brickwork.plans.text import SQUEEZE
 from brickwork.registry import query, table
@@ -58,36 +59,48 @@ def date_scan(spark, d):
     return table(spark, d, "orders").select("o_orderkey", F.inline(periods.days_in(text)))
 
 
-def golden(name: str, cases: list[tuple], expression, kind: str = "VARCHAR") -> None:
-    """Register an expression over the cases' texts, given to the parts in turn, with what they must give as SQL."""
-    texts, wanted = [c[0] for c in cases], [None if c[1] is None else str(c[1]) for c in cases]
+#: Marks in the cases' texts and answers, and what columns put there: a name as such, capitalised, a year, a number, a code with and without its space.
+MARKS = {"{n}": "p_name", "{N}": "concat(upper(substr(p_name, 1, 1)), substr(p_name, 2))", "{y}": "CAST(2000 + p_partkey % 25 AS VARCHAR(9))", "{k}": "CAST(p_partkey AS VARCHAR(19))", "{c}": _code("p_partkey", "p_size"), "{s}": f"replace({_code('p_partkey', 'p_size')}, ' ', '')"}
 
-    @query(name, f"SELECT p_partkey AS id, CAST({pick_sql(wanted, 'p_partkey')} AS {kind}) AS found FROM part")
+
+def _marked(text: str) -> str:
+    for mark, value in MARKS.items():
+        text = f"replace({text}, '{mark}', {value})"
+    return text
+
+
+def golden(name: str, cases: list[tuple], expression, kind: str = "VARCHAR", before: str = "") -> None:
+    """Register an expression over the cases' texts, given to the parts in turn and filled from their columns, with what they must give as SQL."""
+    texts, wanted = [None if c[0] is None else before + c[0] for c in cases], [None if c[1] is None else str(c[1]) for c in cases]
+
+    @query(name, f"SELECT p_partkey AS id, CAST({_marked(pick_sql(wanted, 'p_partkey'))} AS {kind}) AS found FROM part")
     def run(spark, d):
-        return table(spark, d, "part").select(key().alias("id"), expression(pick(texts, key())).alias("found"))
+        made = table(spark, d, "part").withColumn("text", pick(texts, key())).withColumn("text", F.expr(_marked("text")))
+        return made.select(key().alias("id"), expression(F.col("text")).alias("found"))
 
 
+LOT = "Lot {k} of {y}, {n}: "
 golden("named_operator", [
-    ("The work was awarded to Northmoor Homes Ltd, which starts in May", "Northmoor Homes Ltd"),
-    ("a contract with Vale & Sons Housing Association for repairs", "Vale & Sons Housing Association"),
-    ("The block is managed by the council", None),
-    ("Homes managed by Redbrick Living Limited.", "Redbrick Living Limited"),
-    ("the provider will be Ash Services", "Ash Services"),
-    ("Incumbent: Harbour Trust", "Harbour Trust"),
+    ("The work was awarded to {N} Homes Ltd, which starts in May {y}", "{N} Homes Ltd"),
+    ("a contract with Vale & {N} Housing Association for {k} repairs", "Vale & {N} Housing Association"),
+    ("The block is managed by the council of {N}", None),
+    ("Homes managed by {N} Living Limited.", "{N} Living Limited"),
+    ("the provider will be {N} Services", "{N} Services"),
+    ("Incumbent: {N} Trust", "{N} Trust"),
     ("delivered by suitably qualified Services", None),
-    ("no company", None), ("", None), (None, None),
-], prose.named_operator)
+    ("no company in {n}", None), ("", None), (None, None),
+], prose.named_operator, before=LOT)
 golden("named_manager", [
-    ("The asset manager is Orchard Capital.", "Orchard Capital"), ("Fund manager: Mill Lane Partners", "Mill Lane Partners"),
-    ("asset management by Stonegate REIT", "Stonegate REIT"), ("a manager is sought", None), ("", None), (None, None),
-], prose.named_manager)
+    ("The asset manager is {N} Capital.", "{N} Capital"), ("Fund manager: {N} Lane Partners", "{N} Lane Partners"),
+    ("asset management by {N} REIT", "{N} REIT"), ("a manager is sought for {N}", None), ("", None), (None, None),
+], prose.named_manager, before=LOT)
 golden("company_valid", [
-    ("Northmoor Homes Ltd", True), ("2015/06678/PA", False), ("www.site.uk", False), ("the provider of Homes", False), ("Required Homes", False), ("lower case", False),
-    ("12", False), ("1234 5678 A", False), ("A1 Homes", True), ("Watch this notice", False), ("x" * 121, False), ("", False), (None, False), (" Åse Bygg ", True),
+    ("{N} Homes Ltd", True), ("{y}/0{k}/PA", False), ("www.{n}.uk", False), ("the provider of {N}", False), ("Required {N} Homes", False), ("{n}", False),
+    ("12", False), ("1234 5678 A", False), ("A1 {N}", True), ("Watch this notice", False), ("x" * 121, False), ("", False), (None, False), (" Åse {N} ", True),
 ], prose.valid_company, "BOOLEAN")
-golden("title_relevant", [("Fund Manager", True), ("Fund manager, loans", False), ("Head of Living", True), ("COO", True), ("Site Engineer", False), ("Sales Director", True), ("", False), (None, False)], prose.relevant_title, "BOOLEAN")
-golden("area_key", [("Bristol, City of", "bristol"), ("St. Helens", "st helens"), ("The Vale", "vale"), (" City of  York ", "york"), ("Stoke-on-Trent", "stoke on trent"), ("", ""), (None, "")], prose.area_name)
-golden("postcode_norm", [("ls14bd", "LS1 4BD"), (" ls1  4bd ", "LS1 4BD"), ("LS14", "LS14"), ("n1", "N1"), ("", ""), (None, None)], lambda c: n.spaced_postcode(c, 5))
+golden("title_relevant", [("Fund Manager", True), ("Fund manager, {n}", False), ("Head of Living, {N}", True), ("COO", True), ("Site Engineer {k}", False), ("{N} Sales Director", True), ("", False), (None, False)], prose.relevant_title, "BOOLEAN")
+golden("area_key", [("Bristol, City of", "bristol"), ("St. Helens", "st helens"), ("The {N}", "{n}"), (" City of  {N} ", "{n}"), ("{N}-on-Trent {k}", "{n} on trent"), ("", ""), (None, "")], prose.area_name)
+golden("postcode_norm", [("{s}", "{c}"), (" {c} ", "{c}"), ("LS14", "LS14"), ("n1", "N1"), ("", ""), (None, None)], lambda c: n.spaced_postcode(c, 5))
 
 
 NAMES = ["Red Homes Limited", "The Blue Housing Group (UK) Ltd", "London Borough of Ash Council", "Ash LLP INC", "Holdings of the City & Co. Limited", "Vale  Ltd LLC", "", None]
