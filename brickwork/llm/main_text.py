@@ -174,9 +174,8 @@ class _Page:
         inside = max((o.rank for o in self.stack), default=NONE)
         rank, around = NONE, False
         if name not in ("html", "body"):
-            around = named_around(words) or role in ROLES or name in AROUND and not (name == "header" and inside)
-            if name == "header" and inside and not named_around([w for w in words if w != "header"]):
-                around = False
+            own = [w for w in words if w != "header"] if inside >= MAIN or name == "header" and inside else words  # an article's own header is part of it
+            around = named_around(own) or role in ROLES or name in AROUND and not (name == "header" and inside)
             if not around:
                 rank = ARTICLE if name == "article" or role == "article" or declared else MAIN if name == "main" or role == "main" else CONTAINER if not inline and CONTENT & set(words) else NONE
         if rank >= MAIN or name == "h1" and not around:

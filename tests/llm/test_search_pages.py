@@ -135,6 +135,7 @@ def alone(page):
         ("<article><p>1 < 2 and 3 > 2</p><p title='a > b'>ok</p><p>x<span class=ad>buy</span>y</p><p style='display: none'>no</p><p hidden>no</p></article>", "1 < 2 and 3 > 2\nok\nxy"),
         ("<ul><li><a href=1>One</a></li><li><a href=2>Two</a></li></ul><p>The story of a <a href=3>link</a> in a long text.</p>", "The story of a link in a long text."),
         ("<article><ul><li>one<ul><li>inner</ul><li>two</ul><table><tr><td>a<td>b</table><pre>x\n  y</pre></article>", "one\ninner\ntwo\na\nb\nx y"),
+        ("<div class=header>Site</div><main><div class='header big'><h1>Head</h1></div><div class=advert>Buy</div><p>Body</p><p class=notice>Mind</p><div id=reader-comments>Hm</div></main>", "Head\nBody"),
         ("<article><p>cut <a href='x", "cut"),
         ("<article><p>open <!-- comment never ends", "open"),
         ("<ARTICLE><P>Upper</P></ARTICLE></div></p><p>after", "Upper"),
