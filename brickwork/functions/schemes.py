@@ -203,9 +203,9 @@ def about_housing(codes: Column, text: Column) -> Column:
 
 def most_keywords(text: Column, classes=None) -> Column:
     """The class with most of its keywords in the text, the first of equals; null without any."""
-    lowered = F.lower(text)
-    hits = [(name, reduce(lambda a, b: a + b, [F.contains(lowered, F.lit(w.lower())).cast("int") for w in words])) for name, words in (classes or CONTRACT_KEYWORDS).items()]
-    ranked = F.array(*[F.struct(F.coalesce(n, F.lit(0)).alias("n"), F.lit(-k).alias("order"), F.lit(name).alias("name")) for k, (name, n) in enumerate(hits)])
+    words_in = lambda t, words: F.size(F.filter(F.array(*[F.lit(w.lower()) for w in words]), lambda w: F.contains(t, w)))  # noqa: E731  lists of words as data, not as code
+    ranks = lambda t: F.array(*[F.struct(words_in(t, words).alias("n"), F.lit(-k).alias("order"), F.lit(name).alias("name")) for k, (name, words) in enumerate((classes or CONTRACT_KEYWORDS).items())])
+    ranked = F.get(F.transform(F.array(F.lower(F.coalesce(text, F.lit("")))), ranks), F.lit(0))  # the text is lowered once
     best = F.array_max(ranked)
     return F.when(best["n"] > 0, best["name"])
 
