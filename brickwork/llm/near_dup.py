@@ -276,9 +276,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         label = components(links.unionByName(more), "a", "b")
 
     rid = reps.select("digest", "rid", "copies").join(label.withColumnRenamed("node", "rid"), "rid", "left")
-    rid = rid.select("digest", "copies", F.coalesce("component", "rid").alias("group"))
+    rid = written(rid.select("digest", "copies", F.coalesce("component", "rid").alias("group")), "labels")  # read twice
     slim, grouped = sketches.select("id", "n", "digest"), F.col("digest").isNotNull() & F.col("id").isNotNull()
-    out = join_grouped(slim.where(grouped), rid, "digest", "copies", reps.agg(F.sum("copies")).first()[0] or 0)
+    out = join_grouped(slim.where(grouped), rid, "digest", "copies", rid.agg(F.sum("copies")).first()[0] or 0)
     out = out.unionByName(slim.where(~grouped).withColumn("group", F.lit(None).cast("long")))  # without words or an id: in no group
     component = F.when(F.col("id").isNotNull(), F.coalesce("group", "id"))
     kept = F.coalesce(F.col("id") == component, F.lit(True))
