@@ -3,7 +3,7 @@
 Two texts of m and n letters score round(200 * L / (m + n)), L being the length
 of their longest common subsequence. A score of ``least`` asks for L of
 c * (m + n) or more, so each side loses few letters: a text is listed, for each
-length a partner may have, with all its subsequences that are long enough, and
+length a partner has, with all its subsequences that are long enough, and
 two texts meet exactly in their common ones. The longest one in which they meet is
 L, so no pair is compared, and what meets is what scores. Texts that would be
 listed more than ``most_keys`` times meet the others in their rarest letters or
@@ -46,22 +46,39 @@ def longest_listed(least: int, most_keys: int) -> int:
     return m
 
 
-def _listed(texts: DataFrame, least: int, most: int, left: bool) -> DataFrame:
-    """text, n, key: each text of up to ``most`` letters with both lengths of a pair (three digits each) and each subsequence that is long enough for it."""
+def _listed(texts: DataFrame, least: int, most: int, lengths: list[int], left: bool) -> DataFrame:
+    """item, n, key: each text of up to ``most`` letters with both lengths of a pair (three digits each) and each subsequence that is long enough for it.
+
+    Partners have one of ``lengths``. A common subsequence has the letters of the
+    shorter text at most, and fewer where the lengths are equal, as equal texts are no pair.
+    """
 
     @F.pandas_udf("array<string>")
     def keys(column: pd.Series) -> pd.Series:
         def of(t: str) -> list[str]:
-            m, found = len(t), []
-            subsequences = [{"".join(c) for c in combinations(t, m - k)} for k in range(m - min(partners(m, least).values()) + 1)]
+            m, found, subsequences = len(t), [], {}
             for n, enough in partners(m, least).items():
-                if n <= most:
-                    found += [(f"{m:03d}{n:03d}" if left else f"{n:03d}{m:03d}") + x for k in range(m - enough + 1) for x in subsequences[k]]
+                if n in lengths:
+                    for k in range(m - min(n, m - (m == n)), m - enough + 1):
+                        if k not in subsequences:
+                            subsequences[k] = {"".join(c) for c in combinations(t, m - k)}
+                        found += [(f"{m:03d}{n:03d}" if left else f"{n:03d}{m:03d}") + x for x in subsequences[k]]
             return found
 
         return column.map(of)
 
-    return texts.where(F.col("n") <= most).withColumn("key", F.explode(keys("text")))
+    return texts.where(F.col("n") <= most).select("item", "n", F.explode(keys("text")).alias("key"))
+
+
+def _met(a: DataFrame, b: DataFrame, least: int, most: int, once: bool = False) -> DataFrame:
+    """item, other, score: pairs of texts (item, text, n) of up to ``most`` letters that score ``least``; ``once``: ``b`` is ``a``, and pairs begin with the smaller item."""
+    lengths = lambda df: [r.n for r in df.where(F.col("n") <= most).select("n").distinct().collect()]  # noqa: E731  up to ``most`` numbers
+    x = _listed(a, least, most, of := lengths(b), True)
+    y = _listed(b, least, most, of if once else lengths(a), False).select("key", F.col("item").alias("other"), F.col("n").alias("other_n"))
+    met = x.join(y.hint("merge"), "key").where("item < other" if once else "item <> other")  # Spark takes the keys for as small as the texts, and would send them all to the driver
+    met = met.groupBy("item", "other", (F.col("n") + F.col("other_n")).alias("letters")).agg((F.max(F.length("key")) - 6).alias("common"))
+    score = F.bround(200 * F.col("common") / F.col("letters"), 0).cast("int")
+    return met.select("item", "other", score.alias("score")).where(F.col("score") >= least)
 
 
 def _by_rare_parts(a: DataFrame, b: DataFrame, least: int, most: int, salts: int) -> DataFrame:
@@ -96,7 +113,7 @@ def _by_rare_parts(a: DataFrame, b: DataFrame, least: int, most: int, salts: int
     counts = x.unionAll(y).select(F.explode("parts").alias("part")).groupBy("part").agg(F.count("*").alias("rank"))
 
     def rarest(df: DataFrame) -> DataFrame:
-        ranked = df.select("text", "n", "take", F.explode("parts").alias("part")).join(counts, "part").groupBy("text", "n", "take")
+        ranked = df.select("text", "n", "take", F.explode("parts").alias("part")).join(counts.hint("merge"), "part").groupBy("text", "n", "take")
         firsts = F.slice(F.array_sort(F.collect_list(F.struct("rank", "part"))), 1, F.col("take"))["part"]
         return ranked.agg(firsts.alias("firsts")).select("text", "n", "firsts", F.explode("firsts").alias("part"))
 
@@ -106,7 +123,11 @@ def _by_rare_parts(a: DataFrame, b: DataFrame, least: int, most: int, salts: int
     y = y.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     near = (F.least("n", "other_n") >= c * (F.col("n") + F.col("other_n")) - 1e-9) & (F.greatest("n", "other_n") > most)
     once = F.array_intersect("firsts", "other_firsts")[0] == F.col("part")  # a pair is met in the rarest part that it shares
-    return x.join(y, ["part", "salt"]).where(near & once).select("text", "other")
+    return x.join(y.hint("merge"), ["part", "salt"]).where(near & once).select("text", "other")
+
+
+def _any(df: DataFrame, condition) -> bool:
+    return not df.where(condition).limit(1).isEmpty()
 
 
 def similar_texts(left: DataFrame, right: DataFrame, least: int, most_keys: int = 2000, salts: int = 8) -> DataFrame:
@@ -118,13 +139,11 @@ def similar_texts(left: DataFrame, right: DataFrame, least: int, most_keys: int
     most = longest_listed(least, most_keys)
     tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # given as a number, so that few texts, which take long each, still go to many tasks
     a, b = (df.select("text").where("text <> ''").distinct().repartition(tasks, "text").withColumn("n", F.length("text")) for df in (left, right))
-    x, y = _listed(a, least, most, True), _listed(b, least, most, False).select("key", F.col("text").alias("other"), F.col("n").alias("other_n"))
-    met = x.join(y, "key").where("text <> other").groupBy("text", "other", "n", "other_n").agg((F.max(F.length("key")) - 6).alias("common"))
-    short = met.select("text", "other", F.bround(200 * F.col("common") / (F.col("n") + F.col("other_n")), 0).cast("int").alias("score"))
-    if right.where(F.length("text") > most).limit(1).count() + left.where(F.length("text") > most).limit(1).count():
+    short = _met(*(df.withColumn("item", F.col("text")) for df in (a, b)), least, most).withColumnRenamed("item", "text")
+    if _any(right, F.length("text") > most) or _any(left, F.length("text") > most):
         long = _by_rare_parts(a, b, least, most, salts).where("text <> other")
-        short = short.unionByName(long.withColumn("score", text_ratio("text", "other")))
-    return short.where(F.col("score") >= least)
+        short = short.unionByName(long.withColumn("score", text_ratio("text", "other")).where(F.col("score") >= least))
+    return short
 
 
 def _with_text(df: DataFrame, name: str) -> DataFrame:
@@ -150,29 +169,39 @@ def best_similar(left: DataFrame, left_id: str, left_name: str, right: DataFrame
     a = written(_with_text(left.select(F.col(left_id).alias("id"), F.col(left_name).alias("name")).where("name IS NOT NULL"), "name").select("id", "text"), "names")
     b = written(_with_text(right.select(F.col(right_id).alias("right_id"), F.col(right_name).alias("name")).where("name IS NOT NULL"), "name").groupBy(F.col("text").alias("other")).agg(F.min("right_id").alias("right_id")), "others")
     texts, known = a.select("text").where("text <> ''").distinct(), b.select(F.col("other").alias("text"))
-    found = [written(texts.join(b, F.col("text") == F.col("other")).select("text", "right_id", F.lit(100).alias("score")), "equal")]
+    found = [written(texts.join(b.hint("merge"), F.col("text") == F.col("other")).select("text", "right_id", F.lit(100).alias("score")), "equal")]
     for level in [*range(100 - step, least, -step), least]:
-        texts = written(texts.join(found[-1], "text", "left_anti"), "open")
+        texts = written(texts.join(found[-1].hint("merge"), "text", "left_anti"), "open")
         if texts.isEmpty():
             break
-        best = similar_texts(texts, known, level, **options).join(b, "other")
+        best = similar_texts(texts, known, level, **options).join(b.hint("merge"), "other")
         best = best.groupBy("text").agg(F.max_by(F.struct("right_id", "score"), F.struct("score", -F.col("right_id"))).alias("b")).select("text", "b.*")
         found.append(written(best, "best"))
     every = found[0]
     for f in found[1:]:
         every = every.unionByName(f)
-    return a.join(every, "text").select(F.col("id").alias(left_id), F.col("right_id").alias(right_id), "score")
+    return a.join(every.hint("merge"), "text").select(F.col("id").alias(left_id), F.col("right_id").alias(right_id), "score")
 
 
-def duplicate_names(df: DataFrame, id_col: str, name_col: str, least: int, **options) -> tuple[DataFrame, DataFrame]:
+def duplicate_names(df: DataFrame, id_col: str, name_col: str, least: int, most_keys: int = 2000, salts: int = 8) -> tuple[DataFrame, DataFrame]:
     """Candidates for review: (pairs of representatives: id, other, score) and (members: id, representative).
 
     Rows whose names have the same words are one class, its least id represents
     it, so a name that occurs a million times is one text and no pairs of its own.
     """
     rows = written(_with_text(df.select(F.col(id_col).alias("id"), F.col(name_col).alias("name")).where("name IS NOT NULL"), "name").where("text <> ''").select("id", "text"), "names")
-    first = rows.groupBy("text").agg(F.min("id").alias("representative"))
-    members = rows.join(first, "text").select("id", "representative")
-    pairs = similar_texts(rows, rows, least, **options).where("text < other")
-    ends = pairs.join(first, "text").withColumnRenamed("representative", "a").join(first.select(F.col("text").alias("other"), F.col("representative").alias("b")), "other")
-    return ends.select(F.least("a", "b").alias("id"), F.greatest("a", "b").alias("other"), "score"), members
+    first = written(rows.groupBy("text").agg(F.min("id").alias("representative")), "classes")
+    members = rows.join(first.hint("merge"), "text").select("id", "representative")
+    most = longest_listed(least, most_keys)
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # as a number, as above
+    shared = not first.groupBy("representative").count().where("count > 1").isEmpty()  # one id with several names
+    item = F.struct("representative", "text") if shared else F.col("representative")
+    of = lambda end: (F.col(end)["representative"] if shared else F.col(end))
+    texts = first.select(item.alias("item"), "text", F.length("text").alias("n")).repartition(tasks, "item")
+    pairs = _met(texts, texts, least, most, once=True).select(of("item").alias("id"), of("other").alias("other"), "score")
+    if _any(texts, F.col("n") > most):
+        long = _by_rare_parts(texts, texts, least, most, salts).where("text < other")
+        long = long.withColumn("score", text_ratio("text", "other")).where(F.col("score") >= least)
+        ends = long.join(first.withColumnRenamed("representative", "a").hint("merge"), "text").join(first.select(F.col("text").alias("other"), F.col("representative").alias("b")).hint("merge"), "other")
+        pairs = pairs.unionByName(ends.select(F.least("a", "b").alias("id"), F.greatest("a", "b").alias("other"), "score"))
+    return pairs.where("id < other"), members

@@ -154,6 +154,38 @@ def test_equal_names_are_members_not_pairs(spark):
     assert {r.id: r.representative for r in members.collect()} == {i: 5 for i in range(5, 45)} | {1: 1, 2: 2}
 
 
+def test_keys_of_names_are_not_sent_to_the_driver(spark):
+    """Spark takes the keys of a name for as small as the name."""
+    df = spark.createDataFrame([(i, f"Customer#{i:09d}") for i in range(300)], "id long, name string")
+    pairs, _ = similar.duplicate_names(df, "id", "name", 94)
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [key" in plan and "BroadcastHashJoin" not in plan
+    texts = [f"{i:09d} customer" for i in range(300)]
+    expected = {(i, j, s) for i in range(300) for j in range(i + 1, 300) if (s := similarity.indel_ratio(texts[i], texts[j])) >= 94}
+    assert sorted(map(tuple, pairs.collect())) == sorted(expected)
+
+
+def test_keys_are_listed_for_lengths_that_are_there(spark):
+    texts = spark.createDataFrame([(0, "000012345 customer", 18)], "item long, text string, n int")
+    listed = lambda lengths: sorted(r.key for r in similar._listed(texts, 94, 30, lengths, True).collect())
+    assert listed([18]) == sorted("018018" + t for t in {texts.first().text[:i] + texts.first().text[i + 1 :] for i in range(18)})
+    assert listed([19]) == ["018019000012345 customer"] and listed([15, 21]) == []
+
+
+@pytest.mark.parametrize("most_keys", [2000, 1])
+def test_duplicates_of_other_lengths_in_either_order(spark, most_keys):
+    rows = [(1, "greystar living homes"), (2, "greystar livin homes"), (3, "greystar livin homess"), (4, "greysta livin homes"), (9, "grestar living homes"), (5, "greystar living homes")]
+    pairs, _ = similar.duplicate_names(spark.createDataFrame(rows, "id long, name string"), "id", "name", 90, most_keys=most_keys)
+    ratio = lambda a, b: similarity.indel_ratio(similarity.sorted_tokens(a), similarity.sorted_tokens(b))
+    assert sorted(map(tuple, pairs.collect())) == sorted((i, j, ratio(a, b)) for i, a in rows for j, b in rows if i < j and i != 5 and j != 5 and ratio(a, b) >= 90)
+
+
+def test_duplicates_of_one_id_with_several_names(spark):
+    rows = [(1, "unite students"), (1, "unite student"), (2, "unite studentz"), (2, "unite studenta")]
+    pairs, _ = similar.duplicate_names(spark.createDataFrame(rows, "id long, name string"), "id", "name", 90)
+    assert sorted(map(tuple, pairs.collect())) == [(1, 2, 93), (1, 2, 93), (1, 2, 96), (1, 2, 96)]
+
+
 def test_titles_stop_at_the_first_empty_slot(spark):
     df = spark.createDataFrame([("T1", "", "a", "", "c", ""), ("T2", "", "", "b", "", ""), ("", "", "a", "b", "", "")], ["Title Number", "Postcode", *[f"Proprietor Name ({k})" for k in range(1, 5)]])
     assert [(r.title_number, len(r.proprietors)) for r in files.titles(df).collect()] == [("T1", 1)]
