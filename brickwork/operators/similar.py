@@ -7,7 +7,8 @@ length a partner has, with all its subsequences that are long enough, and
 two texts meet exactly in their common ones. The longest one in which they meet is
 L, so no pair is compared, and what meets is what scores. Texts that would be
 listed more than ``most_keys`` times meet the others in their rarest letters or
-pairs of letters.
+pairs of letters; where only the best match is wanted, they are searched in blocks
+of the others.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brickwork.functions.similarity import sorted_tokens, text_ratio
+from brickwork.functions.similarity import best_ratios, sorted_tokens, text_ratio
 from brickwork.sources.workspace import written
 
 
@@ -159,6 +160,48 @@ def similar_names(left: DataFrame, right: DataFrame, least: int, **options) -> D
     return a.join(pairs, "text").join(other, "other").select("name", "other_name", "score").unionByName(equal)
 
 
+def _best_in_blocks(texts: DataFrame, known: DataFrame, least: int, most_left: int = 16_384, most_right: int = 65_536) -> DataFrame:
+    """text, other, score: of ``known`` (other, right_id) the best for each text of up to 62 letters in each block of ``known``, if it scores ``least``; ties go to the smaller right id.
+
+    Blocks of about ``most_left`` texts meet blocks of about ``most_right``
+    others, whose common beginnings or endings are compared once.
+    """
+    tasks = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    count = texts.count()
+    rights = math.ceil(known.count() / most_right) or 1
+    lefts = max(math.ceil(count / most_left), min(math.ceil(count / 512), math.ceil(4 * tasks / rights)), 1)
+    of = lambda column, n: F.pmod(F.xxhash64(column), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    x = texts.select("text", of("text", lefts).alias("i"), every(rights).alias("j")).repartition(tasks, "i", "j")
+    no_id = F.col("right_id").isNull()
+    y = known.select("other", no_id.alias("no_id"), F.coalesce("right_id", F.lit(0)).alias("right_id"), of("other", rights).alias("j"), every(lefts).alias("i")).repartition(tasks, "i", "j")
+
+    def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        others = b.sort_values(["no_id", "right_id"])["other"].tolist()
+        place, score = best_ratios(a["text"].tolist(), others, least)
+        return pd.DataFrame({"text": a["text"], "other": [others[k] if k >= 0 else None for k in place.tolist()], "score": score}).dropna(subset=["other"])
+
+    return x.groupBy("i", "j").cogroup(y.groupBy("i", "j")).applyInPandas(best, "text string, other string, score int")
+
+
+def _best_candidates(texts: DataFrame, known: DataFrame, least: int, most_keys: int = 2000, **options) -> DataFrame:
+    """text, other, score: pairs with the best match of every text among ``known`` (other, right_id), if it scores ``least``.
+
+    Texts that are listed meet in common subsequences, the others are searched in
+    blocks, and left ones of over 62 letters meet in their rarest parts.
+    """
+    most, n, others = longest_listed(least, most_keys), F.length("text"), known.withColumnRenamed("other", "text")
+    short, middle, long = n <= F.lit(min(most, 62)), (n > most) & (n <= 62), n > 62
+    out = similar_texts(texts.where(short), others.where(n <= most), least, most_keys, **options)
+    if _any(texts, middle):
+        out = out.unionByName(_best_in_blocks(texts.where(middle), known, least))
+    if _any(others, n > most) and _any(texts, short):
+        out = out.unionByName(_best_in_blocks(texts.where(short), known.where(F.length("other") > most), least))
+    if _any(texts, long):
+        out = out.unionByName(similar_texts(texts.where(long), others, least, most_keys, **options))
+    return out
+
+
 def best_similar(left: DataFrame, left_id: str, left_name: str, right: DataFrame, right_id: str, right_name: str, least: int, step: int = 10, **options) -> DataFrame:
     """left_id, right_id, score: the best match of each row of ``left`` among the names of ``right``, if it scores ``least``; ties go to the smaller right id.
 
@@ -168,13 +211,13 @@ def best_similar(left: DataFrame, left_id: str, left_name: str, right: DataFrame
     """
     a = written(_with_text(left.select(F.col(left_id).alias("id"), F.col(left_name).alias("name")).where("name IS NOT NULL"), "name").select("id", "text"), "names")
     b = written(_with_text(right.select(F.col(right_id).alias("right_id"), F.col(right_name).alias("name")).where("name IS NOT NULL"), "name").groupBy(F.col("text").alias("other")).agg(F.min("right_id").alias("right_id")), "others")
-    texts, known = a.select("text").where("text <> ''").distinct(), b.select(F.col("other").alias("text"))
+    texts, known = a.select("text").where("text <> ''").distinct(), b.where("other <> ''")
     found = [written(texts.join(b.hint("merge"), F.col("text") == F.col("other")).select("text", "right_id", F.lit(100).alias("score")), "equal")]
     for level in [*range(100 - step, least, -step), least]:
         texts = written(texts.join(found[-1].hint("merge"), "text", "left_anti"), "open")
         if texts.isEmpty():
             break
-        best = similar_texts(texts, known, level, **options).join(b.hint("merge"), "other")
+        best = _best_candidates(texts, known, level, **options).join(b.hint("merge"), "other")
         best = best.groupBy("text").agg(F.max_by(F.struct("right_id", "score"), F.struct("score", -F.col("right_id"))).alias("b")).select("text", "b.*")
         found.append(written(best, "best"))
     every = found[0]

@@ -186,6 +186,56 @@ def test_duplicates_of_one_id_with_several_names(spark):
     assert sorted(map(tuple, pairs.collect())) == [(1, 2, 93), (1, 2, 93), (1, 2, 96), (1, 2, 96)]
 
 
+@pytest.mark.parametrize("least", [50, 70, 81])
+def test_best_ratios_are_the_best_of_all_pairs(least, monkeypatch):
+    rng = random.Random(least)
+    for letters, most in (("ab", 50), ("abcdé 漢", 1_000_000), ("0123456789", 1_000_000)):
+        monkeypatch.setattr(similarity, "MOST_NODES", most)
+        some = lambda count, ends: [t for _ in range(count) if (t := "".join(rng.choice(letters) for _ in range(rng.randrange(14))) + rng.choice(ends))]
+        right = sorted(set(some(80, ["", " customer", "supplier", "z" * 60])), key=lambda t: t[::-1])
+        left = some(40, ["", " customer"]) + right[:5] + ["q" * 62, "ab" * 31]
+        left = [t for t in left if len(t) <= 62]
+        scores = [similarity.indel_ratios([a] * len(right), right) for a in left]
+        expected = [(int(s.argmax()), int(s.max())) if s.max() >= least else (-1, 0) for s in scores]
+        assert list(zip(*(x.tolist() for x in similarity.best_ratios(left, right, least)))) == expected
+    assert similarity.best_ratios([], ["a"], 70)[0].tolist() == [] and similarity.best_ratios(["a"], [], 70)[0].tolist() == [-1]
+
+
+def test_best_search_compares_few_letters(monkeypatch):
+    """Of 500 x 4,000 names, which have over 8 million pairs' letters to compare, few branches are followed."""
+    met, count = [], similarity.np.bitwise_count
+    monkeypatch.setattr(similarity.np, "bitwise_count", lambda x: met.append(len(x)) or count(x))
+    right = [f"{i} customer" for i in range(1, 2001)] + [f"{i:09d} supplier" for i in range(2000)]
+    left = [f"{i:09d} customer" for i in range(50_000, 50_500)]
+    place, score = similarity.best_ratios(left, right, 80)
+    assert (place >= 0).all() and sum(met) < 500 * 4000 / 2
+    for k in range(0, 500, 50):
+        every = similarity.indel_ratios([left[k]] * len(right), right)
+        assert (place[k], score[k]) == (every.argmax(), every.max())
+
+
+def test_best_similar_over_several_blocks(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcde1") for _ in range(rng.randrange(2, 8)))
+    left = [(i, " ".join(word() for _ in range(rng.randrange(1, 5)))) for i in range(120)] + [(500, "long " * 14 + "name")]
+    right = [(rng.randrange(60), " ".join(word() for _ in range(rng.randrange(1, 5)))) for _ in range(150)] + [(70, "long " * 13 + "name"), (None, "abcde abcde"), (61, "x" * 80)]
+    l, r = spark.createDataFrame(left, "id long, text string"), spark.createDataFrame(right, "right_id long, other string")
+    texts = [(similarity.sorted_tokens(t), j) for j, t in right]
+    got = {x[0]: tuple(x)[1:] for x in similar.best_similar(l, "id", "text", r, "right_id", "other", 60, most_keys=50).collect()}
+    for i, t in left:
+        best = min((-similarity.indel_ratio(similarity.sorted_tokens(t), o), 1e9 if j is None else j) for o, j in texts)
+        assert got.get(i) == ((None if best[1] == 1e9 else best[1], -best[0]) if -best[0] >= 60 else None)
+    known = r.groupBy("other").min("right_id").toDF("other", "right_id")
+    blocks = similar._best_in_blocks(l.where("id < 500").select("text").distinct(), known, 60, most_left=30, most_right=40)
+    best = {}
+    ids = {x.other: x.right_id for x in known.collect()}
+    for x in blocks.collect():
+        best[x.text] = max(best.get(x.text, (0, 0)), (x.score, -(1e9 if ids[x.other] is None else ids[x.other])))
+    for _, t in left[:-1]:
+        every = max((similarity.indel_ratio(t, o), -(1e9 if j is None else j)) for o, j in ids.items())
+        assert best.get(t, (0, 0))[0] == (every[0] if every[0] >= 60 else 0) and (t not in best or best[t] == every)
+
+
 def test_titles_stop_at_the_first_empty_slot(spark):
     df = spark.createDataFrame([("T1", "", "a", "", "c", ""), ("T2", "", "", "b", "", ""), ("", "", "a", "b", "", "")], ["Title Number", "Postcode", *[f"Proprietor Name ({k})" for k in range(1, 5)]])
     assert [(r.title_number, len(r.proprietors)) for r in files.titles(df).collect()] == [("T1", 1)]
